@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from ..functions.scratch import materialize, scratch_path
+from . import exact_dedup, packing, token_lengths, token_records
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +31,28 @@ SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
 FROM n JOIN g USING (k)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, index = scratch_path(spark, "token-records"), scratch_path(spark, "token-index")
+    token_records.write_records(_docs(spark, sf_dir), files, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_records.write_index(spark, files, index)
+    return spark.read.parquet(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = token_lengths.histogram(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_lengths.profile(materialize(hist, "length-histogram"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, seq=1024)
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_records": op2_token_records,
+    "op6_length_histogram": op6_length_histogram,
+    "op8_packing": op8_packing,
+}
 SQL = {"op1_exact_dedup": OP1_SQL}
