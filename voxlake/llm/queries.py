@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize, scratch_path
-from . import exact_dedup, packing, token_lengths, token_records
+from . import exact_dedup, license_scan, line_dedup, packing, rank_bpe, simhash, syncmers, token_lengths, token_records, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,19 +41,68 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compared(_docs(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_docs(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = token_lengths.histogram(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_lengths.profile(materialize(hist, "length-histogram"))
 
 
+def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, seq=1024)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.drop_repeated_lines(_docs(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_docs(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+  FROM documents),
+c AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS holder FROM c WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT c.*, r.holder IS NOT NULL AND c.doc_id <> r.holder AS gone FROM c LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_records": op2_token_records,
+    "op3_syncmers": op3_syncmers,
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op6_length_histogram": op6_length_histogram,
+    "op7_rank_bpe": op7_rank_bpe,
     "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_license_scan": op10_license_scan,
 }
-SQL = {"op1_exact_dedup": OP1_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op9_line_dedup": OP9_SQL}

@@ -3,13 +3,16 @@
 ``TextEncoder`` gives the same ids as ``Tokenizer.encode(text)``. Byte-level
 splitting never joins a non-blank character with a following blank, so a text can
 be cut before every blank that follows a non-blank and its pieces be encoded each
-on its own; equal pieces are encoded once per batch and kept in a bounded cache.
+on its own. Pieces are split into words by the byte-level pattern and new words are
+encoded by the tokenizer's model; pieces and words are kept in bounded caches.
 Other tokenizers (a normalizer, a prefix blank, no byte-level splitting) get whole texts.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,27 +20,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 400_000
+CACHE = 250_000
 LONG_PIECE = 64
 ROWS = 512
+#: Fixed values of byte-level tokenizers: the pattern that splits a text into words, and the bytes that are shown as themselves.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The others are shown as the characters from U+0100 on, in their order.
+BYTE_CHARACTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_SHOWN_BLANK = chr(BYTE_CHARACTERS[0x20])
+#: A short cut for the commonest pieces: one word of Latin-1 letters, then marks.
+_PLAIN = re.compile(r"( ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([,.;:!?]*)")
 #: Python's \s holds every blank of the tokenizers' pattern and a few more, so \S is never one of theirs.
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_BEFORE_BLANK = re.compile(r"\s ")
 
 
 class PieceCache:
-    """Bytes of pieces, filled by ``encode`` for those not known yet; emptied when it outgrows ``limit``."""
+    """Bytes of pieces, filled by ``encode`` for those not known yet.
+
+    When ``limit`` pieces are known they become the older half, of which only those met
+    again are carried on, so frequent pieces stay and at most twice ``limit`` are held.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
 
     def fill(self, pieces: set[str]) -> dict[str, bytes]:
         missing = pieces.difference(self.known)
         if missing:
             if len(self.known) + len(missing) > self.limit:
-                self.known = {}
+                self.known, self.older = {}, self.known
                 missing = pieces
-            order = sorted(missing)
+            if again := self.older.keys() & missing:
+                self.known.update((p, self.older[p]) for p in again)
+                missing = missing - again
+            order = list(missing)
             self.known.update(zip(order, self.encode(order), strict=True))
         return self.known
 
@@ -79,14 +97,47 @@ class TextEncoder:
         self.tok.no_padding()
         pre = repr(self.tok.pre_tokenizer)
         plain = self.tok.normalizer is None and pre.startswith("ByteLevel(") and "add_prefix_space=False" in pre and "use_regex=True" in pre
-        self.first = PieceCache(self.whole) if plain else None
-        self.after_blank = PieceCache(lambda ps: self.whole([" " + p for p in ps])) if plain else None
+        if plain:
+            import regex
+
+            self.find = regex.compile(BYTE_LEVEL).findall
+            self.words = PieceCache(self.model_ids)
+        self.first = PieceCache(self.pieces) if plain else None
+        self.after_blank = PieceCache(lambda ps: self.pieces([" " + p for p in ps])) if plain else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Each piece's words from the cache; new words go straight to the tokenizer's model."""
+        plain, find = _PLAIN.fullmatch, self.find
+        split = [m.groups() if (m := plain(t)) else find(t) for t in texts]
+        distinct = set().union(*split)
+        distinct.discard("")
+        known = self.words.fill(distinct)
+        known[""] = b""
+        out = [b"".join([known[w] for w in words]) for words in split]
+        self.words.forget(distinct)
+        return out
+
+    def model_ids(self, words: list[str]) -> list[bytes]:
+        tokenize = self.tok.model.tokenize
+        out = []
+        for w in words:
+            shown = w.replace(" ", _SHOWN_BLANK) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+            out.append(array("I", [k.id for k in tokenize(shown)]).tobytes())
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return by_pieces(texts, self.first, self.after_blank) if self.first else self.whole(texts)
+        if not self.first:
+            return self.whole(texts)
+        collecting = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, only many objects to walk over
+        try:
+            return by_pieces(texts, self.first, self.after_blank)
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @lru_cache(maxsize=4)
