@@ -93,7 +93,14 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_records": op2_token_records,
     "op3_syncmers": op3_syncmers,
