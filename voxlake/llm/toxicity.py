@@ -6,6 +6,7 @@ as an insult beside a group's name can weigh more than both words alone.
 
 Terms of a text are its distinct words (letters and characters above U+007F, A-Z lower-cased)
 and their first 4 and 5 characters, which catch inflected forms, hashed to BUCKETS buckets.
+Terms in use are those that are frequent in the sample or go with the label (``telling_terms``).
 x is 1 for the linear part and z = 1 / sqrt(number of terms) for the pairs, so that long texts
 don't drown in pairs.
 
@@ -39,6 +40,8 @@ EPOCHS = 8
 BATCH = 64
 RATE = 0.1
 SHRINK = 1e-6
+OFTEN = 0.05
+MIN_CHI2 = 20.0
 CUT = 0.3
 ROWS = 512
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -58,12 +61,19 @@ def terms(text: str) -> np.ndarray:
 
 
 class FactorizationMachine:
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
-        self.bias, self.w, self.v = bias, w, v
+    """``kept``: the term numbers in use, ascending; ``w`` and ``v`` have a row for each."""
+
+    def __init__(self, bias: float, kept: np.ndarray, w: np.ndarray, v: np.ndarray):
+        self.bias, self.kept, self.w, self.v = bias, kept, w, v
+        self.place = np.full(BUCKETS, -1, np.int32)
+        self.place[kept] = np.arange(len(kept))
+
+    def places(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        return [at[at >= 0] for at in (self.place[r] for r in rows)]
 
     def forward(self, rows: list[np.ndarray]):
-        """(logits, term numbers, row of each, z of each, factor sums of each row)."""
-        n = np.array([len(r) for r in rows])
+        """(logits, places, row of each, z of each, factor sums of each row)."""
+        n = np.array([len(r) for r in rows], np.int64)
         idx = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(rows)), n)
         z = np.repeat(1 / np.sqrt(np.maximum(n, 1)), n)
@@ -76,18 +86,30 @@ class FactorizationMachine:
         return logit, idx, row, z, sums
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(rows)[0], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.forward(self.places(rows))[0], -30, 30)))
+
+
+def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms of the sample that are frequent, or whose chi-square with the label is at least MIN_CHI2: rare terms only fit noise."""
+    n, pos = len(rows), float((labels == 1).sum())
+    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
+    df = np.bincount(flat, minlength=BUCKETS).astype(float)
+    tox = np.bincount(flat, np.repeat(labels == 1, [len(r) for r in rows]).astype(float), BUCKETS) if n else df
+    lack = n - df
+    spread = df * lack * pos * (n - pos)
+    chi2 = n * (tox * (lack - (pos - tox)) - (df - tox) * (pos - tox)) ** 2 / np.maximum(spread, 1e-9)
+    return np.flatnonzero((df >= max(20, OFTEN * n)) | ((spread > 0) & (chi2 >= MIN_CHI2)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """Weighted logistic loss, AdaGrad over batches in a drawn order. Only buckets that occur are held while fitting."""
+    """Weighted logistic loss, AdaGrad over batches in a drawn order."""
     rng = np.random.default_rng(seed)
-    used = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
-    rows = [np.searchsorted(used, r) for r in rows]
+    kept = telling_terms(rows, labels)
     rate = float((weights * labels).sum() / weights.sum()) if len(labels) else 0.5
     rate = min(max(rate, 1e-3), 1 - 1e-3)
-    fm = FactorizationMachine(float(np.log(rate / (1 - rate))), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS)))
-    gw, gv = np.full(len(used), 1e-8), np.full((len(used), FACTORS), 1e-8)
+    fm = FactorizationMachine(float(np.log(rate / (1 - rate))), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
+    rows = fm.places(rows)
+    gw, gv = np.full(len(kept), 1e-8), np.full((len(kept), FACTORS), 1e-8)
     weights = weights / weights.mean() if len(weights) else weights
     order = np.arange(len(rows))
     for _ in range(EPOCHS):
@@ -106,9 +128,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: i
                 g = np.bincount(at, error[row] * z * (sums[row, f] - fm.v[idx, f] * z), len(u)) + SHRINK * old
                 gv[u, f] += g * g
                 fm.v[u, f] = old - RATE * 0.3 * g / np.sqrt(gv[u, f])
-    w, v = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
-    w[used], v[used] = fm.w, fm.v
-    return FactorizationMachine(fm.bias, w, v)
+    return fm
 
 
 def held_out(id_col: str) -> F.Column:
@@ -141,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
 def scored(docs: DataFrame, model: FactorizationMachine, cut: float = CUT, text: str = "text") -> DataFrame:
     """``docs`` with score and predicted; columns of these names are replaced. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.kept, model.w, model.v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = FactorizationMachine(*shared.value)
