@@ -1 +1,20 @@
+"""Run logs as streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.runlog import log_scalars
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str, every: int) -> StreamingQuery:
+    """Append every n-th step of a stream of scalars to a Parquet log; stops when the input at hand is read.
+
+    A batch that is run again writes to its own folder, so it replaces its rows rather than repeating them.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        log_scalars(batch, every).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
