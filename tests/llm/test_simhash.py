@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm import simhash
 from voxlake.llm.bk_forest import BkForest
-from voxlake.llm.components import components
+from voxlake.operators.components import components
 
 
 def brute_fingerprint(text):

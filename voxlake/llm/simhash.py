@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
 from .bk_forest import BkForest
-from .components import components
+from ..operators.components import components
 
 WORDS, SEED, RADIUS, BLOCKS = 3, 42, 2, 8
 CHUNK = 1 << 19
