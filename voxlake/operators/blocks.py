@@ -206,4 +206,4 @@ def gather(a: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     for corner in product((0, 1), repeat=3):
         spot = tuple(hi[k] if c else lo[k] for k, c in enumerate(corner))
         out += a[spot] * np.prod([w[k] if c else 1 - w[k] for k, c in enumerate(corner)], axis=0)
-    return out
+    return out if a.dtype.kind == "f" else np.rint(out)

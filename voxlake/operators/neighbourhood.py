@@ -7,8 +7,6 @@ on dense volumes belong to the block form (``blocks``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,7 +120,7 @@ def label_components(df: DataFrame, block: Vec | None = None) -> DataFrame:
         for a, b in zip(AXES, block, strict=True):
             same = same & (F.floor(F.col(a) / b) == F.floor((F.col(a) + F.col(f"d{a}")) / b))
         to = to.filter(same)
-    to = to.select("v", (F.col("v") + (F.col("dz") * SIDE + F.col("dy")) * SIDE + F.col("dx")).alias("u"))
+    to = to.select("v", (F.col("v") + (F.col("dz").cast("long") * SIDE + F.col("dy")) * SIDE + F.col("dx")).alias("u"))
     edges = to.join(there.select(F.col("n").alias("u")), "u", "left_semi").select("u", "v")
     roots = components(edges).select(F.col("u").alias("n"), F.col("v").alias("root"))
     return voxels.join(roots, "n", "left").select(*KEY, F.coalesce("root", "n").alias("component"))
@@ -166,6 +164,3 @@ def convolve(df: DataFrame, weights: list[dict[tuple[int, int, int], float]], bi
     rows = df.select(*KEY).join(sums, KEY, "left")
     out = F.array(*[F.struct(F.lit(c).alias("c"), (F.coalesce(F.col(f"s{c}"), F.lit(0.0)) + b).alias("v")) for c, b in enumerate(bias)])
     return rows.select(*KEY, F.inline(out))
-
-
-Kernel = Callable[[DataFrame], DataFrame]

@@ -147,13 +147,13 @@ def _(t):
     return project.float_to_uint8(t.vox.select("z", "y", "x", F.col("prob").alias("v")), "v")
 
 
-@query("prj_05_uint8_to_float", "vox", "SELECT z, y, x, round(raw / CAST(255 AS DOUBLE), 6) AS v FROM vox")
+@query("prj_05_uint8_to_float", "vox", "SELECT z, y, x, round(CAST(CAST(raw / CAST(255 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS v FROM vox")
 def _(t):
     rows = project.uint8_to_float(t.vox.select("z", "y", "x", F.col("raw").alias("v")), "v")
     return rows.withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
-@query("prj_06_normalize", "vox", "SELECT z, y, x, round(raw / CAST(65535 AS DOUBLE), 6) AS v FROM vox")
+@query("prj_06_normalize", "vox", "SELECT z, y, x, round(CAST(CAST(raw / CAST(65535 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS v FROM vox")
 def _(t):
     rows = project.normalize(t.vox.select("z", "y", "x", F.col("raw").alias("v")), "v", "uint16")
     return rows.withColumn("v", F.round(F.col("v").cast("double"), 6))

@@ -72,10 +72,10 @@ def _(t):
     box, chunk = _box(t), (4, 16, 32)
     blocks = B.voxels_to_blocks(t.blob, *box, chunk, "int32", value="id")
     n, kernel = B.metric_mask_kernel(2, 2)
-    return B.blocks_to_voxels(B.with_halo(blocks, (n,) * 3, kernel, box, chunk, dtype="uint8"), "int")
+    return B.blocks_to_voxels(B.with_halo(blocks, (n,) * 3, kernel, box, chunk, dtype="uint8"), "int").withColumnRenamed("v", "mask")
 
 
-@query("nbh_06_dilate_instances", "blob", _sel(f"SELECT z + dz AS z, y + dy AS y, x + dx AS x, max(id) AS id FROM (SELECT * FROM blob WHERE id <> 0), {BALL2} GROUP BY 1, 2, 3 HAVING " + IN_BOX.replace("z >=", "z + dz >=").replace("z <", "z + dz <").replace("y >=", "y + dy >=").replace("y <", "y + dy <").replace("x >=", "x + dx >=").replace("x <", "x + dx <")))
+@query("nbh_06_dilate_instances", "blob", f"SELECT * FROM (SELECT z + dz AS z, y + dy AS y, x + dx AS x, max(id) AS id FROM (SELECT * FROM blob WHERE id <> 0), {BALL2} GROUP BY 1, 2, 3) WHERE {IN_BOX}")
 def _(t):
     return neighbourhood.dilate_instances(t.blob, 2, _box(t))
 

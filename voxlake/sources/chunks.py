@@ -25,20 +25,46 @@ def split_path(path: Column) -> tuple[Column, Column]:
     return F.regexp_extract(path, r"^(.*\.(?:zarr|n5))/", 1), F.regexp_extract(path, r"^.*?\.(?:zarr|n5)/(.*)$", 1)
 
 
+def _metadata(spark: SparkSession, root: str) -> list[tuple[str, str, str | None]]:
+    """(array, .zarray, .zattrs) below ``root`` by Hadoop's file system: Spark's readers skip files whose name begins with a dot.
+
+    A folder that is an array isn't listed, so the number of its chunks doesn't matter.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    top = path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def text(folder, name: str) -> str | None:
+        file = path(folder, name)
+        if not fs.exists(file):
+            return None
+        stream = fs.open(file)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    found, todo = [], [(top, "")]
+    while todo:
+        folder, name = todo.pop()
+        array = text(folder, ".zarray")
+        if array is not None:
+            found.append((name, array, text(folder, ".zattrs")))
+            continue
+        for status in fs.listStatus(folder):
+            if status.isDirectory():
+                child = status.getPath()
+                todo.append((child, f"{name}/{child.getName()}".lstrip("/")))
+    return sorted(found)
+
+
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """(array, shape_vox, chunk, dtype, compressor, separator, fill, offset_nm, voxel_size_nm) of every array below ``root``."""
-
-    def texts(name: str) -> DataFrame:
-        df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-        return df.select(F.regexp_replace(F.input_file_name(), rf"/\{name}$", "").alias("path"), "value")
-
-    arrays = texts(".zarray").select("path", F.from_json("value", ZARRAY).alias("a"))
-    attrs = texts(".zattrs").select("path", F.from_json("value", ZATTRS).alias("t"))
-    base = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    at = F.regexp_extract("path", r"^[a-z]+:/*(.*)$", 1)
-    rel = F.substr(at, F.lit(len(base.split(":", 1)[1].lstrip("/").rstrip("/")) + 2))
-    return arrays.join(attrs, "path", "left").select(
-        rel.alias("array"), F.col("a.shape").alias("shape_vox"), F.col("a.chunks").alias("chunk"), F.element_at(F.create_map(*[F.lit(x) for kv in DTYPES.items() for x in kv]), F.col("a.dtype")).alias("dtype"),
+    rows = spark.createDataFrame(_metadata(spark, root), "array string, a string, t string")
+    rows = rows.select("array", F.from_json("a", ZARRAY).alias("a"), F.from_json("t", ZATTRS).alias("t"))
+    return rows.select(
+        "array", F.col("a.shape").alias("shape_vox"), F.col("a.chunks").alias("chunk"), F.element_at(F.create_map(*[F.lit(x) for kv in DTYPES.items() for x in kv]), F.col("a.dtype")).alias("dtype"),
         F.col("a.compressor.id").alias("compressor"), F.coalesce("a.dimension_separator", F.lit(".")).alias("separator"), F.coalesce("a.fill_value", F.lit(0.0)).alias("fill"),
         F.col("t.offset").alias("offset_nm"), F.col("t.resolution").alias("voxel_size_nm"),
     )

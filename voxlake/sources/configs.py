@@ -55,8 +55,9 @@ def configs_from_catalog(spec: DataFrame, organelles: Mapping[str, int], with_me
         F.col("file"), offset.alias("offset"), F.transform("shape_vox", lambda v: v.cast("int")).alias("shape"), F.transform("voxel_size_nm", lambda v: v.cast("int")).alias("voxel_size"),
         F.lit("volumes/raw").alias("raw"), F.create_map("array", F.element_at(ids, F.col("organelle"))).alias("labels"), metric.alias("metric_masks"),
     )
+    by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
     rows = spec.filter(F.col("organelle").isin(list(organelles))).select("organelle", F.struct(F.concat_ws("_", "crop", "organelle").alias("key"), entry.alias("value")).alias("e"))
-    return rows.groupBy("organelle").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list("e")))).alias("json"))
+    return rows.groupBy("organelle").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e"), by_key))).alias("json"))
 
 
 def nm_to_vox(offset_nm: Column, resolution: Column) -> Column:
