@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import with_rank
 from .project import draw
 from .roi import AXES, Vec
 
@@ -105,10 +106,10 @@ def point_locations(points: DataFrame, shape: Vec, n: int, seed: int, cell: int
 
     Points (id, z, y, x). A draw picks a point by its rank; boxes meet points by cells of the (y, x) plane.
     """
-    ranked = points.select("id", *KEY, F.row_number().over(Window.orderBy("id")).alias("rank"))
-    total = points.agg(F.count(F.lit(1)).alias("__n"))
-    draws = points.sparkSession.range(n).select(F.col("id").alias("i"))
-    picks = draws.join(F.broadcast(total)).select("i", (F.floor(draw(seed, "i") * F.col("__n")) + 1).cast("int").alias("rank"))
+    ranked = with_rank(points.select("id", *KEY), "id")
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    draws = points.agg(F.count(F.lit(1)).alias("__n")).select("__n", F.explode(numbers).alias("i"))
+    picks = draws.select("i", (F.floor(draw(seed, "i") * F.col("__n")) + 1).cast("long").alias("rank"))
     got = picks.join(ranked, "rank")
     at = {a: (F.col(a) - F.floor(draw(seed + 1 + k, "i") * s)).cast("long") for k, (a, s) in enumerate(zip(AXES, shape, strict=True))}
     boxes = got.select("i", *[v.alias(f"o{a}") for a, v in at.items()])
