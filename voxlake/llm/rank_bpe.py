@@ -98,7 +98,7 @@ class RankBpe:
         distinct = {w for words in found for w in words}
         known = self.words.fill(distinct)
         out = [b"".join(map(known.__getitem__, words)) for words in found]
-        self.words.forget(distinct)
+        self.words.forget_long()
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:

@@ -44,7 +44,7 @@ class PieceCache:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE):
-        self.encode, self.limit, self.known, self.older = encode, limit, {}, {}
+        self.encode, self.limit, self.known, self.older, self.long = encode, limit, {}, {}, []
 
     def fill(self, pieces: set[str]) -> dict[str, bytes]:
         missing = pieces.difference(self.known)
@@ -57,31 +57,30 @@ class PieceCache:
                 missing = missing - again
             order = list(missing)
             self.known.update(zip(order, self.encode(order), strict=True))
+            self.long += [p for p in order if len(p) > LONG_PIECE]
         return self.known
 
-    def forget(self, pieces: set[str]) -> None:
-        for p in pieces:
-            if len(p) > LONG_PIECE:
-                self.known.pop(p, None)
+    def forget_long(self) -> None:
+        for p in self.long:
+            self.known.pop(p, None)
+        self.long = []
 
 
 def by_pieces(texts: list[str], first: PieceCache, after_blank: PieceCache) -> list[bytes]:
     """The joined bytes of each text's pieces. ``after_blank`` holds pieces without their leading blank."""
-    heads, tails, cut = set(), set(), []
+    heads, tails = [], []
     for t in texts:
         if _BLANK_BEFORE_BLANK.search(t):
-            parts = _BEFORE_BLANK.split(t)
-            cut.append((parts, None))
-            heads.update(parts)
+            heads.append(_BEFORE_BLANK.split(t))
+            tails.append(())
         else:
             head, *parts = t.split(" ")
-            cut.append(([head] if head else [], parts))
-            heads.update(cut[-1][0])
-            tails.update(parts)
-    h, a = first.fill(heads), after_blank.fill(tails)
-    out = [b"".join([h[p] for p in whole] + list(map(a.__getitem__, parts or ()))) for whole, parts in cut]
-    first.forget(heads)
-    after_blank.forget(tails)
+            heads.append((head,) if head else ())
+            tails.append(parts)
+    h, a = first.fill(set().union(*heads)), after_blank.fill(set().union(*tails))
+    out = [b"".join([h[p] for p in whole] + list(map(a.__getitem__, parts))) for whole, parts in zip(heads, tails, strict=True)]
+    first.forget_long()
+    after_blank.forget_long()
     return out
 
 
@@ -117,7 +116,7 @@ class TextEncoder:
         known = self.words.fill(distinct)
         known[""] = b""
         out = [b"".join([known[w] for w in words]) for words in split]
-        self.words.forget(distinct)
+        self.words.forget_long()
         return out
 
     def model_ids(self, words: list[str]) -> list[bytes]:
