@@ -40,8 +40,9 @@ def flood(a, block=None):
     return label
 
 
-@pytest.mark.parametrize("block", [None, (3, 3, 3)])
-def test_components_equal_flood_fill(spark, block):
+@pytest.mark.parametrize("block,tile", [(None, (32, 32, 32)), (None, (3, 2, 3)), ((3, 3, 3), None)])
+def test_components_equal_flood_fill(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(N, "TILE", tile)
     a = (np.random.default_rng(1).random((6, 7, 8)) < 0.35).astype(int)
     want = flood(a, block)
     got = {}

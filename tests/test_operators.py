@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from voxlake.functions.ranks import with_rank
 from voxlake.operators import merge, metrics, project, resample, roi, sample
 from voxlake.plans import jobs
 
@@ -107,3 +108,9 @@ def test_possible_shifts_of_arrays(spark):
     request = spark.createDataFrame([("raw", 0, 0, 0, 10, 10, 10), ("label", 3, 3, 3, 4, 4, 4)], box)
     row = sample.possible_shifts(arrays, request, (1, 1, 1)).first()
     assert (row.lo_z, row.hi_z) == (2, 9)
+
+
+def test_ranks_equal_row_numbers(spark):
+    df = spark.range(5000).select((F.col("id") * F.col("id") % 7919 - 100).alias("k")).distinct()
+    got = {r.k: r.rank for r in with_rank(df, "k").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got) and sorted(got.values()) == list(range(1, len(got) + 1))

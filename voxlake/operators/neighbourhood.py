@@ -7,6 +7,8 @@ on dense volumes belong to the block form (``blocks``).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,28 +104,58 @@ def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     return got.filter(F.col("__n") == need).select(*KEY)
 
 
-CROSS = [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
 SIDE = 1 << 20
+TILE = (32, 32, 32)
+
+
+def _number(z, y, x):
+    """One number a voxel, in order of z, y, x."""
+    half = SIDE // 2
+    return ((z + half) * SIDE + y + half) * SIDE + x + half
+
+
+def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The smallest voxel number that each voxel of a tile reaches inside the tile."""
+    at = pdf[KEY].sort_values(KEY).to_numpy()
+    lo = at.min(0)
+    index = np.full(at.max(0) - lo + 1, -1)
+    index[tuple((at - lo).T)] = np.arange(len(at))
+    label = np.arange(len(at))
+    for axis in range(3):
+        a = np.take(index, range(index.shape[axis] - 1), axis).ravel()
+        b = np.take(index, range(1, index.shape[axis]), axis).ravel()
+        both = (a >= 0) & (b >= 0)
+        a, b = a[both], b[both]
+        while len(a):
+            la, lb = label[a], label[b]
+            open_ = la != lb
+            a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+            while (label[label] != label).any():
+                label = label[label]
+    return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "root": _number(*at[label].T)})
 
 
 def label_components(df: DataFrame, block: Vec | None = None) -> DataFrame:
     """(z, y, x, component) of the 6-connected foreground; the component is its smallest voxel number.
 
-    Neighbours are links; with ``block`` only those inside one block count.
+    Voxels are labelled inside tiles first, one numpy task a tile; then only voxels on the tiles' faces
+    meet, and components of the tiles' labels are joined. With ``block`` each block stays by itself.
     """
-    number = ((F.col("z").cast("long") + SIDE // 2) * SIDE + F.col("y") + SIDE // 2) * SIDE + F.col("x") + SIDE // 2
-    voxels = materialize(df.select(*[F.col(a).cast("long").alias(a) for a in KEY]).distinct().withColumn("n", number), "voxels")
-    there = voxels.select("n", *KEY)
-    to = there.select(F.col("n").alias("v"), F.inline(_offsets(CROSS)), *KEY)
+    tile = block or TILE
+    number = [F.expr(f"CAST(floor({a} / {s}) AS BIGINT)").alias(f"t{a}") for a, s in zip(AXES, tile, strict=True)]
+    rows = df.select(*[F.col(a).cast("long").alias(a) for a in KEY], *number).distinct()
+    local = materialize(rows.groupBy("tz", "ty", "tx").applyInPandas(_label_tile, "z long, y long, x long, root long"), "tiles")
     if block is not None:
-        same = F.lit(True)
-        for a, b in zip(AXES, block, strict=True):
-            same = same & (F.floor(F.col(a) / b) == F.floor((F.col(a) + F.col(f"d{a}")) / b))
-        to = to.filter(same)
-    to = to.select("v", (F.col("v") + (F.col("dz").cast("long") * SIDE + F.col("dy")) * SIDE + F.col("dx")).alias("u"))
-    edges = to.join(there.select(F.col("n").alias("u")), "u", "left_semi").select("u", "v")
-    roots = components(edges).select(F.col("u").alias("n"), F.col("v").alias("root"))
-    return voxels.join(roots, "n", "left").select(*KEY, F.coalesce("root", "n").alias("component"))
+        return local.withColumnRenamed("root", "component")
+    faces = None
+    for a, s in zip(AXES, tile, strict=True):
+        last = local.filter(F.pmod(F.col(a), F.lit(s)) == s - 1).withColumn(a, F.col(a) + 1).withColumnRenamed("root", "u")
+        first = local.filter(F.pmod(F.col(a), F.lit(s)) == 0).withColumnRenamed("root", "v")
+        met = last.join(first, KEY).select("u", "v")
+        faces = met if faces is None else faces.unionByName(met)
+    joined = components(faces).select(F.col("u").alias("root"), F.col("v").alias("top"))
+    return local.join(joined, "root", "left").select(*KEY, F.coalesce("top", "root").alias("component"))
 
 
 def remove_small(df: DataFrame, min_size: int, block: Vec | None = None) -> DataFrame:

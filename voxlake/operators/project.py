@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 INT_BITS = {"uint8": (8, False), "uint16": (16, False), "uint32": (32, False), "int8": (8, True), "int16": (16, True), "int32": (32, True), "int64": (64, True)}
 
@@ -195,7 +194,3 @@ def copy_array(df: DataFrame, src: str, dst: str) -> DataFrame:
 def block_of(df: DataFrame, shape: Sequence[int]) -> DataFrame:
     """Add the block position cz, cy, cx of each voxel."""
     return df.withColumns({f"c{a}": F.expr(f"CAST(floor({a} / {s}) AS BIGINT)") for a, s in zip("zyx", shape, strict=True)})
-
-
-def over_block(*block: str):
-    return Window.partitionBy(*block)
