@@ -42,6 +42,14 @@ def test_drop_duplicates_keeps_one_row_of_each_group(spark):
     assert kept == sorted({keep for _, keep, *_ in brute(ROWS)}, key=str)
 
 
+def test_an_id_with_texts_equal_but_for_blanks_stays_once(spark):
+    rows = [(7, "a b"), (7, "a  b"), (7, "ab"), (9, "a  b"), (7, "a  b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [tuple(r) for r in exact_dedup.drop_duplicates(docs).collect()] == [(7, "a  b")]
+    got = [(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.decisions(docs).collect() if r.kept]
+    assert got == [(7, 7, 5)] * 2
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert exact_dedup.decisions(docs).count() == 0

@@ -47,8 +47,9 @@ def _groups(keys: DataFrame, cells: int, seen_twice: DataFrame) -> DataFrame:
         .agg(F.sum("c").alias("__xd_size"), best.alias("b"))
         .filter("__xd_size > 1")
         .select(
-            F.col("__xd_key").alias("__xd_gkey"), "__xd_size", F.col("b.id").alias("__xd_keep"), F.col("b.c").alias("__xd_nkeep")
-        )
+            F.col("__xd_key").alias("__xd_gkey"), "__xd_size", F.col("b.id").alias("__xd_keep"), (-F.col("b.neg")).alias("__xd_keepn"),
+            F.col("b.c").alias("__xd_nkeep"),
+        )
     )
 
 
@@ -78,9 +79,10 @@ def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_c
     )
     alone = F.col("__xd_size").isNull()
     keep = F.when(alone, F.col("__xd_id")).otherwise(F.col("__xd_keep"))
+    stays = alone | (keep.eqNullSafe(F.col("__xd_id")) & (F.col("__xd_n") == F.col("__xd_keepn")))
     suspects = grouped.select(
         F.col("__xd_id").alias(id_col), keep.alias("keep_id"), F.coalesce("__xd_size", F.lit(1).cast("long")).alias("group_size"),
-        keep.eqNullSafe(F.col("__xd_id")).alias("kept"), F.lower(F.hex("__xd_key")).alias("text_sha256"),
+        stays.alias("kept"), F.lower(F.hex("__xd_key")).alias("text_sha256"),
     )
     return unique.unionByName(suspects)
 
@@ -89,7 +91,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """``docs`` with one row of each group of equal texts. Only suspected rows shuffle; the others pass straight through."""
     _, *known = _prepare(docs, text, id_col, max_cells)
     unique, suspects = _split(_keyed(docs, text, id_col), *known)
-    kept = suspects.filter(F.col("__xd_size").isNull() | F.col("__xd_keep").eqNullSafe(F.col("__xd_id")))
+    kept = suspects.filter(F.col("__xd_size").isNull() | (F.col("__xd_keep").eqNullSafe(F.col("__xd_id")) & (F.col("__xd_n") == F.col("__xd_keepn"))))
     once = kept.filter(F.coalesce(F.col("__xd_nkeep"), F.lit(1)) == 1)
     again = kept.filter(F.col("__xd_nkeep") > 1).dropDuplicates(["__xd_key"])
     cols = [F.col(f"`{c}`") for c in docs.columns]
