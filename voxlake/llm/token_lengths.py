@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .tokens import with_token_counts
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def histogram(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 250_000
+CACHE = 200_000
 LONG_PIECE = 64
 ROWS = 512
 #: Fixed values of byte-level tokenizers: the pattern that splits a text into words, and the bytes that are shown as themselves.

@@ -12,9 +12,9 @@ don't drown in pairs.
 
 The model is fitted on a bounded sample of labelled rows, at most MAX_PER_CLASS of either
 label, drawn by a hash of the id; rows of a class count by how many of it there are for each
-one drawn, so scores are probabilities at the labels' own rate. Terms are made and scores are
-computed in tasks; the driver holds the sample's term numbers and the model, both of a size
-that doesn't depend on the input.
+one drawn, so scores are probabilities at the labels' own rate. Terms are made, counted against
+the labels and scored in tasks; the driver gets the sample's numbers of the terms in use and fits
+the model, both of a size that doesn't depend on the input.
 
 Defined results: a null or empty text has no terms and scores by the base rate b; every row has
 a score, repeated ones too; labels of an id that disagree count as toxic if one does; without
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize
+
 BUCKETS = 1 << 20
 FACTORS = 4
 MAX_PER_CLASS = 8000
@@ -47,7 +49,7 @@ ROWS = 512
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=65_536)
 def _buckets_of(word: bytes) -> tuple[int, ...]:
     w = word.decode(errors="replace")
     terms = ["w" + w] + ["4" + w[:4]] * (len(w) >= 4) + ["5" + w[:5]] * (len(w) >= 5)
@@ -89,22 +91,22 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.forward(self.places(rows))[0], -30, 30)))
 
 
-def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Terms of the sample that are frequent, or whose chi-square with the label is at least MIN_CHI2: rare terms only fit noise."""
-    n, pos = len(rows), float((labels == 1).sum())
-    flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    df = np.bincount(flat, minlength=BUCKETS).astype(float)
-    tox = np.bincount(flat, np.repeat(labels == 1, [len(r) for r in rows]).astype(float), BUCKETS) if n else df
-    lack = n - df
-    spread = df * lack * pos * (n - pos)
-    chi2 = n * (tox * (lack - (pos - tox)) - (df - tox) * (pos - tox)) ** 2 / np.maximum(spread, 1e-9)
-    return np.flatnonzero((df >= max(20, OFTEN * n)) | ((spread > 0) & (chi2 >= MIN_CHI2)))
+def telling_terms(rows: DataFrame) -> list[int]:
+    """Terms of the sample (y, terms) that are frequent, or whose chi-square with the label is at least MIN_CHI2: rare terms only fit noise."""
+    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("y").cast("double").alias("tox"))
+    lack, miss = n - F.col("df"), pos - F.col("tox")
+    spread = F.col("df") * lack * (float(pos) * (n - pos))
+    chi2 = n * F.pow(F.col("tox") * (lack - miss) - (F.col("df") - F.col("tox")) * miss, F.lit(2)) / F.greatest(spread, F.lit(1e-9))
+    kept = counts.filter((F.col("df") >= max(20, OFTEN * n)) | ((spread > 0) & (chi2 >= MIN_CHI2)))
+    return sorted(r.term for r in kept.select("term").collect())
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """Weighted logistic loss, AdaGrad over batches in a drawn order."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, kept: np.ndarray | None = None, seed: int = 7) -> FactorizationMachine:
+    """Weighted logistic loss, AdaGrad over batches in a drawn order; only terms ``kept`` get weights (all if not given)."""
     rng = np.random.default_rng(seed)
-    kept = telling_terms(rows, labels)
+    if kept is None:
+        kept = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
     rate = float((weights * labels).sum() / weights.sum()) if len(labels) else 0.5
     rate = min(max(rate, 1e-3), 1 - 1e-3)
     fm = FactorizationMachine(float(np.log(rate / (1 - rate))), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
@@ -149,14 +151,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["i", "h", "y", "terms"])
 
     texts = docs.select(F.col(id_col).alias("d"), F.col(text).alias("t")).join(sample, F.col("d") == F.col("i")).select("i", "h", "y", "t")
-    got = texts.mapInArrow(run, f"i {dict(docs.dtypes)[id_col]}, h bigint, y int, terms array<int>").toArrow()
+    schema = f"i {dict(docs.dtypes)[id_col]}, h bigint, y int, terms array<int>"
+    rows = materialize(texts.mapInArrow(run, schema), "toxicity-sample")
+    kept = np.array(telling_terms(rows), np.int64)
+
+    def only_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [np.intersect1d(np.array(t, np.int64), kept).tolist() for t in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), batch.column("y"), pa.array(part, pa.list_(pa.int32()))], ["i", "h", "y", "terms"])
+
+    got = rows.mapInArrow(only_kept, schema).toArrow()
     cols = [got.column(c).to_pylist() for c in ("h", "i", "y")]
     order = sorted(range(got.num_rows), key=lambda k: (cols[0][k], cols[1][k]))  # a retried task may come back elsewhere
-    lists = got.column("terms").combine_chunks() if got.num_rows else None
-    rows = [np.asarray(lists[k].values, np.int64) for k in order] if lists is not None else []
+    lists = got.column("terms").to_pylist()
+    rows = [np.array(lists[k], np.int64) for k in order]
     y = np.array([cols[2][k] for k in order], float)
     share = {c: n.get(c, 0) / max(1, min(n.get(c, 0), max_per_class)) for c in (0, 1)}
-    return fit(rows, y, np.where(y == 1, share[1], share[0]))
+    return fit(rows, y, np.where(y == 1, share[1], share[0]), kept)
 
 
 def scored(docs: DataFrame, model: FactorizationMachine, cut: float = CUT, text: str = "text") -> DataFrame:
