@@ -38,6 +38,14 @@ def crop(df: DataFrame, offset: Vec, shape: Vec) -> DataFrame:
     return df.filter(cond)
 
 
+def extent(df: DataFrame) -> tuple[Vec, Vec]:
+    """(offset, shape) of the smallest box that holds all voxels; ValueError if there are none."""
+    row = df.agg(*[f(a) for a in AXES for f in (F.min, F.max)]).first()
+    if row[0] is None:
+        raise ValueError("no voxels")
+    return tuple(row[0::2]), tuple(hi - lo + 1 for lo, hi in zip(row[0::2], row[1::2], strict=True))
+
+
 def with_context(boxes: DataFrame, context: Vec, available: tuple[Vec, Vec]) -> DataFrame:
     """Boxes grown by ``context`` voxels a side, cut to what the array covers."""
     out = boxes

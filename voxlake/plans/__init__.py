@@ -3,5 +3,5 @@
 from . import geometry_queries, score_queries
 from .registry import QUERIES, SQL
 
-flagship = QUERIES["agg_07_threshold_sweep"]
+flagship = QUERIES["agg_07_threshold_sweep_whole"]
 __all__ = ["QUERIES", "SQL", "flagship", "geometry_queries", "score_queries"]

@@ -111,6 +111,14 @@ def _(t):
     return configs.split_configs(configs.union_configs(parts))
 
 
+@query("src_04_split_union_configs_whole", "boxes", """
+    SELECT nickname, row_number() OVER (ORDER BY nickname) - 1 AS number, organelle FROM (SELECT 'ROI_' || lpad(CAST(id AS VARCHAR), 19, '0') AS nickname, organelle FROM boxes)""")
+def _(t):
+    named = t.boxes.select(F.concat(F.lit("ROI_"), F.lpad(F.col("id").cast("string"), 19, "0")).alias("nickname"), "organelle", "id")
+    parts = [named.filter(F.col("id") % 3 == k).drop("id") for k in (0, 1, 2)]
+    return configs.split_configs(configs.union_configs(parts))
+
+
 @query("src_06_section_numbering", "sections", """
     SELECT min(n) AS first, max(n) AS last, count(*) AS n, max(n) - min(n) + 1 = count(*) AND count(DISTINCT n) = count(*) AS contiguous
     FROM (SELECT CAST(regexp_extract(name, '.*_(\\d+).*\\.tif$', 1) AS BIGINT) AS n FROM sections)""")
@@ -331,6 +339,28 @@ def _(t):
     return merge.merge_descriptors(_two(t), ["vec_id"], "background").withColumn("v", F.round("v", 6))
 
 
+WHOLE = """a AS (SELECT vec_id, c, v FROM "desc" WHERE target <= 5), b AS (SELECT vec_id, c, v * 2 AS v FROM "desc" WHERE target IS NULL OR target >= 4),
+    u AS (SELECT 0 AS k, * FROM a UNION ALL SELECT 1, * FROM b)"""
+
+
+def _two_whole(t):
+    """All ids and channels: ids of targets 4 and 5 in both, the others in one."""
+    d = t.desc.select("vec_id", "c", "v", "target")
+    return [d.filter("target <= 5").drop("target"), d.filter("target IS NULL OR target >= 4").drop("target").withColumn("v", F.col("v") * 2)]
+
+
+@query("mrg_05_descriptors_max_whole", "desc", f"SELECT vec_id, c, round(m, 6) AS v FROM (WITH {WHOLE} SELECT vec_id, c, max(v) AS m FROM u GROUP BY vec_id, c)")
+def _(t):
+    return merge.merge_descriptors(_two_whole(t), ["vec_id"]).withColumn("v", F.round("v", 6))
+
+
+@query("mrg_05_descriptors_background_whole", "desc", f"""
+    SELECT vec_id, c, round(CASE WHEN n > 1 THEN 0 ELSE s END, 6) AS v FROM (WITH {WHOLE}, w AS (SELECT vec_id, count(DISTINCT k) AS n FROM u WHERE v <> 0 GROUP BY vec_id)
+    SELECT u.vec_id, u.c, sum(u.v) AS s, max(w.n) AS n FROM u LEFT JOIN w ON w.vec_id = u.vec_id GROUP BY u.vec_id, u.c)""")
+def _(t):
+    return merge.merge_descriptors(_two_whole(t), ["vec_id"], "background").withColumn("v", F.round("v", 6))
+
+
 @query("mrg_06_softmax", "chan", """
     SELECT z, y, x, c, round(exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY z, y, x), 6) AS v FROM (SELECT *, max(v) OVER (PARTITION BY z, y, x) AS m FROM chan)""")
 def _(t):
@@ -408,6 +438,11 @@ def _(t):
     return resample.import_gt(t.vox.filter("y < 14").select("z", "y", "x", "gt"), 14)
 
 
+@query("res_06_import_gt_whole", "vox", "SELECT z // 2 AS z, (SELECT max(y) // 2 FROM vox) - y // 2 AS y, x // 2 AS x, gt FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")
+def _(t):
+    return resample.import_gt(t.vox.select("z", "y", "x", "gt"), t.vox.agg(F.max("y")).first()[0] + 1)
+
+
 @query("res_07_mirror_transpose", "vox", """
     SELECT x - 25 AS z, (2 * 2 + 12 - 1 - y) AS y, z + 25 AS x, raw FROM (SELECT z, y, x, raw FROM vox WHERE y >= 2 AND y < 14 AND x >= 25 AND x < 32 AND z < 7)""")
 def _(t):

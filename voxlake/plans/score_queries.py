@@ -299,6 +299,11 @@ def _(t):
     return _r(metrics.sweep(rows, "lab_a", "prob", AT), "jaccard", "dice", "precision", "recall")
 
 
+@query("agg_07_threshold_sweep_whole", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL)}")
+def _(t):
+    return _r(metrics.sweep(_cells(t), "lab_a", "prob", AT), "jaccard", "dice", "precision", "recall")
+
+
 @query("agg_07_best_threshold", "vox", f"""
     SELECT 'dice' AS metric, round(max(d), 6) AS score, max_by(threshold, (d, threshold)) AS threshold FROM (SELECT *, {DICE} AS d FROM {_sweep_sql(CELL)})
     UNION ALL SELECT 'precision_recall', round(max(d), 6), max_by(threshold, (d, threshold)) FROM (SELECT *, {PREC} + {REC} AS d FROM {_sweep_sql(CELL)})""")
@@ -313,6 +318,14 @@ def _(t):
     return _r(jobs.evaluate(t.vox, "lab_a", "prob", ["mask", "mmask"], ((0, 0, 0), (7, 15, 100)), 1, AT), "jaccard", "dice", "precision", "recall")
 
 
+INNER = " AND ".join(f"{a} > (SELECT min({a}) FROM vox) AND {a} < (SELECT max({a}) FROM vox)" for a in KEY)
+
+
+@query("agg_08_evaluate_whole", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL + ' AND ' + INNER)}")
+def _(t):
+    return _r(jobs.evaluate(t.vox, "lab_a", "prob", ["mask", "mmask"], roi.extent(t.vox), 1, AT), "jaccard", "dice", "precision", "recall")
+
+
 REPORT = f"SELECT inst, lab_a AS t, CASE WHEN prob > 1 - prob THEN 1 ELSE 0 END AS p FROM ({CELL})"
 
 
