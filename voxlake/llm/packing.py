@@ -104,7 +104,7 @@ def pack(lengths: list[int], seq: int) -> list[tuple[int, int, int, int, int]]:
     return pieces
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int, seq: int = 1024, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int, seq: int = 1024, text: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
     """Pieces of all documents. sequence_id is the task's number times 2**40 plus a running number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, seq: int = 1024, text:
             return out
 
         kind = None
-        for part, got in encoded_batches(batches, text, tokenizer):
+        for part, got in encoded_batches(batches, text, tokenizer, added):
             kind = part.schema.field(id_col).type
             for k, x in zip(part.column(id_col).to_pylist(), got, strict=True):
                 keys.append(k)

@@ -36,7 +36,7 @@ FROM n JOIN g USING (k)
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, index = scratch_path(spark, "token-records"), scratch_path(spark, "token-index")
-    token_records.write_records(_docs(spark, sf_dir), files, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_records.write_records(_docs(spark, sf_dir), files, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
     token_records.write_index(spark, files, index)
     return spark.read.parquet(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -57,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hist = token_lengths.histogram(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    hist = token_lengths.histogram(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_lengths.profile(materialize(hist, "length-histogram"))
 
 
@@ -66,7 +66,7 @@ def op7_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, seq=1024)
+    return packing.packed(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, seq=1024, added=True)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from .tokens import with_token_counts
 BLOCK = 64
 
 
-def histogram(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    return with_token_counts(docs, tokenizer, text, id_col).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+def histogram(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
+    return with_token_counts(docs, tokenizer, text, id_col, added).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def profile(hist: DataFrame) -> DataFrame:

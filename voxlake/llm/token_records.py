@@ -70,12 +70,12 @@ def walk(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = after
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", id_col: str = "doc_id") -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", id_col: str = "doc_id", added: bool = False) -> None:
     """Encode and write all documents. One shuffle: texts are dealt by ranges of the id and sorted there."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = b"" if end_id is None else struct.pack("<I", end_id)
-        for part, ids in encoded_batches(batches, text, tokenizer):
+        for part, ids in encoded_batches(batches, text, tokenizer, added):
             keys = part.column(id_col).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([frame(k, np.frombuffer(x + end, "<u4"))[:-1] for k, x in zip(keys, ids, strict=True)], pa.binary())], ["r"]

@@ -6,6 +6,9 @@ be cut before every blank that follows a non-blank and its pieces be encoded eac
 on its own. Pieces are split into words by the byte-level pattern and new words are
 encoded by the tokenizer's model; pieces and words are kept in bounded caches.
 Other tokenizers (a normalizer, a prefix blank, no byte-level splitting) get whole texts.
+
+With ``added`` the file's added tokens, such as <|endoftext|>, are met in texts as the library
+does by default, and a text that holds one is encoded whole. Without it they are ordinary text.
 """
 
 from __future__ import annotations
@@ -85,13 +88,14 @@ def by_pieces(texts: list[str], first: PieceCache, after_blank: PieceCache) -> l
 
 
 class TextEncoder:
-    """Ids as little-endian unsigned 32-bit integers. Strings of special tokens in a text are ordinary text."""
+    """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
+        self.apart = [t.content for k, t in sorted(self.tok.get_added_tokens_decoder().items()) if added or not t.special]
         self.tok.no_truncation()
         self.tok.no_padding()
         pre = repr(self.tok.pre_tokenizer)
@@ -133,35 +137,42 @@ class TextEncoder:
         collecting = gc.isenabled()
         gc.disable()  # the caches hold no cycles, only many objects to walk over
         try:
-            return by_pieces(texts, self.first, self.after_blank)
+            held = [k for k, t in enumerate(texts) if any(c in t for c in self.apart)]
+            if not held:
+                return by_pieces(texts, self.first, self.after_blank)
+            apart = set(held)
+            rest = [k for k in range(len(texts)) if k not in apart]
+            got = dict(zip(held, self.whole([texts[k] for k in held]), strict=True))
+            got.update(zip(rest, by_pieces([texts[k] for k in rest], self.first, self.after_blank), strict=True))
+            return [got[k] for k in range(len(texts))]
         finally:
             if collecting:
                 gc.enable()
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
-    """One encoder for each file and Python worker."""
+def encoder(path: str, added: bool = False) -> TextEncoder:
+    """One encoder for each file, way of added tokens and Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return TextEncoder(path)
+    return TextEncoder(path, added)
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], text: str, path: str, added: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with the ids of their texts (null: empty)."""
-    enc = encoder(path)
+    enc = encoder(path, added)
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
             part = batch.slice(k, ROWS)
             yield part, enc([t or "" for t in part.column(text).to_pylist()])
 
 
-def with_token_counts(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def with_token_counts(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", added: bool = False) -> DataFrame:
     """id and n_tokens of every row; an empty or null text has none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in encoded_batches(batches, text, path):
+        for part, ids in encoded_batches(batches, text, path, added):
             yield pa.RecordBatch.from_arrays(
                 [part.column(id_col), pa.array([len(x) // 4 for x in ids], pa.int64())], [id_col, "n_tokens"]
             )
