@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
 from .components import components
-from .roi import AXES, Vec
+from .roi import AXES, Vec, extent
 
 KEY = list(AXES)
 
@@ -104,17 +104,16 @@ def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     return got.filter(F.col("__n") == need).select(*KEY)
 
 
-SIDE = 1 << 20
 TILE = (32, 32, 32)
 
 
-def _number(z, y, x):
-    """One number a voxel, in order of z, y, x."""
-    half = SIDE // 2
-    return ((z + half) * SIDE + y + half) * SIDE + x + half
+def _number(at: np.ndarray, box: tuple[Vec, Vec]) -> np.ndarray:
+    """One number for each voxel of the box, in order of z, y, x."""
+    z, y, x = (at - np.array(box[0], np.int64)).T
+    return (z * box[1][1] + y) * box[1][2] + x
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(pdf: pd.DataFrame, box: tuple[Vec, Vec]) -> pd.DataFrame:
     """The smallest voxel number that each voxel of a tile reaches inside the tile."""
     at = pdf[KEY].sort_values(KEY).to_numpy()
     lo = at.min(0)
@@ -133,19 +132,24 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
             np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
             while (label[label] != label).any():
                 label = label[label]
-    return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "root": _number(*at[label].T)})
+    return pd.DataFrame({"z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "root": _number(at[label], box)})
 
 
 def label_components(df: DataFrame, block: Vec | None = None) -> DataFrame:
-    """(z, y, x, component) of the 6-connected foreground; the component is its smallest voxel number.
+    """(z, y, x, component) of the 6-connected foreground; the component is its smallest voxel number,
+    counted in the box that holds all of ``df``; ValueError if that box has more than 2**63 voxels.
 
     Voxels are labelled inside tiles first, one numpy task a tile; then only voxels on the tiles' faces
     meet, and components of the tiles' labels are joined. With ``block`` each block stays by itself.
     """
     tile = block or TILE
     number = [F.expr(f"CAST(floor({a} / {s}) AS BIGINT)").alias(f"t{a}") for a, s in zip(AXES, tile, strict=True)]
-    rows = df.select(*[F.col(a).cast("long").alias(a) for a in KEY], *number).distinct()
-    local = materialize(rows.groupBy("tz", "ty", "tx").applyInPandas(_label_tile, "z long, y long, x long, root long"), "tiles")
+    rows = materialize(df.select(*[F.col(a).cast("long").alias(a) for a in KEY], *number).distinct(), "voxels")
+    box = extent(rows) if not rows.isEmpty() else ((0, 0, 0), (1, 1, 1))
+    if box[1][0] * box[1][1] * box[1][2] > 1 << 63:
+        raise ValueError(f"voxels of a box of {box[1]} can't be numbered in 63 bits")
+    tiles = rows.groupBy("tz", "ty", "tx").applyInPandas(lambda pdf: _label_tile(pdf, box), "z long, y long, x long, root long")
+    local = materialize(tiles, "tiles")
     if block is not None:
         return local.withColumnRenamed("root", "component")
     faces = None
