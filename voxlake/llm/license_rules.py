@@ -57,7 +57,8 @@ FAMILIES = (
     ("zlib", "zlib", "zlib licen[cs]e|zlib libpng licen[cs]e", ""),
     ("unlicense", "unlicense", "the unlicense|unlicense", ""),
     ("wtfpl", "wtfpl", "wtfpl", "1 0|2 0"),
-    ("python", "python", "python software foundation licen[cs]e|psf licen[cs]e", "2"),
+    ("python", "python", "python software foundation licen[cs]e", "2"),
+    ("python", "psf", "psf licen[cs]e", "2"),
     ("php", "php", "php licen[cs]e", "3 0|3 01"),
     ("ruby", "ruby", "ruby licen[cs]e", ""),
     ("perl", "perl", "perl licen[cs]e|same terms as perl itself", ""),
@@ -104,7 +105,7 @@ NOTICES = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 0.5),
     ("copyright", "copyright", "copyright (?:holder|owner|notice)s?", 0.3),
     ("copyright", "copr", "copr (?:19|20)[0-9]{2}", 0.4),
-    ("reserved", "rights reserved", "(?:all|some|no) rights? reserved", 0.5),
+    ("reserved", "reserved", "(?:all|some|no) rights? reserved", 0.5),
     ("reserved", "droits réservés", "tous droits réservés", 0.5),
     ("reserved", "rechte vorbehalten", "alle rechte vorbehalten", 0.5),
     ("reserved", "derechos reservados", "todos los derechos reservados", 0.5),
