@@ -120,13 +120,30 @@ def apply_mask(df: DataFrame, prob: str, mask: str, metric_mask: str | None = No
     return out if metric_mask is None else out.withColumn(metric_mask, ((F.col(mask) != 0) & (F.col(metric_mask) != 0)).cast("int"))
 
 
+DRAWS = 1_000_003
+
+
 def draw(seed: int, *keys: str | Column) -> Column:
-    """A number in [0, 1) that depends on the seed and the keys only, with integer arithmetic any engine repeats."""
-    h = F.lit(seed % 1_000_003).cast("long")
+    """One of DRAWS numbers in [0, 1) that depends on the seed and the keys only, with integer arithmetic any engine repeats.
+
+    What a key has beyond DRAWS goes through a step of its own, so that keys DRAWS apart draw apart.
+    """
+    h = F.lit(seed % DRAWS).cast("long")
     for k in keys:
-        h = F.pmod(h * 48_271 + F.pmod((F.col(k) if isinstance(k, str) else k).cast("long"), F.lit(1_000_003)) * 69_621 + 12_345, F.lit(2_147_483_647))
-    h = F.pmod(F.pmod(h, F.lit(1_000_003)) * 48_271 + 11, F.lit(1_000_003))
-    return h / 1_000_003.0
+        k = (F.col(k) if isinstance(k, str) else k).cast("long")
+        low = F.pmod(k, F.lit(DRAWS))
+        h = F.pmod(h * 48_271 + low * 69_621 + 12_345, F.lit(2_147_483_647))
+        beyond = F.pmod(F.floor((k - low) / DRAWS), F.lit(2_147_483_647))
+        h = F.when(k == low, h).otherwise(F.pmod(h * 39_373 + beyond * 16_807 + 54_321, F.lit(2_147_483_647)))
+    h = F.pmod(F.pmod(h, F.lit(DRAWS)) * 48_271 + 11, F.lit(DRAWS))
+    return h / float(DRAWS)
+
+
+def draw_below(n: Column, seed: int, *keys: str | Column) -> Column:
+    """A BIGINT in [0, n): floor(draw * n) up to DRAWS, beyond it 53 bits of a hash of the seed and the keys, so that all can be drawn."""
+    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
+    wide = F.pmod(F.xxhash64(F.lit(seed).cast("long"), *[c.cast("long") for c in cols]), F.lit(1 << 53)) / float(1 << 53)
+    return F.floor(F.when(n <= DRAWS, draw(seed, *keys)).otherwise(wide) * n).cast("long")
 
 
 def gamma_augment(df: DataFrame, col: str, block: Sequence[str], gmin: float, gmax: float, seed: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import with_rank
-from .project import draw
+from .project import draw, draw_below
 from .roi import AXES, Vec
 
 KEY = list(AXES)
@@ -52,7 +52,7 @@ def random_locations(shifts: DataFrame, n: int, grid: Vec, seed: int) -> DataFra
     at = {}
     for k, (a, g) in enumerate(zip(AXES, grid, strict=True)):
         span = F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / g)
-        at[a] = (F.col(f"lo_{a}") + F.floor(draw(seed + k, "i") * span) * g).cast("long")
+        at[a] = (F.col(f"lo_{a}") + draw_below(span, seed + k, "i") * g).cast("long")
     return rows.withColumns(at).select("i", *KEY)
 
 
@@ -109,7 +109,7 @@ def point_locations(points: DataFrame, shape: Vec, n: int, seed: int, cell: int
     ranked = with_rank(points.select("id", *KEY), "id")
     numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     draws = points.agg(F.count(F.lit(1)).alias("__n")).select("__n", F.explode(numbers).alias("i"))
-    picks = draws.select("i", (F.floor(draw(seed, "i") * F.col("__n")) + 1).cast("long").alias("rank"))
+    picks = draws.select("i", (draw_below(F.col("__n"), seed, "i") + 1).alias("rank"))
     got = picks.join(ranked, "rank")
     at = {a: (F.col(a) - F.floor(draw(seed + 1 + k, "i") * s)).cast("long") for k, (a, s) in enumerate(zip(AXES, shape, strict=True))}
     boxes = got.select("i", *[v.alias(f"o{a}") for a, v in at.items()])
