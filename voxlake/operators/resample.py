@@ -74,13 +74,13 @@ def mirror_transpose_points(points: DataFrame, offset: Vec, shape: Vec, mirror:
     return crop(mirror_transpose(points, offset, shape, mirror, perm), offset, shape)
 
 
-def simple_augment(df: DataFrame, block: Sequence[str], side: int, seed: int, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
-    """Mirror bits and an order of the axes drawn for each block; z, y, x count from the block's corner and run below ``side``."""
-    out = df
+def simple_augment(df: DataFrame, block: Sequence[str], side: int | Vec, seed: int, axes: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Mirror bits and an order of the axes of equal length drawn for each block; z, y, x count from the block's corner and run below ``side``."""
+    out, side = df, _vec(side)
     for k in axes:
         a = AXES[k]
-        out = out.withColumn(a, F.when(draw(seed + k, *block) < 0.5, side - 1 - F.col(a)).otherwise(F.col(a)))
-    orders = [p for p in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) if all(p[k] == k for k in range(3) if k not in axes)]
+        out = out.withColumn(a, F.when(draw(seed + k, *block) < 0.5, side[k] - 1 - F.col(a)).otherwise(F.col(a)))
+    orders = [p for p in ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) if all(side[p[k]] == side[k] and (k in axes or p[k] == k) for k in range(3))]
     pick = F.floor(draw(seed + 7, *block) * len(orders))
     new = {}
     for k, a in enumerate(AXES):

@@ -36,33 +36,48 @@ def validate_predictions(df: DataFrame, by: Sequence[str], scores: Sequence[str]
     return losses.join(wide, list(by), "left")
 
 
+MOST = 4 * 8**4
+
+
+def _accepted(cut: DataFrame, volume: int, n: int, seed: int, min_masked: float, p_reject: float, reject_below: float, p_keep: float) -> DataFrame:
+    """(i) of the first ``n`` accepted candidates at most."""
+    share = cut.groupBy("i").agg((F.sum((F.col("label") != 0).cast("int")) / volume).alias("ratio"), (F.sum((F.col("mask") != 0).cast("int")) / volume).alias("masked"))
+    kept = sample.accept_location(share, min_masked, p_reject, seed + 11)
+    kept = kept.filter((F.col("masked") > reject_below) | (project.draw(seed + 12, "i") > 1 - p_keep))
+    return sample.first_accepted(kept, n).select("i")
+
+
 def build_training_blocks(
     voxels: DataFrame, box: tuple[Vec, Vec], shape: Vec, n: int, seed: int, min_masked: float = 0.05, p_reject: float = 0.9, reject_below: float = 0.75, p_keep: float = 0.95,
     n_classes: int = 2, scale: tuple[float, float] = (0.9, 1.1), shift: tuple[float, float] = (-0.1, 0.1),
 ) -> DataFrame:
-    """(i, oz, oy, ox, z, y, x, raw, label, mask, scale) of ``n`` drawn blocks at most.
+    """(i, oz, oy, ox, z, y, x, raw, label, mask, scale) of ``n`` drawn blocks; ValueError if MOST * n candidates don't give them.
 
-    Locations are drawn and accepted by their share of labelled voxels, blocks are cut out by a join on
+    Locations are drawn, in rounds until there are enough, and accepted by their share of labelled voxels, blocks are cut out by a join on
     grid cells, padded, kept by their masked share, mirrored and transposed, their intensity is varied,
     and every voxel gets its class's weight. ``voxels``: z, y, x, raw (0..1), label, mask.
     """
     spark = voxels.sparkSession
     spans = ", ".join(f"CAST({o} AS BIGINT) AS lo_{a}, CAST({o + s - k + 1} AS BIGINT) AS hi_{a}" for a, o, s, k in zip(roi.AXES, *box, shape, strict=True))
-    places = sample.random_locations(spark.sql(f"SELECT {spans}"), 4 * n, (1, 1, 1), seed)
-    cut = sample.cut_blocks(voxels, places, shape)
     volume = shape[0] * shape[1] * shape[2]
-    share = cut.groupBy("i").agg((F.sum((F.col("label") != 0).cast("int")) / volume).alias("ratio"), (F.sum((F.col("mask") != 0).cast("int")) / volume).alias("masked"))
-    kept = sample.accept_location(share, min_masked, p_reject, seed + 11)
-    kept = kept.filter((F.col("masked") > reject_below) | (project.draw(seed + 12, "i") > 1 - p_keep))
-    kept = sample.first_accepted(kept, n).select("i")
+    tried = 4
+    while True:  # a candidate depends on its number only, so a larger round begins with the smaller one
+        places = sample.random_locations(spark.sql(f"SELECT {spans}"), tried * n, (1, 1, 1), seed)
+        cut = sample.cut_blocks(voxels, places, shape)
+        kept = _accepted(cut, volume, n, seed, min_masked, p_reject, reject_below, p_keep)
+        found = kept.count()
+        if found >= n:
+            break
+        if tried >= MOST:
+            raise ValueError(f"{found} of {n} blocks after {tried * n} candidates")
+        tried *= 8
     rows = places.join(F.broadcast(kept), "i").select("i", *[F.col(a).alias(f"o{a}") for a in roi.AXES])
     for a, s in zip(roi.AXES, shape, strict=True):
         rows = rows.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s - 1).cast("long"))))
     have = cut.select("i", *roi.AXES, "raw", "label", "mask")
     rows = rows.join(have, ["i", *roi.AXES], "left")
     rows = rows.withColumns({"raw": F.coalesce("raw", F.lit(0.5)), "label": F.coalesce("label", F.lit(0)), "mask": F.coalesce("mask", F.lit(0))})
-    if shape[0] == shape[1] == shape[2]:
-        rows = resample.simple_augment(rows, ["i"], shape[0], seed + 21)
+    rows = resample.simple_augment(rows, ["i"], shape, seed + 21)
     rows = project.intensity_augment(rows, "raw", ["i"], scale, shift, seed + 31)
     rows = metrics.balance_scale(rows, ["i"], "label", "mask", n_classes)
     return project.scale_shift(rows, "raw", 2.0, -1.0)
