@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests on one machine), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and all runs on one machine, a temporary one."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -31,4 +37,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return reread(spark, path, df.schema)
+
+
+def reread(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table written at ``path``, which ``discard`` may delete."""
+    table = spark.read.schema(schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` or ``reread`` returned, once nothing that is still to run reads them."""
+    for table in tables:
+        delete(table.sparkSession, _PATHS.pop(table))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` in whichever store it lies. Spark has no public call for it, so Hadoop's own is used, on the driver."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

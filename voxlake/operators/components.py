@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,9 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "cc-minima")
         large = both.filter("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "cc-large")
+        discard(low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m"), "cc-minima")
         small = large.join(low, F.col("u") == F.col("x")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = e
         e = materialize(small.union(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), "cc-small")
+        discard(last, large, low)
         now = _state(e)
         if now == before:
             return e
