@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.functions import scratch
 from voxlake.llm import exact_dedup, repeats
 
 
@@ -27,10 +28,10 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("max_cells", [repeats.MAX_CELLS, 64])
-def test_decisions_equal_brute_force(spark, max_cells):
+@pytest.mark.parametrize("max_bytes", [repeats.MAX_BYTES, 512])
+def test_decisions_equal_brute_force(spark, max_bytes):
     docs = spark.createDataFrame(ROWS, "doc_id bigint, text string").withColumn("kept", F.lit("clash")).repartition(6)
-    got = [tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in exact_dedup.decisions(docs, max_cells=max_cells).collect()]
+    got = [tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in exact_dedup.decisions(docs, max_bytes=max_bytes).collect()]
     assert sorted(got, key=str) == brute(ROWS)
 
 
@@ -58,8 +59,33 @@ def test_empty_table(spark):
 
 def test_filter_has_no_false_negative_and_few_false_positives(spark):
     keys = spark.range(20000).select(F.xxhash64(F.when(F.col("id") < 2000, F.col("id") % 1000).otherwise(F.col("id"))).alias("k"), (F.col("id") < 2000).alias("twice"))
-    cells = repeats.cell_count(20000)
-    tested = repeats.with_suspicion(keys, "k", repeats.twice_filter(keys, "k", cells), cells)
+    lay = repeats.layout(20000)
+    tested = repeats.with_hits(keys, "k", repeats.build(keys, "k", lay, 2), lay)
     n = {(r.twice, r.suspect): r["count"] for r in tested.groupBy("twice", "suspect").count().collect()}
     assert (True, False) not in n
-    assert n.get((False, True), 0) < 0.02 * 18000
+    assert n.get((False, True), 0) < 0.05 * 18000
+
+
+def test_64_times_the_keys_of_a_full_filter_go_in_ranges(spark):
+    """At most 5 % of the unique keys are suspects, at any number of keys."""
+    n, max_bytes = 1 << 18, (1 << 12) * repeats.CELLS_PER_KEY // 8
+    keys = spark.range(n).select(F.when(F.col("id") < 2000, F.col("id") % 1000).otherwise(F.col("id")).alias("i"), (F.col("id") < 2000).alias("twice"))
+    keys = scratch.materialize(keys.withColumn("h", F.xxhash64("i")), "keys")
+    assert repeats.layout(n, max_bytes).ranges == 64
+    tested, _ = repeats.suspects(keys, "h", "test", max_bytes)
+    got = {(r.twice, r.suspect): r["count"] for r in tested.groupBy("twice", "suspect").count().collect()}
+    assert (True, False) not in got and sum(got.values()) == n
+    assert got.get((False, True), 0) <= 0.05 * n
+
+
+@pytest.mark.parametrize("max_bytes", [repeats.MAX_BYTES, 64])
+def test_marked_rows_go(spark, max_bytes):
+    rows = [(i % 50 if i % 7 else None, f"t{i % 90}") for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, th int").repartition(5)
+    named = [(i, t, k % 3 == 0) for k, (i, t) in enumerate(sorted(set(rows), key=str)) if k % 2]
+    marks = spark.createDataFrame(named, "id bigint, t string, again boolean").select("id", F.xxhash64("t").alias("th"), "again")
+    got = repeats.drop_marked(docs, marks, "text", "doc_id", max_bytes)
+    assert got.columns == docs.columns
+    kinds = {(i, t): again for i, t, again in named}
+    want = [r for r in rows if r not in kinds] + [r for r, again in kinds.items() if again]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)

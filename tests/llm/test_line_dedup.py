@@ -40,10 +40,10 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("max_cells", [repeats.MAX_CELLS, 64])
-def test_equals_brute_force(spark, max_cells):
+@pytest.mark.parametrize("max_bytes", [repeats.MAX_BYTES, 512])
+def test_equals_brute_force(spark, max_bytes):
     docs = spark.createDataFrame([(i, t, "c") for i, t in ROWS], "doc_id bigint, text string, keys string").repartition(7)
-    got = line_dedup.drop_repeated_lines(docs, max_cells=max_cells).collect()
+    got = line_dedup.drop_repeated_lines(docs, max_bytes=max_bytes).collect()
     assert sorted(map(tuple, got), key=str) == brute(ROWS)
 
 

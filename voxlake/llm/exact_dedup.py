@@ -4,11 +4,17 @@ Texts are equal when they are identical after deleting blanks and the characters
 U+0009 to U+000D. Of equal texts the row with the most code points in its original
 text stays, then the one with the smallest id.
 
+Texts are read once for their SHA-256. Pass one builds the twice-seen filter of the hashes,
+pass two asks it; only rows that it names shuffle, to be confirmed by the SHA-256
+(``repeats``). ``drop_duplicates`` then reads the texts again, and those of rows that stay pass
+straight through.
+
 Defined results: a null text counts as empty, and all empty texts are one group;
 a null id sorts before all others; rows that repeat id and text are one document
-(``annotate`` gives them the same decision, ``drop_duplicates`` returns one of
-them); an empty table gives an empty table; columns of the input pass through,
-whatever their names (the operator's own temporary columns start with ``__xd_``).
+(``decisions`` gives them the same decision, ``drop_duplicates`` returns one of
+them); an empty table gives an empty table; a very long text is hashed whole, in its row;
+columns of the input pass through, whatever their names (the operator's own temporary
+columns start with ``__xd_`` or ``__dm_``).
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
 from . import repeats
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -26,73 +32,57 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+def _keys(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, th, n, key, h) of every row, written: hash of the text as it is, code points, SHA-256 of the normalized text and a hash of that."""
+    t = F.coalesce(F.col(text), F.lit(""))
     key = F.unhex(F.sha2(normalized(F.col(text)).cast("binary"), 256))
-    return docs.withColumns(
-        {"__xd_key": key, "__xd_n": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"), "__xd_id": F.col(id_col)}
-    ).withColumn("__xd_h", F.xxhash64("__xd_key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.length(t).cast("long").alias("n"), key.alias("key"))
+    return materialize(rows.withColumn("h", F.xxhash64("key")), "exact-keys")
 
 
-def _groups(keys: DataFrame, cells: int, seen_twice: DataFrame) -> DataFrame:
-    """(key, size, keep, n_keep) of every key that occurs more than once: exact confirmation of the suspects.
+def _groups(suspects: DataFrame) -> DataFrame:
+    """(gkey, size, keep, keep_n, keep_th, keep_c) of every key that occurs more than once, written: exact confirmation of the suspects.
 
-    Rows are counted per (key, id) before they meet per key, so a group that holds a
+    Rows are counted per document before they meet per key, so a group that holds a
     third of all rows is summed in every task and no task gets more than its partial sums.
     """
-    suspects = repeats.with_suspicion(keys, "__xd_h", seen_twice, cells, "__xd_s").filter("__xd_s")
-    rows = suspects.groupBy("__xd_key", "__xd_id", "__xd_n").agg(F.count(F.lit(1)).alias("c"))
-    best = F.min(F.struct((-F.col("__xd_n")).alias("neg"), F.col("__xd_id").alias("id"), F.col("c").alias("c")))
-    return (
-        rows.groupBy("__xd_key")
-        .agg(F.sum("c").alias("__xd_size"), best.alias("b"))
-        .filter("__xd_size > 1")
-        .select(
-            F.col("__xd_key").alias("__xd_gkey"), "__xd_size", F.col("b.id").alias("__xd_keep"), (-F.col("b.neg")).alias("__xd_keepn"),
-            F.col("b.c").alias("__xd_nkeep"),
-        )
+    rows = suspects.groupBy("key", "id", "n", "th").agg(F.count(F.lit(1)).alias("c"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), "id", "th", "c"))
+    sums = rows.groupBy("key").agg(F.sum("c").alias("size"), best.alias("b")).filter("size > 1")
+    return materialize(
+        sums.select(
+            F.col("key").alias("gkey"), "size", F.col("b.id").alias("keep"), (-F.col("b.neg")).alias("keep_n"), F.col("b.th").alias("keep_th"), F.col("b.c").alias("keep_c")
+        ),
+        "exact-groups",
     )
 
 
-def _prepare(docs: DataFrame, text: str, id_col: str, max_cells: int) -> tuple[DataFrame, int, DataFrame, DataFrame]:
-    """(keys of all rows, cells of the filter, twice-seen filter, confirmed groups), each written once."""
-    keys = _keyed(docs.select(id_col, text), text, id_col).select("__xd_id", "__xd_key", "__xd_n", "__xd_h")
-    keys = materialize(keys, "exact-keys")
-    cells = repeats.cell_count(keys.count(), max_cells)
-    seen_twice = materialize(repeats.twice_filter(keys, "__xd_h", cells), "exact-filter")
-    return keys, cells, seen_twice, materialize(_groups(keys, cells, seen_twice), "exact-groups")
-
-
-def _split(rows: DataFrame, cells: int, seen_twice: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that surely are unique, suspects with their group or nulls)."""
-    tested = repeats.with_suspicion(rows, "__xd_h", seen_twice, cells, "__xd_s")
-    suspects = tested.filter("__xd_s").join(groups, F.col("__xd_key") == F.col("__xd_gkey"), "left")
-    return tested.filter("NOT __xd_s"), suspects
-
-
-def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_cells: int = repeats.MAX_CELLS) -> DataFrame:
+def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bytes: int = repeats.MAX_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. Texts are read once and never shuffle."""
-    keys, *known = _prepare(docs, text, id_col, max_cells)
-    unique, grouped = _split(keys, *known)
-    unique = unique.select(
-        F.col("__xd_id").alias(id_col), F.col("__xd_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.lower(F.hex("__xd_key")).alias("text_sha256"),
-    )
-    alone = F.col("__xd_size").isNull()
-    keep = F.when(alone, F.col("__xd_id")).otherwise(F.col("__xd_keep"))
-    stays = alone | (keep.eqNullSafe(F.col("__xd_id")) & (F.col("__xd_n") == F.col("__xd_keepn")))
-    suspects = grouped.select(
-        F.col("__xd_id").alias(id_col), keep.alias("keep_id"), F.coalesce("__xd_size", F.lit(1).cast("long")).alias("group_size"),
-        stays.alias("kept"), F.lower(F.hex("__xd_key")).alias("text_sha256"),
-    )
-    return unique.unionByName(suspects)
-
-
-def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_cells: int = repeats.MAX_CELLS) -> DataFrame:
-    """``docs`` with one row of each group of equal texts. Only suspected rows shuffle; the others pass straight through."""
-    _, *known = _prepare(docs, text, id_col, max_cells)
-    unique, suspects = _split(_keyed(docs, text, id_col), *known)
-    kept = suspects.filter(F.col("__xd_size").isNull() | (F.col("__xd_keep").eqNullSafe(F.col("__xd_id")) & (F.col("__xd_n") == F.col("__xd_keepn"))))
-    once = kept.filter(F.coalesce(F.col("__xd_nkeep"), F.lit(1)) == 1)
-    again = kept.filter(F.col("__xd_nkeep") > 1).dropDuplicates(["__xd_key"])
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return unique.select(cols).union(once.select(cols)).union(again.select(cols))
+    tested, _ = repeats.suspects(_keys(docs, text, id_col), "h", "exact", max_bytes)
+    sha = F.lower(F.hex("key")).alias("text_sha256")
+    unique = tested.filter("NOT suspect").select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+    suspects = tested.filter("suspect")
+    grouped = suspects.join(_groups(suspects), F.col("key") == F.col("gkey"), "left")
+    alone = F.col("size").isNull()
+    stays = alone | (F.col("keep").eqNullSafe(F.col("id")) & (F.col("n") == F.col("keep_n")))
+    return unique.unionByName(
+        grouped.select(
+            F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+            stays.alias("kept"), sha,
+        )
+    )
+
+
+def drop_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bytes: int = repeats.MAX_BYTES) -> DataFrame:
+    """``docs`` with one row of each group of equal texts. Which rows go is decided on hashes; texts of the rows that stay don't shuffle."""
+    keys = _keys(docs, text, id_col)
+    tested, read = repeats.suspects(keys, "h", "exact", max_bytes)
+    suspects = tested.filter("suspect")
+    groups = _groups(suspects)
+    stays = F.col("keep").eqNullSafe(F.col("id")) & (F.col("th") == F.col("keep_th"))
+    lost = suspects.join(groups, F.col("key") == F.col("gkey")).filter(~stays).select("id", "th").distinct().withColumn("again", F.lit(False))
+    again = groups.filter("keep_c > 1").select(F.col("keep").alias("id"), F.col("keep_th").alias("th"), F.lit(True).alias("again"))
+    kept = repeats.drop_marked(docs, lost.union(again), text, id_col, max_bytes)
+    discard(keys, groups, *read)
+    return kept
