@@ -80,11 +80,12 @@ def test_a_full_shard_is_one_component():
     assert set(BkForest(fps, np.zeros(len(fps), np.int64)).components(2).tolist()) == {0}
 
 
-def test_links_of_all_shards_equal_brute_force(spark):
+@pytest.mark.parametrize("shard", [simhash.SHARD, 2])
+def test_links_of_all_shards_equal_brute_force(spark, shard):
     fps = near(random.Random(3), 300)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    found = {r.u: r.v for r in components(simhash.shard_links(df)).collect()}
+    found = {r.u: r.v for r in components(simhash.shard_links(df, shard=shard)).collect()}
     groups, want = {}, {}
     for f, s, k in zip(fps, signed, brute_components(fps)):
         groups.setdefault(found.get(s, s), set()).add(f)
