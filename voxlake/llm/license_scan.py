@@ -8,7 +8,9 @@ apart and always keep their labels.
 
 score = 1 - product of (1 - weight) over the labels found, 0 without any; a base label
 alone weighs BASE_WEIGHT. Null and empty texts have no words and no labels; every row has a
-result, also repeated ones; an empty table gives none. Columns other than id and text are ignored.
+result, also repeated ones; an empty table gives none; a very long text is scanned whole, in its row.
+Of detections of one priority the one that starts first is taken first, then the longer, then by label.
+Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
