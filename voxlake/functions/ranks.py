@@ -1,22 +1,58 @@
-"""Global row numbers without a global sort in one task."""
+"""Ranges of an integer column with about as many rows each, and global row numbers without a global sort in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
+ROWS_PER_RANGE = 100_000
+MAX_RANGES = 4096
+STEP = 64
+
+
+def cuts(df: DataFrame, value: Column, n: int) -> list[int]:
+    """At most ``n - 1`` ascending approximate quantiles; one that holds for many rows comes as often."""
+    if n < 2:
+        return []
+    got = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
+    return [int(v) for v in got or ()]
+
+
+def range_number(value: Column, at: list[int], spread: Column) -> Column:
+    """The range of ``value``: 0 below the first cut, one more after each.
+
+    A value that is cut k times has a share of k + 1 ranges; its rows are dealt there by ``spread``, a number in
+    [0, 1), in that order. Cuts are searched in two steps of at most STEP, or their number by STEP.
+    """
+    if not at:
+        return F.lit(0).cast("long")
+    kind = "array<decimal(20,0)>"
+    distinct, counts = zip(*sorted(Counter(at).items()), strict=True)
+    before = list(accumulate(counts, initial=0))
+    v = value.cast("decimal(20,0)")
+    table = F.expr(f"cast(array({','.join(f'{x}BD' for x in distinct)}) AS {kind})")
+    coarse = F.expr(f"cast(array({','.join(f'{x}BD' for x in distinct[::STEP])}) AS {kind})")
+    base = F.greatest(F.size(F.filter(coarse, lambda c: c < v)) - 1, F.lit(0)) * STEP
+    place = base + F.size(F.filter(F.slice(table, base + 1, F.lit(STEP)), lambda c: c < v))
+    starts = F.array(*[F.lit(b) for b in before])
+    first, after = F.get(starts, place), F.get(starts, place + 1)
+    own = F.coalesce(F.get(table, place) == v, F.lit(False))
+    return (first + F.when(own, F.floor(spread * (after - first + 1))).otherwise(0)).cast("long")
 
 
 def with_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
     """Add ``out``: 1, 2, ... in order of the integer column ``key``, ties in any order.
 
-    Keys are cut into RANGES ranges of equal width; rows are numbered inside each and shifted by the ranges before.
+    Rows are numbered inside ranges cut at quantiles and shifted by the ranges before, of which there are at most MAX_RANGES.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    width = -(-((hi or 0) - (lo or 0) + 1) // RANGES)
-    rows = df.withColumn("__r", F.expr(f"({key} - {lo or 0}) DIV {width}"))
+    n = df.count()
+    at = cuts(df, F.col(key), max(1, min(MAX_RANGES, n // ROWS_PER_RANGE)))
+    share = F.xxhash64(*df.columns) / F.lit(2.0**64) + 0.5
+    rows = df.withColumn("__r", range_number(F.col(key), at, F.least(share, F.lit(1 - 2.0**-53))))
     sizes = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
