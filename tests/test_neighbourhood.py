@@ -74,6 +74,15 @@ def test_foreground_mask_of_a_box_with_salt_and_pepper(spark):
     assert got[0, 11, 11] == 0 and got[1, 0, 0] == 0
 
 
+def test_an_object_counts_with_its_hole(spark):
+    """A shell of 26 voxels round one hole is kept at 27."""
+    a = np.zeros((5, 5, 5), int)
+    a[1:4, 1:4, 1:4] = 100
+    a[2, 2, 2] = 0
+    mask = N.foreground_mask(table(spark, a, "all"), ((0, 0, 0), a.shape), 2, 180, 0, 0, 27)
+    assert {(r.z, r.y, r.x) for r in mask.filter("mask = 255").collect()} == {(z, y, x) for z in (1, 2, 3) for y in (1, 2, 3) for x in (1, 2, 3)}
+
+
 def test_clip_spends_what_is_cut_off():
     assert H.clip_counts(np.array([10, 0, 0, 0]), 4).tolist() == [4, 2, 2, 2]
     assert H.clip_counts(np.array([9, 3, 0, 0]), 4).tolist() == [4, 4, 2, 2]
@@ -92,3 +101,54 @@ def test_clahe_range_and_constant(spark):
     rows = {(r.z, r.y, r.x): r.v for r in H.clahe(table(spark, a, "all"), 4, 0.2).collect()}
     again = {(r.z, r.y, r.x): r.v for r in H.clahe(table(spark, a, "all").repartition(7), 4, 0.2).collect()}
     assert rows == again
+
+
+def equalised(image, kernel, clip, nbins=256):
+    """The whole image at once: its rim of half a kernel filled, then mirrored to full tiles."""
+    half = kernel // 2
+    grey = np.rint(np.pad(image, half, constant_values=int(image.mean())) / 255 * (H.GREY - 1)).astype(int)
+    grey = np.pad(grey, [(0, -n % kernel) for n in grey.shape], mode="reflect") // H.bin_size(nbins)
+    maps = {}
+    for t in np.ndindex(*[n // kernel for n in grey.shape]):
+        counts = np.bincount(grey[tuple(slice(i * kernel, (i + 1) * kernel) for i in t)].ravel(), minlength=nbins)
+        upto = np.cumsum(H.clip_counts(counts, max(1, int(clip * kernel**3)) if clip else kernel**3))
+        maps[t] = np.minimum(np.floor(upto * ((H.GREY - 1) / kernel**3)), H.GREY - 1)
+    top = np.array([n // kernel for n in grey.shape]) - 1
+    out = np.zeros(image.shape, int)
+    for p in np.ndindex(*image.shape):
+        at = np.array(p) - kernel % 2
+        v = 0.0
+        for up in np.ndindex(2, 2, 2):
+            share = np.prod(np.where(np.array(up) == 1, at % kernel / kernel, 1 - at % kernel / kernel))
+            v += share * maps[tuple(np.clip(at // kernel + up, 0, top))][grey[tuple(np.array(p) + half)]]
+        out[p] = int(int(v + 1e-9) / (H.GREY - 1) * 255)
+    return out
+
+
+@pytest.mark.parametrize("kernel,clip,shape", [(4, 0.02, (8, 8, 8)), (4, 0.3, (5, 6, 7)), (3, 0.1, (7, 4, 6)), (6, 0.0, (6, 9, 7))])
+def test_clahe_equals_a_plain_version(spark, kernel, clip, shape):
+    a = np.random.default_rng(kernel).integers(40, 200, shape)
+    want = equalised(a, kernel, clip)
+    got = np.zeros(shape, int)
+    for r in H.clahe(table(spark, a, "all"), kernel, clip).collect():
+        got[r.z, r.y, r.x] = r.v
+    assert np.abs(got - want).max() <= 1 and (got != want).mean() < 0.01
+
+
+def test_clahe_of_a_box_looks_half_a_kernel_round_it(spark):
+    a = np.random.default_rng(1).integers(0, 256, (12, 12, 12))
+    whole = {(r.z, r.y, r.x): r.v for r in H.clahe(table(spark, a, "all"), 4, 0.1).collect()}
+    part = {(r.z, r.y, r.x): r.v for r in H.clahe(table(spark, a, "all"), 4, 0.1, box=((4, 4, 4), (4, 4, 4))).collect()}
+    assert len(part) == 64 and all(whole[p] == v for p, v in part.items())
+    assert H.clahe(table(spark, a, "all").filter("false"), 4).count() == 0
+
+
+def test_metric_mask_equals_dilation_without_erosion(spark):
+    a = (np.random.default_rng(3).random((6, 9, 8)) < 0.7).astype(int)
+    for out, inw in ((2, 1), (1, 2), (0, 1)):
+        mask = N.metric_mask(table(spark, a, "all"), table(spark, a), out, inw)
+        wide, narrow = solid(N.dilate(table(spark, a), out, ((0, 0, 0), a.shape)), a.shape), solid(N.erode(table(spark, a), inw), a.shape)
+        got = np.ones(a.shape, int)
+        for r in mask.collect():
+            got[r.z, r.y, r.x] = r.mask
+        assert ((got == 0) == ((wide == 1) & (narrow == 0))).all()

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .roi import AXES, Vec
+from .roi import AXES, Vec, crop, extent
 
 KEY = list(AXES)
 GREY = 1 << 14
 TILES = ["tz", "ty", "tx"]
+CELLS = ["cz", "cy", "cx"]
 
 
 def to_14bit(v: Column, lo, hi) -> Column:
@@ -80,24 +81,28 @@ def map_histogram(hist: DataFrame, n_pixels: int, top: int = GREY - 1) -> DataFr
 
 
 def apply_mapping(df: DataFrame, maps: DataFrame, kernel: int | Vec, nbins: int = 256, value: str = "g") -> DataFrame:
-    """(z, y, x, v): mappings of the 8 surrounding tiles blended by weights i / k; a tile without voxels takes the nearest one's place by its own absence.
+    """(z, y, x, v): mappings of the 8 surrounding tiles blended by weights i / k. A tile or bin without a mapping counts as 0.
 
-    A voxel looks up eight (tile, bin) rows; the table of mappings has ``nbins`` rows a tile, far fewer than voxels.
+    The mappings of the tiles round a cell of ``kernel`` voxels are gathered in one row, 8 arrays of ``nbins`` numbers,
+    and each voxel meets the row of its cell: one join, in which a cell brings at most ``kernel`` voxels.
     """
     k = (kernel,) * 3 if isinstance(kernel, int) else kernel
-    rows = df.withColumn("bin", F.expr(f"CAST({value} DIV {bin_size(nbins)} AS INT)"))
-    corners = []
-    for c in range(8):
-        step = [(c >> 2) & 1, (c >> 1) & 1, c & 1]
-        tile, weight = [], F.lit(1.0)
-        for a, s, up, t in zip(AXES, k, step, TILES, strict=True):
-            r = F.pmod(F.col(a), F.lit(s)) / s
-            tile.append((F.floor(F.col(a) / s) + up).cast("long").alias(t))
+    filled = "flatten(transform(set, (e, i) -> concat(array_repeat(0, e.bin - if(i = 0, -1, set[i - 1].bin) - 1), array(e.m))))"
+    tiles = maps.groupBy(*TILES).agg(F.sort_array(F.collect_list(F.struct("bin", "m"))).alias("set")).select(*TILES, F.expr(filled).alias("map"))
+    steps = [((c >> 2) & 1, (c >> 1) & 1, c & 1) for c in range(8)]
+    around = F.array(*[F.struct(F.lit(c).alias("corner"), *[(F.col(t) - up).alias(n) for t, up, n in zip(TILES, step, CELLS, strict=True)]) for c, step in enumerate(steps)])
+    cells = tiles.select("map", F.inline(around)).groupBy(*CELLS).agg(*[F.first(F.when(F.col("corner") == c, F.col("map")), True).alias(f"m{c}") for c in range(8)])
+    odd = [s % 2 for s in k]  # the grid of an odd kernel's cells starts one voxel later
+    own = {n: F.floor((F.col(a) - o) / s).cast("long") for n, a, s, o in zip(CELLS, AXES, k, odd, strict=True)}
+    rows = df.withColumns({"bin": F.expr(f"CAST({value} DIV {bin_size(nbins)} AS INT)"), **own}).join(cells, CELLS, "left")
+    blend = F.lit(0.0)
+    for c, step in enumerate(steps):
+        weight = F.lit(1.0)
+        for a, s, o, up in zip(AXES, k, odd, step, strict=True):
+            r = F.pmod(F.col(a) - o, F.lit(s)) / s
             weight = weight * (r if up else 1 - r)
-        corners.append(F.struct(*tile, weight.alias("w")))
-    rows = rows.select(*KEY, "bin", F.inline(F.array(*corners)))
-    hit = rows.join(maps, [*TILES, "bin"], "left")
-    return hit.groupBy(*KEY).agg((F.sum(F.col("w") * F.coalesce("m", F.lit(0)))).alias("v"))
+        blend = blend + weight * F.coalesce(F.get(f"m{c}", F.col("bin")), F.lit(0))
+    return rows.select(*KEY, blend.alias("v"))
 
 
 def clamp_tiles(maps: DataFrame, lo: Vec, hi: Vec) -> DataFrame:
@@ -109,21 +114,50 @@ def clamp_tiles(maps: DataFrame, lo: Vec, hi: Vec) -> DataFrame:
     return out
 
 
-def clahe(df: DataFrame, kernel: int = 128, clip: float = 0.02, nbins: int = 256, value: str = "v") -> DataFrame:
-    """Contrast limited adaptive equalisation on one global tile grid: (z, y, x, v) with v in 0..255.
+def full_tiles(grey: DataFrame, kernel: Vec, shape: Vec, fill: int, nbins: int) -> DataFrame:
+    """(tz, ty, tx, bin, n) of all tiles of a box at 0 and of half a kernel round it, each of kernel voxels in all.
 
-    The grid of tiles is the one that every block with a halo of half a kernel sees, so the
-    result doesn't depend on how the volume is cut. Tiles that hang over the volume have fewer voxels.
+    Absent voxels have the grey value ``fill``; where the last tile goes beyond the half kernel, what lies before mirrors into it.
     """
-    lo, hi = value_range(df, value).first()
-    grey = df.withColumn("g", to_14bit(F.col(value), lo, hi))
-    n = kernel**3
-    limit = max(1, int(clip * n)) if clip > 0 else 0
-    hist = tile_histogram(grey, kernel, nbins)
-    maps = map_histogram(clip_histogram(hist, limit, nbins), n)
-    ends = hist.agg(*[f(t) for t in TILES for f in (F.min, F.max)]).first()
-    maps = clamp_tiles(maps, ends[0::2], ends[1::2])
-    return apply_mapping(grey, maps, kernel, nbins).withColumn("v", F.floor(F.floor("v") / (GREY - 1) * 255).cast("int"))
+    out, n_tiles = grey, []
+    for a, t, k, s in zip(AXES, TILES, kernel, shape, strict=True):
+        half = k // 2
+        n_tiles.append(-(-(s + 2 * half) // k))
+        end, last = s + half - 1, n_tiles[-1] * k - half - 1
+        places = F.expr(f"filter(array({a}, 2 * {end} - {a}), p -> p >= -{half} AND p <= {last})" if last > end else f"array({a})")
+        out = out.filter((F.col(a) >= -half) & (F.col(a) <= end)).withColumn("__p", F.explode(places)).withColumn(t, F.floor((F.col("__p") + half) / k).cast("long"))
+    counts = out.groupBy(*TILES, F.expr(f"CAST(g DIV {bin_size(nbins)} AS INT)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    z, y, x = n_tiles
+    grid = grey.sparkSession.range(z * y * x).select(F.expr(f"id DIV {y * x}").alias("tz"), F.expr(f"id DIV {x} % {y}").alias("ty"), F.expr(f"id % {x}").alias("tx"))
+    have = counts.groupBy(*TILES).agg(F.sum("n").alias("have"))
+    lack = grid.join(have, TILES, "left").select(*TILES, F.lit(fill // bin_size(nbins)).cast("int").alias("bin"), (F.lit(kernel[0] * kernel[1] * kernel[2]) - F.coalesce("have", F.lit(0))).alias("n"))
+    return counts.unionByName(lack.filter("n > 0")).groupBy(*TILES, "bin").agg(F.sum("n").alias("n"))
+
+
+def clahe(
+    df: DataFrame, kernel: int | Vec = 128, clip: float = 0.02, nbins: int = 256, value: str = "v", grey: tuple[float, float] = (0, 255), box: tuple[Vec, Vec] | None = None
+) -> DataFrame:
+    """Contrast limited adaptive equalisation of ``box`` (that of all voxels if not given) on one tile grid: (z, y, x, v) with v in 0..255.
+
+    ``grey`` is the range of the values' type, not of those found. Voxels up to half a kernel outside the box are looked
+    at if they are there; what is absent counts as the box's mean, cut to an integer. So a box that is smaller than the
+    volume by half a kernel a side needs none. An empty table gives no row.
+    """
+    k = (kernel,) * 3 if isinstance(kernel, int) else tuple(kernel)
+    if box is None:
+        if df.isEmpty():
+            return df.select(*KEY, F.lit(0).alias("v"))
+        box = extent(df)
+    offset, shape = box
+    mean = crop(df, *box).agg(F.avg(value)).first()[0]
+    fill = df.sparkSession.range(1).select(to_14bit(F.lit(float(int(mean or 0))), *grey)).first()[0]
+    rows = df.select(*[(F.col(a) - o).cast("long").alias(a) for a, o in zip(AXES, offset, strict=True)], to_14bit(F.col(value), *grey).alias("g"))
+    n = k[0] * k[1] * k[2]
+    hist = clip_histogram(full_tiles(rows, k, shape, fill, nbins), max(1, int(clip * n)) if clip > 0 else n, nbins)
+    tops = [-(-(s + 2 * (m // 2)) // m) - 1 for s, m in zip(shape, k, strict=True)]
+    maps = clamp_tiles(map_histogram(hist, n), (0, 0, 0), tops)
+    out = apply_mapping(crop(rows, (0, 0, 0), shape), maps, k, nbins)
+    return out.select(*[(F.col(a) + o).alias(a) for a, o in zip(AXES, offset, strict=True)], F.floor(F.floor("v") / (GREY - 1) * 255).cast("int").alias("v"))
 
 
 def match_histograms(src: DataFrame, tmpl: DataFrame, value: str = "v", mask: str = "mask") -> DataFrame:

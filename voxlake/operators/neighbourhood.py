@@ -68,9 +68,16 @@ def boundary(df: DataFrame, radius: int = 4, box: tuple[Vec, Vec] | None = None)
 
 
 def metric_mask(grid: DataFrame, foreground: DataFrame, outwards: int, inwards: int, on: int = 255) -> DataFrame:
-    """mask = 0 where dilate(outwards) AND NOT erode(inwards), else ``on``; context is the larger of the two."""
-    wide, narrow = dilate(foreground, outwards), erode(foreground, inwards)
-    band = wide.join(narrow, KEY, "left_anti").withColumn("__b", F.lit(1))
+    """mask = 0 where dilate(outwards) AND NOT erode(inwards), else ``on``; context is the larger of the two.
+
+    Every foreground voxel is sent once to the larger of the two balls, counted apart where it is inside either.
+    """
+    ball = sorted({*cross_ball(outwards), *cross_ball(inwards)})
+    wide, narrow = set(cross_ball(outwards)), set(cross_ball(inwards))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES, strict=True)], F.lit(int(o in wide)).alias("w"), F.lit(int(o in narrow)).alias("n")) for o in ball])
+    sent = foreground.select(*KEY, F.inline(steps)).select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY], "w", "n")
+    band = sent.groupBy(*KEY).agg(F.sum("w").alias("w"), F.sum("n").alias("n")).filter((F.col("w") > 0) & (F.col("n") < len(narrow)))
+    band = band.select(*KEY, F.lit(1).alias("__b"))
     return grid.join(band, KEY, "left").select(*KEY, F.when(F.col("__b") == 1, 0).otherwise(on).alias("mask"))
 
 
@@ -179,10 +186,12 @@ def foreground_mask(
     raw: DataFrame, box: tuple[Vec, Vec], lo: int = 2, hi: int = 180, opening: int = 3, closing: int = 2, min_size: int = 100_000,
     block: Vec | None = None,
 ) -> DataFrame:
-    """mask = 255 for the foreground: lo < v < hi, opened, closed, small objects removed and small holes filled."""
+    """mask = 255 for the foreground: lo < v < hi, opened, closed, small holes filled, then small objects removed.
+
+    In that order: an object counts with its holes filled."""
     fg = raw.filter((F.col("v") > lo) & (F.col("v") < hi)).select(*KEY)
     fg = materialize(close_ball(open_ball(fg, opening, box), closing, box), "mask")
-    fg = materialize(fill_small(raw, remove_small(fg, min_size, block), min_size, block).withColumn("__f", F.lit(1)), "mask")
+    fg = materialize(remove_small(fill_small(raw, fg, min_size, block), min_size, block).withColumn("__f", F.lit(1)), "mask")
     return raw.join(fg, KEY, "left").select(*KEY, F.when(F.col("__f") == 1, 255).otherwise(0).alias("mask"))
 
 
