@@ -34,17 +34,18 @@ def _row(chunk, offset, a: np.ndarray, dtype: str) -> tuple:
     return (*map(int, chunk), *map(int, offset), *a.shape, dtype, bytes_of(a))
 
 
-def blocks_to_voxels(blocks: DataFrame, kind: str = "double", skip: float | None = None) -> DataFrame:
-    """(z, y, x, v); voxels equal to ``skip`` are left out."""
+def blocks_to_voxels(blocks: DataFrame, kind: str = "double", skip: float | None = None, also: str | None = None) -> DataFrame:
+    """(z, y, x, v); voxels equal to ``skip`` are left out. ``also`` is the name and type of a column that is carried on."""
+    more = also.split()[:1] if also else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 a = array_of(row)
                 at = np.argwhere(np.ones(a.shape, bool) if skip is None else a != skip)
-                yield pd.DataFrame({"z": at[:, 0] + row.oz, "y": at[:, 1] + row.oy, "x": at[:, 2] + row.ox, "v": a[tuple(at.T)]})
+                yield pd.DataFrame({"z": at[:, 0] + row.oz, "y": at[:, 1] + row.oy, "x": at[:, 2] + row.ox, "v": a[tuple(at.T)], **{m: getattr(row, m) for m in more}})
 
-    return blocks.select(COLUMNS).mapInPandas(run, f"z long, y long, x long, v {kind}")
+    return blocks.select(*COLUMNS, *more).mapInPandas(run, f"z long, y long, x long, v {kind}" + (f", {also}" if also else ""))
 
 
 def voxels_to_blocks(df: DataFrame, offset: Vec, shape: Vec, chunk: Vec, dtype: str, fill: float = 0, value: str = "v") -> DataFrame:

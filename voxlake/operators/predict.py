@@ -20,9 +20,9 @@ def cover(box: tuple[Vec, Vec], out_shape: Vec) -> tuple[Vec, Vec]:
 
 
 def predict_blocks(
-    blocks: DataFrame, model_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], in_shape: Vec, out_shape: Vec, box: tuple[Vec, Vec], n_classes: int, fill: float = 0
+    blocks: DataFrame, model_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], in_shape: Vec, out_shape: Vec, box: tuple[Vec, Vec], n_classes: int, fill: float = 0, split: bool = True
 ) -> DataFrame:
-    """Blocks (c, then as the input) of the classes' outputs.
+    """Blocks (c, then as the input) of the classes' outputs; without ``split`` those of a chunk one after another along z in one row.
 
     ``blocks`` are chunks of ``out_shape``; each is grown to ``in_shape`` by a halo exchange. ``model_fn``
     loads the model, once for each Python worker; it takes the grown block and returns (classes, *out_shape).
@@ -38,7 +38,10 @@ def predict_blocks(
 
     stacked = B.with_halo(blocks, context, run, box, out_shape, fill, "float64")
 
-    def split(batches):
+    if not split:
+        return stacked
+
+    def by_class(batches):
         import pandas as pd
 
         for batch in batches:
@@ -49,7 +52,43 @@ def predict_blocks(
                 rows += [(c, *B._row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), a[c * depth : (c + 1) * depth], row.dtype)) for c in range(n_classes)]
             yield pd.DataFrame(rows, columns=["c", *B.COLUMNS])
 
-    return stacked.mapInPandas(split, "c int, " + B.SCHEMA)
+    return stacked.mapInPandas(by_class, "c int, " + B.SCHEMA)
+
+
+def prediction(
+    blocks: DataFrame, model_fn: Callable[[], Callable[[np.ndarray], np.ndarray]], in_shape: Vec, out_shape: Vec, box: tuple[Vec, Vec], n_classes: int,
+    mask: DataFrame | None = None, fill: float = 0,
+) -> DataFrame:
+    """Blocks with a column array: prob_maps/class_<c> (softmax, float32) and segmentation (uint8: the class of the highest score, 0 outside the mask).
+
+    The model runs once a block, and all its arrays come from that one output. ``mask``: blocks of the same chunks; a chunk without one is outside.
+    """
+    scores = predict_blocks(blocks, model_fn, in_shape, out_shape, box, n_classes, fill, split=False)
+    masked = mask is not None
+    if masked:
+        scores = scores.join(mask.select(*B.CHUNK, F.col("dtype").alias("mask_dtype"), F.col("data").alias("mask")), B.CHUNK, "left")
+    else:
+        scores = scores.withColumns({"mask_dtype": F.lit(None).cast("string"), "mask": F.lit(None).cast("binary")})
+
+    def arrays(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples():
+                v = B.array_of(row)
+                v = v.reshape(n_classes, v.shape[0] // n_classes, *v.shape[1:])
+                e = np.exp(v - v.max(0))
+                place = (row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox)
+                rows += [(f"prob_maps/class_{c}", *B._row(*place, p.astype(np.float32), "float32")) for c, p in enumerate(e / e.sum(0))]
+                best = v.argmax(0).astype(np.uint8)
+                if masked:
+                    inside = np.frombuffer(row.mask, np.dtype(row.mask_dtype).newbyteorder("<")).reshape(best.shape) != 0 if row.mask is not None else False
+                    best = np.where(inside, best, 0).astype(np.uint8)
+                rows.append(("segmentation", *B._row(*place, best, "uint8")))
+            yield pd.DataFrame(rows, columns=["array", *B.COLUMNS])
+
+    return scores.mapInPandas(arrays, "array string, " + B.SCHEMA)
 
 
 def class_maps(scores: DataFrame) -> DataFrame:

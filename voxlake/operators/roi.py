@@ -138,9 +138,8 @@ def boxes_to_mask(grid: DataFrame, boxes: DataFrame, cell: int = 32, value: int
     inside = (F.col("vy") == F.col("cy")) & (F.col("vx") == F.col("cx"))
     for a in AXES:
         inside = inside & (F.col(a) >= F.col(f"o{a}")) & (F.col(a) < F.col(f"o{a}") + F.col(f"s{a}"))
-    marked = voxels.join(spots, inside, "left_semi").select(*AXES, F.lit(value).alias("mask"))
-    rest = voxels.join(spots, inside, "left_anti").select(*AXES, F.lit(0).alias("mask"))
-    return marked.unionByName(rest)
+    met = voxels.join(spots, inside, "left").select(*[voxels[a] for a in AXES], F.col("cy").isNotNull().cast("int").alias("__in"))
+    return met.groupBy(*AXES).agg((F.max("__in") * value).alias("mask"))
 
 
 def import_offsets(spec: DataFrame, raw_y: int, resolution: Vec, shift: int = 0) -> DataFrame:

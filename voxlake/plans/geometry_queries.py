@@ -20,17 +20,24 @@ def _(t):
     return roi.to_vox(roi.to_nm(t.boxes, (5, 4, 4)), (5, 4, 4)).drop("organelle")
 
 
-@query("roi_02_crop", "vox", "SELECT * FROM vox WHERE z >= 1 AND z < 5 AND y >= 2 AND y < 11 AND x >= 10 AND x < 70")
+HEIGHT = "(SELECT max(y) + 1 FROM vox)"
+
+
+def _height(t) -> int:
+    return t.vox.agg(F.max("y")).first()[0] + 1
+
+
+@query("roi_02_crop", "vox", f"SELECT * FROM vox WHERE z >= 1 AND z < 5 AND y >= 2 AND y < {HEIGHT} - 2 AND x >= 10 AND x < 70")
 def _(t):
-    return roi.crop(t.vox, (1, 2, 10), (4, 9, 60))
+    return roi.crop(t.vox, (1, 2, 10), (4, _height(t) - 4, 60))
 
 
 @query("roi_03_with_context", "boxes", """
     SELECT id, greatest(oz - 1, 0) AS oz, greatest(oy - 2, 0) AS oy, greatest(ox - 3, 0) AS ox,
-           least(oz + sz + 1, 7) - greatest(oz - 1, 0) AS sz, least(oy + sy + 2, 15) - greatest(oy - 2, 0) AS sy,
-           least(ox + sx + 3, 90) - greatest(ox - 3, 0) AS sx FROM boxes""")
+           least(oz + sz + 1, 7) - greatest(oz - 1, 0) AS sz, least(oy + sy + 2, (SELECT max(y) + 1 FROM vox)) - greatest(oy - 2, 0) AS sy,
+           least(ox + sx + 3, 100) - greatest(ox - 3, 0) AS sx FROM boxes""")
 def _(t):
-    return roi.with_context(t.boxes, (1, 2, 3), ((0, 0, 0), (7, 15, 90))).select("id", *BOX6.split(", "))
+    return roi.with_context(t.boxes, (1, 2, 3), ((0, 0, 0), (7, _height(t), 100))).select("id", *BOX6.split(", "))
 
 
 @query("roi_04_grow_to", "boxes", """
@@ -75,12 +82,12 @@ def _(t):
     return roi.tile_boxes(t.boxes, (1, 2, 3)).select("id", "bz", F.col("by").alias("by_"), "bx", "tz", "ty", "tx")
 
 
-@query("roi_11_crop_pad", "vox", """
+@query("roi_11_crop_pad", "vox", f"""
     SELECT a.z + 1 AS z, b.y + 2 AS y, c.x AS x, coalesce(v.raw, 0) AS raw
-    FROM (SELECT unnest(range(-1, 8)) AS z) a, (SELECT unnest(range(-2, 10)) AS y) b, (SELECT unnest(range(90, 110)) AS x) c
+    FROM (SELECT unnest(range(-1, 8)) AS z) a, (SELECT unnest(range(-2, {HEIGHT} + 3)) AS y) b, (SELECT unnest(range(10, 110)) AS x) c
     LEFT JOIN vox v ON v.z = a.z AND v.y = b.y AND v.x = c.x""")
 def _(t):
-    return resample.crop_pad(t.vox, (-1, -2, 90), (9, 12, 20), "raw")
+    return resample.crop_pad(t.vox, (-1, -2, 10), (9, _height(t) + 5, 100), "raw")
 
 
 @query("roi_12_boxes_to_mask", "grid boxes", """
@@ -103,16 +110,12 @@ def _(t):
     return roi.block_position(t.boxes).select("id", "position.*")
 
 
-@query("src_04_split_union_configs", "boxes", """
-    SELECT 'ROI_' || lpad(CAST(id AS VARCHAR), 6, '0') AS nickname, row_number() OVER (ORDER BY id) - 1 AS number, organelle FROM boxes WHERE id % 3 <> 2""")
-def _(t):
-    named = t.boxes.select(F.concat(F.lit("ROI_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("nickname"), "organelle", "id")
-    parts = [named.filter(F.col("id") % 3 == k).drop("id") for k in (0, 1)]
-    return configs.split_configs(configs.union_configs(parts))
+SPLIT = """
+    SELECT nickname, row_number() OVER (ORDER BY nickname) - 1 AS number, organelle FROM (SELECT 'ROI_' || lpad(CAST(id AS VARCHAR), 19, '0') AS nickname, organelle FROM boxes)"""
 
 
-@query("src_04_split_union_configs_whole", "boxes", """
-    SELECT nickname, row_number() OVER (ORDER BY nickname) - 1 AS number, organelle FROM (SELECT 'ROI_' || lpad(CAST(id AS VARCHAR), 19, '0') AS nickname, organelle FROM boxes)""")
+@query("src_04_split_union_configs", "boxes", SPLIT)
+@query("src_04_split_union_configs_whole", "boxes", SPLIT)
 def _(t):
     named = t.boxes.select(F.concat(F.lit("ROI_"), F.lpad(F.col("id").cast("string"), 19, "0")).alias("nickname"), "organelle", "id")
     parts = [named.filter(F.col("id") % 3 == k).drop("id") for k in (0, 1, 2)]
@@ -318,47 +321,34 @@ def _(t):
     return merge.merge_masks(t.vox, ["mask", "mmask"], "both").select("z", "y", "x", "both")
 
 
-D3 = """a AS (SELECT vec_id, c, v FROM "desc" WHERE vec_id % 2 = 0 AND c < 8), b AS (SELECT vec_id, c, v * 2 AS v FROM "desc" WHERE vec_id % 3 = 0 AND c < 8),
+OVERLAPPING = """a AS (SELECT vec_id, c, v FROM "desc" WHERE target <= 5), b AS (SELECT vec_id, c, v * 2 AS v FROM "desc" WHERE target IS NULL OR target >= 4),
     u AS (SELECT 0 AS k, * FROM a UNION ALL SELECT 1, * FROM b)"""
 
 
 def _two(t):
-    d = t.desc.select("vec_id", "c", "v").filter("c < 8")
-    return [d.filter("vec_id % 2 = 0"), d.filter("vec_id % 3 = 0").withColumn("v", F.col("v") * 2)]
+    """All ids and channels: ids of targets 4 and 5 in both, the others in one."""
+    d = t.desc.select("vec_id", "c", "v", "target")
+    return [d.filter("target <= 5").drop("target"), d.filter("target IS NULL OR target >= 4").drop("target").withColumn("v", F.col("v") * 2)]
 
 
-@query("mrg_05_descriptors_max", "desc", f"SELECT vec_id, c, round(m, 6) AS v FROM (WITH {D3} SELECT vec_id, c, max(v) AS m FROM u GROUP BY vec_id, c)")
-def _(t):
-    return merge.merge_descriptors(_two(t), ["vec_id"]).withColumn("v", F.round("v", 6))
+MERGED_MAX = f"SELECT vec_id, c, round(m, 6) AS v FROM (WITH {OVERLAPPING} SELECT vec_id, c, max(v) AS m FROM u GROUP BY vec_id, c)"
 
 
-@query("mrg_05_descriptors_background", "desc", f"""
-    SELECT vec_id, c, round(CASE WHEN n > 1 THEN 0 ELSE s END, 6) AS v FROM (WITH {D3} SELECT vec_id, c, sum(v) AS s,
-    any_value((SELECT count(DISTINCT w.k) FROM u w WHERE w.vec_id = u.vec_id AND w.v <> 0)) AS n FROM u GROUP BY vec_id, c)""")
+@query("mrg_05_descriptors_max", "desc", MERGED_MAX)
+@query("mrg_05_descriptors_max_whole", "desc", MERGED_MAX)
 def _(t):
-    return merge.merge_descriptors(_two(t), ["vec_id"], "background").withColumn("v", F.round("v", 6))
-
-
-WHOLE = """a AS (SELECT vec_id, c, v FROM "desc" WHERE target <= 5), b AS (SELECT vec_id, c, v * 2 AS v FROM "desc" WHERE target IS NULL OR target >= 4),
-    u AS (SELECT 0 AS k, * FROM a UNION ALL SELECT 1, * FROM b)"""
-
-
-def _two_whole(t):
-    """All ids and channels: ids of targets 4 and 5 in both, the others in one."""
-    d = t.desc.select("vec_id", "c", "v", "target")
-    return [d.filter("target <= 5").drop("target"), d.filter("target IS NULL OR target >= 4").drop("target").withColumn("v", F.col("v") * 2)]
+    return merge.merge_descriptors(_two(t), ["vec_id"]).withColumn("v", F.round("v", 6))
 
 
-@query("mrg_05_descriptors_max_whole", "desc", f"SELECT vec_id, c, round(m, 6) AS v FROM (WITH {WHOLE} SELECT vec_id, c, max(v) AS m FROM u GROUP BY vec_id, c)")
-def _(t):
-    return merge.merge_descriptors(_two_whole(t), ["vec_id"]).withColumn("v", F.round("v", 6))
+MERGED_BACKGROUND = f"""
+    SELECT vec_id, c, round(CASE WHEN n > 1 THEN 0 ELSE s END, 6) AS v FROM (WITH {OVERLAPPING}, w AS (SELECT vec_id, count(DISTINCT k) AS n FROM u WHERE v <> 0 GROUP BY vec_id)
+    SELECT u.vec_id, u.c, sum(u.v) AS s, max(w.n) AS n FROM u LEFT JOIN w ON w.vec_id = u.vec_id GROUP BY u.vec_id, u.c)"""
 
 
-@query("mrg_05_descriptors_background_whole", "desc", f"""
-    SELECT vec_id, c, round(CASE WHEN n > 1 THEN 0 ELSE s END, 6) AS v FROM (WITH {WHOLE}, w AS (SELECT vec_id, count(DISTINCT k) AS n FROM u WHERE v <> 0 GROUP BY vec_id)
-    SELECT u.vec_id, u.c, sum(u.v) AS s, max(w.n) AS n FROM u LEFT JOIN w ON w.vec_id = u.vec_id GROUP BY u.vec_id, u.c)""")
+@query("mrg_05_descriptors_background", "desc", MERGED_BACKGROUND)
+@query("mrg_05_descriptors_background_whole", "desc", MERGED_BACKGROUND)
 def _(t):
-    return merge.merge_descriptors(_two_whole(t), ["vec_id"], "background").withColumn("v", F.round("v", 6))
+    return merge.merge_descriptors(_two(t), ["vec_id"], "background").withColumn("v", F.round("v", 6))
 
 
 @query("mrg_06_softmax", "chan", """
@@ -433,21 +423,20 @@ def _(t):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("res_06_import_gt", "vox", "SELECT z // 2 AS z, 6 - y // 2 AS y, x // 2 AS x, gt FROM vox WHERE y < 14 AND z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")
-def _(t):
-    return resample.import_gt(t.vox.filter("y < 14").select("z", "y", "x", "gt"), 14)
+IMPORTED = "SELECT z // 2 AS z, (SELECT max(y) // 2 FROM vox) - y // 2 AS y, x // 2 AS x, gt FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0"
 
 
-@query("res_06_import_gt_whole", "vox", "SELECT z // 2 AS z, (SELECT max(y) // 2 FROM vox) - y // 2 AS y, x // 2 AS x, gt FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0")
+@query("res_06_import_gt", "vox", IMPORTED)
+@query("res_06_import_gt_whole", "vox", IMPORTED)
 def _(t):
-    return resample.import_gt(t.vox.select("z", "y", "x", "gt"), t.vox.agg(F.max("y")).first()[0] + 1)
+    return resample.import_gt(t.vox.select("z", "y", "x", "gt"), _height(t))
 
 
-@query("res_07_mirror_transpose", "vox", """
-    SELECT x - 25 AS z, (2 * 2 + 12 - 1 - y) AS y, z + 25 AS x, raw FROM (SELECT z, y, x, raw FROM vox WHERE y >= 2 AND y < 14 AND x >= 25 AND x < 32 AND z < 7)""")
+@query("res_07_mirror_transpose", "vox", f"""
+    SELECT x - 25 AS z, 2 + {HEIGHT} - 3 - y AS y, z + 25 AS x, raw FROM (SELECT z, y, x, raw FROM vox WHERE y >= 2 AND y < {HEIGHT} - 2 AND x >= 25 AND x < 32 AND z < 7)""")
 def _(t):
-    cut = roi.crop(t.vox.select("z", "y", "x", "raw"), (0, 2, 25), (7, 12, 7))
-    return resample.mirror_transpose(cut, (0, 2, 25), (7, 12, 7), (False, True, False), (2, 1, 0))
+    box = (0, 2, 25), (7, _height(t) - 4, 7)  # mirrored along y; z and x, of equal length, change places
+    return resample.mirror_transpose(roi.crop(t.vox.select("z", "y", "x", "raw"), *box), *box, (False, True, False), (2, 1, 0))
 
 
 S0, S1, S2, S7 = (draw_sql(3 + k, "b") for k in (0, 1, 2, 7))
@@ -471,27 +460,27 @@ def _(t):
     return resample.mirror_transpose_points(t.points, (2, 0, 40), (5, 12, 20), (True, False, False), (0, 2, 1))
 
 
-@query("res_10_pad", "vox", """
+@query("res_10_pad", "vox", f"""
     SELECT a.z, b.y, c.x, coalesce(v.prob, 0.5) AS prob, coalesce(v.lab_a, 0) AS lab_a, coalesce(v.mask, 1) AS mask
-    FROM (SELECT unnest(range(-2, 9)) AS z) a, (SELECT unnest(range(-3, 12)) AS y) b, (SELECT unnest(range(80, 105)) AS x) c
+    FROM (SELECT unnest(range(-2, 9)) AS z) a, (SELECT unnest(range(-3, {HEIGHT} + 3)) AS y) b, (SELECT unnest(range(-2, 105)) AS x) c
     LEFT JOIN vox v ON v.z = a.z AND v.y = b.y AND v.x = c.x""")
 def _(t):
-    return resample.pad(t.vox, (-2, -3, 80), (11, 15, 25), {"prob": 0.5, "lab_a": 0, "mask": 1})
+    return resample.pad(t.vox, (-2, -3, -2), (11, _height(t) + 6, 107), {"prob": 0.5, "lab_a": 0, "mask": 1})
 
 
-@query("res_11_pad_to", "vox", """
+@query("res_11_pad_to", "vox", f"""
     SELECT a.z, b.y, c.x, coalesce(v.mask, 9) AS mask
-    FROM (SELECT unnest(range(-1, 9)) AS z) a, (SELECT unnest(range(2, 6)) AS y) b, (SELECT unnest(range(3, 18)) AS x) c
-    LEFT JOIN (SELECT * FROM vox WHERE x >= 5 AND x < 15 AND y >= 2 AND y < 6) v ON v.z = a.z AND v.y = b.y AND v.x = c.x""")
+    FROM (SELECT unnest(range(-1, 9)) AS z) a, (SELECT unnest(range(2, {HEIGHT} - 2)) AS y) b, (SELECT unnest(range(3, 98)) AS x) c
+    LEFT JOIN (SELECT * FROM vox WHERE x >= 5 AND x < 95 AND y >= 2 AND y < {HEIGHT} - 2) v ON v.z = a.z AND v.y = b.y AND v.x = c.x""")
 def _(t):
-    cut = roi.crop(t.vox, (0, 2, 5), (7, 4, 10))
-    return resample.pad_to(cut, (0, 2, 5), (7, 4, 10), (10, 3, 15), {"mask": 9})
+    box = (0, 2, 5), (7, _height(t) - 4, 90)
+    return resample.pad_to(roi.crop(t.vox, *box), *box, (10, 3, 95), {"mask": 9})
 
 
-@query("res_12_pad_edge", "vox", """
+@query("res_12_pad_edge", "vox", f"""
     SELECT a.z, b.y, c.x, coalesce(v.raw, 0) AS raw
-    FROM (SELECT unnest(range(-1, 9)) AS z) a, (SELECT unnest(range(0, 9)) AS y) b, (SELECT unnest(range(8, 24)) AS x) c
-    LEFT JOIN vox v ON v.z = least(greatest(a.z, 0), 6) AND v.y = least(greatest(b.y, 2), 6) AND v.x = least(greatest(c.x, 10), 19)""")
+    FROM (SELECT unnest(range(-1, 9)) AS z) a, (SELECT unnest(range(0, {HEIGHT})) AS y) b, (SELECT unnest(range(8, 94)) AS x) c
+    LEFT JOIN vox v ON v.z = least(greatest(a.z, 0), 6) AND v.y = least(greatest(b.y, 2), {HEIGHT} - 3) AND v.x = least(greatest(c.x, 10), 89)""")
 def _(t):
-    cut = roi.crop(t.vox, (0, 2, 10), (7, 5, 10))
-    return resample.pad_edge(cut, (0, 2, 10), (7, 5, 10), (1, 2, 2), (2, 2, 4), "raw")
+    box = (0, 2, 10), (7, _height(t) - 4, 80)
+    return resample.pad_edge(roi.crop(t.vox, *box), *box, (1, 2, 2), (2, 2, 4), "raw")

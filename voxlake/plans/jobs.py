@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +91,16 @@ def predict_voxels(df: DataFrame, weights: Sequence[dict], bias: Sequence[float]
     return merge.softmax(scores, out="p"), merge.argmax_segment(scores, mask=mask)
 
 
+def predict_arrays(
+    blocks: DataFrame, model_fn: Callable, in_shape: Vec, out_shape: Vec, box: tuple[Vec, Vec], n_classes: int, path: str, run: str, mask: DataFrame | None = None
+) -> DataFrame:
+    """The prediction of a run, written as the arrays prob_maps/class_<c> and segmentation of dataset predictions/<run>, and reread."""
+    from ..operators.predict import prediction
+    from ..sources.chunks import write_arrays
+
+    return write_arrays(prediction(blocks, model_fn, in_shape, out_shape, box, n_classes, mask), path, f"predictions/{run}")
+
+
 def labels_and_masks(df: DataFrame, classes: Mapping[str, int], masks: Sequence[str]) -> DataFrame:
     """label and mask of aligned binary arrays."""
     return merge.merge_masks(merge.merge_labels(project.binarize(df, list(classes)), classes), masks)

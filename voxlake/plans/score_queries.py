@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch_path
 from ..operators import blocks as B
 from ..operators import histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
 from . import jobs
@@ -22,6 +23,10 @@ def _sel(body: str) -> str:
     return f"SELECT * FROM ({body})"
 
 
+#: Of the blocks that queries make from voxels.
+CHUNK = (4, 64, 64)
+
+
 def _box(t):
     return (0, 0, 0), (7, t.vox.agg(F.max("y")).first()[0] + 1, 100)
 
@@ -58,8 +63,8 @@ def _(t):
     return neighbourhood.boundary(_fg(t), 2, _box(t))
 
 
-EXCLUDED = f"""WITH {FG}, {WIDE}, {NARROW}, band AS (SELECT * FROM wide EXCEPT SELECT * FROM narrow)
-    SELECT g.z, g.y, g.x, CASE WHEN b.z IS NULL THEN 255 ELSE 0 END AS mask FROM grid g LEFT JOIN band b ON g.z = b.z AND g.y = b.y AND g.x = b.x"""
+EXCLUDED = f"""WITH {FG}, near AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x, count(*) AS n FROM fg, {BALL2} GROUP BY 1, 2, 3)
+    SELECT g.z, g.y, g.x, CASE WHEN b.n < 25 THEN 0 ELSE 255 END AS mask FROM grid g LEFT JOIN near b ON g.z = b.z AND g.y = b.y AND g.x = b.x"""
 
 
 @query("nbh_05_metric_mask", "blob grid", _sel(EXCLUDED))
@@ -69,7 +74,7 @@ def _(t):
 
 @query("nbh_05_metric_mask_blocks", "blob grid", _sel(EXCLUDED))
 def _(t):
-    box, chunk = _box(t), (4, 16, 32)
+    box, chunk = _box(t), CHUNK
     blocks = B.voxels_to_blocks(t.blob, *box, chunk, "int32", value="id")
     n, kernel = B.metric_mask_kernel(2, 2)
     return B.blocks_to_voxels(B.with_halo(blocks, (n,) * 3, kernel, box, chunk, dtype="uint8"), "int").withColumnRenamed("v", "mask")
@@ -136,7 +141,7 @@ def _(t):
     LEFT JOIN vox v ON v.z = g.z AND v.y = g.y AND v.x = g.x LEFT JOIN vox a ON a.z = g.z AND a.y = g.y AND a.x = g.x + 1
     LEFT JOIN vox b ON b.z = g.z AND b.y = g.y + 1 AND b.x = g.x LEFT JOIN vox c ON c.z = g.z - 1 AND c.y = g.y AND c.x = g.x""")
 def _(t):
-    box, chunk = _box(t), (4, 16, 32)
+    box, chunk = _box(t), CHUNK
     blocks = B.voxels_to_blocks(t.vox, *box, chunk, "int32", value="raw")
     return B.blocks_to_voxels(B.with_halo(blocks, (1, 1, 1), B.convolve_kernel(TAPS, 0.5), box, chunk, dtype="float64"))
 
@@ -293,12 +298,7 @@ def _sweep_sql(src: str) -> str:
 AT = metrics.thresholds(0.1, 0.9, 0.1)
 
 
-@query("agg_07_threshold_sweep", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL + ' AND y >= 2 AND y < 10')}")
-def _(t):
-    rows = roi.crop(_cells(t), (0, 2, 0), (7, 8, 100))
-    return _r(metrics.sweep(rows, "lab_a", "prob", AT), "jaccard", "dice", "precision", "recall")
-
-
+@query("agg_07_threshold_sweep", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL)}")
 @query("agg_07_threshold_sweep_whole", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL)}")
 def _(t):
     return _r(metrics.sweep(_cells(t), "lab_a", "prob", AT), "jaccard", "dice", "precision", "recall")
@@ -313,14 +313,10 @@ def _(t):
     return out[0].unionByName(out[1])
 
 
-@query("agg_08_evaluate", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL + ' AND z >= 1 AND z < 6 AND y >= 1 AND y < 14 AND x >= 1 AND x < 99')}")
-def _(t):
-    return _r(jobs.evaluate(t.vox, "lab_a", "prob", ["mask", "mmask"], ((0, 0, 0), (7, 15, 100)), 1, AT), "jaccard", "dice", "precision", "recall")
-
-
 INNER = " AND ".join(f"{a} > (SELECT min({a}) FROM vox) AND {a} < (SELECT max({a}) FROM vox)" for a in KEY)
 
 
+@query("agg_08_evaluate", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL + ' AND ' + INNER)}")
 @query("agg_08_evaluate_whole", "vox", f"SELECT {SWEEP_COLUMNS} FROM {_sweep_sql(CELL + ' AND ' + INNER)}")
 def _(t):
     return _r(jobs.evaluate(t.vox, "lab_a", "prob", ["mask", "mmask"], roi.extent(t.vox), 1, AT), "jaccard", "dice", "precision", "recall")
@@ -507,11 +503,10 @@ def stencil_model():
     LEFT JOIN vox v ON v.z = g.z AND v.y = g.y AND v.x = g.x LEFT JOIN vox a ON a.z = g.z AND a.y = g.y AND a.x = g.x + 1 LEFT JOIN vox b ON b.z = g.z AND b.y = g.y + 1 AND b.x = g.x
     LEFT JOIN vox p ON p.z = g.z - 1 AND p.y = g.y AND p.x = g.x LEFT JOIN vox d ON d.z = g.z + 1 AND d.y = g.y + 1 AND d.x = g.x + 1 LEFT JOIN vox e ON e.z = g.z AND e.y = g.y AND e.x = g.x - 1""")
 def _(t):
-    box, chunk = _box(t), (4, 16, 32)
+    box, chunk = _box(t), CHUNK
     blocks = B.voxels_to_blocks(t.vox, *box, chunk, "int32", value="raw")
     out = predict.predict_blocks(blocks, stencil_model, tuple(c + 2 for c in chunk), chunk, box, 2)
-    parts = [B.blocks_to_voxels(out.filter(F.col("c") == c)).withColumn("c", F.lit(c)) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return B.blocks_to_voxels(out, also="c int")
 
 
 @query("prd_02_class_maps", "vox", f"SELECT z, y, x, 0 AS c, round(1 / (1 + exp(s1 - s0)), 6) AS p FROM {PRED} UNION ALL SELECT z, y, x, 1, round(1 / (1 + exp(s0 - s1)), 6) FROM {PRED}")
@@ -525,6 +520,20 @@ def _(t):
     return jobs.predict_voxels(_raw(t), SCALED, [0.005, -0.01], t.vox)[1]
 
 
+@query("prd_02_prediction_job", "vox", f"""
+    SELECT 'prob_maps/class_0' AS "array", z, y, x, round(1 / (1 + exp((s1 - s0) / 100)), 4) AS v FROM {CONV} UNION ALL SELECT 'prob_maps/class_1', z, y, x, round(1 / (1 + exp((s0 - s1) / 100)), 4) FROM {CONV}
+    UNION ALL SELECT 'segmentation', s.z, s.y, s.x, CASE WHEN v.mask <> 0 AND s1 > s0 THEN 1 ELSE 0 END FROM {CONV} s JOIN vox v ON s.z = v.z AND s.y = v.y AND s.x = v.x""")
+def _(t):
+    def model():
+        run = stencil_model()
+        return lambda a: run(a) / 100
+
+    box = _box(t)
+    raw, mask = (B.voxels_to_blocks(t.vox, *box, CHUNK, k, value=c) for c, k in (("raw", "int32"), ("mask", "uint8")))
+    out = jobs.predict_arrays(raw, model, tuple(c + 2 for c in CHUNK), CHUNK, box, 2, scratch_path(t.spark, "predictions"), "run", mask)
+    return _r(B.blocks_to_voxels(out, also="array string").join(t.vox.select(*KEY), KEY, "left_semi"), "v", digits=4)
+
+
 @query("prd_03_predict_sweep", "vox", " UNION ALL ".join(f"SELECT {k} AS iteration, k AS cls, round({JAC}, 6) AS jaccard FROM " + _count_sql(f"SELECT lab_a AS t, CASE WHEN prob * {k} >= 500 THEN 1 ELSE 0 END AS p FROM ({CELL})") for k in (800, 1000, 1200)))
 def _(t):
     def score(df, k):

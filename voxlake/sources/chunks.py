@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
 def read_blocks(spark: SparkSession, root: str, array: str, spec: dict, box: tuple[Vec, Vec] | None = None) -> DataFrame:
     """Blocks of one array (``spec``: its row of the catalog as a dict); chunk files that are missing are simply absent.
 
-    With ``box`` (in the array's voxels) only files of chunks that meet it are read; edge chunks lose their filling.
+    With ``box`` (in the array's voxels) only files of chunks that meet it are listed for reading; edge chunks lose their filling.
     """
     shape, chunk, dtype, packed = spec["shape_vox"], spec["chunk"], spec["dtype"], spec["compressor"]
     if packed not in (None, "zlib"):
@@ -90,13 +91,24 @@ def read_blocks(spark: SparkSession, root: str, array: str, spec: dict, box: tup
                 rows.append(B._row(c, [i * k for i, k in zip(c, chunk, strict=True)], a[tuple(slice(s) for s in size)], dtype))
             yield pd.DataFrame(rows, columns=B.COLUMNS)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/{array}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    folder = f"{root}/{array}"
+    if box is not None:
+        names = ["{" + ",".join(map(str, range(max(0, o // k), min(-(-n // k) - 1, (o + s - 1) // k) + 1))) + "}" for o, s, k, n in zip(*box, chunk, shape, strict=True)]
+        if spec.get("separator") == "/":
+            folder = f"{folder}/{names[0]}/{names[1]}"
+            files = files.option("pathGlobFilter", names[2])
+        else:
+            files = files.option("pathGlobFilter", ".".join(names))
+    try:
+        files = files.load(folder)
+    except AnalysisException as e:
+        if box is None or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], B.SCHEMA)  # no chunk of these rows is there
     number = [F.regexp_extract("path", r"/(\d+)[./](\d+)[./](\d+)$", k) for k in (1, 2, 3)]
     files = files.select("content", *[n.alias(a) for n, a in zip(number, B.CHUNK, strict=True)]).filter("cz != ''")
     files = files.select("content", *[F.col(a).cast("long").alias(a) for a in B.CHUNK])
-    if box is not None:
-        for a, o, s, k in zip(B.CHUNK, *box, chunk, strict=True):
-            files = files.filter((F.col(a) >= o // k) & (F.col(a) <= (o + s - 1) // k))
     return files.mapInPandas(decode, B.SCHEMA)
 
 
@@ -115,31 +127,55 @@ def fill_missing(blocks: DataFrame, shape: Vec, chunk: Vec, dtype: str, fill: fl
     return blocks.select(B.COLUMNS).unionByName(lack.mapInPandas(make, B.SCHEMA))
 
 
+def _store(root: str):
+    """The file system of a URI and the path in it; every task opens its own."""
+    import re
+
+    from pyarrow import fs
+
+    if not re.match(r"[a-zA-Z][\w+.-]*:/", root):
+        raise ValueError(f"{root} must be a URI, such as file:///..., that all tasks reach")
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
+
+
 def export_blocks(blocks: DataFrame, root: str, array: str, shape: Vec, chunk: Vec, dtype: str, offset_nm: Sequence[float] = (0, 0, 0), resolution: Sequence[float] = (1, 1, 1), level: int = 3) -> None:
-    """Write chunk files (zlib) and their metadata below a shared folder; each file is written under another name and renamed."""
-    import os
+    """Write chunk files (zlib) and their metadata below ``root``, a URI of a store that pyarrow opens (file, hdfs, s3, gs).
 
-    folder = f"{root.removeprefix('file://')}/{array}"
+    Each file is written under another name and renamed, so a task that is run again leaves no half of a chunk.
+    """
+    store, top = _store(root)
+    folder = f"{top}/{array}"
 
     def put(rows) -> None:
+        import uuid
+
+        own, _ = _store(root)
         for row in rows:
             a = np.zeros(chunk, dtype)
             part = B.array_of(row)
             a[tuple(slice(s) for s in part.shape)] = part
             name = f"{folder}/{row.cz}.{row.cy}.{row.cx}"
-            with open(f"{name}.{os.getpid()}.part", "wb") as f:
+            other = f"{folder}/.{uuid.uuid4().hex}"
+            with own.open_output_stream(other) as f:
                 f.write(zlib.compress(B.bytes_of(a), level))
-            os.replace(f.name, name)
-
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/.zarray", "w") as f:
-        code = next(k for k, v in DTYPES.items() if v == dtype)
-        json.dump({"zarr_format": 2, "shape": list(shape), "chunks": list(chunk), "dtype": code, "compressor": {"id": "zlib", "level": level}, "fill_value": 0, "order": "C", "filters": None}, f)
-    with open(f"{folder}/.zattrs", "w") as f:
-        json.dump({"offset": list(offset_nm), "resolution": list(resolution)}, f)
+            own.move(other, name)
+
+    code = next(k for k, v in DTYPES.items() if v == dtype)
+    spec = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunk), "dtype": code, "compressor": {"id": "zlib", "level": level}, "fill_value": 0, "order": "C", "filters": None}
+    store.create_dir(folder, recursive=True)
+    for name, text in ((".zarray", spec), (".zattrs", {"offset": list(offset_nm), "resolution": list(resolution)})):
+        with store.open_output_stream(f"{folder}/{name}") as f:
+            f.write(json.dumps(text).encode())
     blocks.select(B.COLUMNS).foreachPartition(put)
 
 
+def write_arrays(blocks: DataFrame, path: str, dataset: str) -> DataFrame:
+    """Write blocks with a column array as the partitions (dataset, array) of a Parquet table and return them reread. No shuffle."""
+    out = blocks.select(*B.COLUMNS, F.lit(dataset).alias("dataset"), "array")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "array").parquet(path)
+    return blocks.sparkSession.read.parquet(path).filter(F.col("dataset") == dataset).select("array", *B.COLUMNS)
+
+
 def write_blocks(blocks: DataFrame, path: str, dataset: str, array: str, box: tuple[Vec, Vec] | None = None, dtype: str | None = None) -> int:
     """Write the parts of blocks inside ``box`` as the partition (dataset, array) of a Parquet table; returns the number of blocks.
 
