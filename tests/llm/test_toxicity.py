@@ -71,3 +71,20 @@ def test_corner_cases(spark):
     model = toxicity.train(d, lab.filter("false"))
     assert [r.score for r in toxicity.scored(d, model).collect()] == [0.5] * d.count()
     assert toxicity.scored(d.filter("false"), model).count() == 0
+
+
+def test_forward_equals_a_plain_sum_over_pairs():
+    """Every pair of a text's terms by itself: b + sum w x + sum over i < j of <v_i, v_j> z z."""
+    rng = np.random.default_rng(3)
+    kept = np.sort(rng.choice(toxicity.BUCKETS, 40, replace=False))
+    fm = toxicity.FactorizationMachine(-0.7, kept, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    rows = [np.sort(rng.choice(kept, n, replace=False)) for n in (0, 1, 2, 7, 40)] + [np.array([1, 2, 3])]
+    got = fm.score(rows)
+    for r, p in zip(rows, got):
+        at = [int(np.flatnonzero(kept == t)[0]) for t in r if t in kept]
+        z = 1 / max(1, len(at)) ** 0.5
+        logit = fm.bias + sum(fm.w[i] for i in at)
+        for a in range(len(at)):
+            for b in range(a):
+                logit += float(fm.v[at[a]] @ fm.v[at[b]]) * z * z
+        assert abs(p - 1 / (1 + np.exp(-logit))) < 1e-9

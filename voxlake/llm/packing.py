@@ -9,7 +9,7 @@ less than one of them; the room left at the end is moved into one sequence and t
 sequence is split at powers of two, which need no padding.
 
 Null and empty texts hold only the end id; rows that repeat an id are packed each on its
-own; an empty table gives no piece; ties go by order in the block. Columns other than id
+own; an empty table gives no piece; ties go by order in the block; a very long text is cut into sequences, its ids held whole in one task. Columns other than id
 and text are ignored. A retried task reads the same rows and packs them alike.
 """
 

@@ -6,7 +6,7 @@ the tokens that a context limit of L would keep, sum(min(length, L)). ``at_limit
 and ``quantiles`` read the answers for any limits from that table.
 
 Null and empty texts have length 0; every row counts, repeated ones too; an empty
-table gives an empty histogram. Columns other than id and text are ignored.
+table gives an empty histogram; a very long text is encoded whole, in its row. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ the model, both of a size that doesn't depend on the input.
 
 Defined results: a null or empty text has no terms and scores by the base rate b; every row has
 a score, repeated ones too; labels of an id that disagree count as toxic if one does; without
-any label to learn from all scores are 0.5 of a model without terms; an empty table gives none.
-Only text is an input of the score; other columns are ignored.
+any label to learn from all scores are 0.5 of a model without terms; an empty table gives none; a very
+long text is read whole, in its row; ids drawn for the sample go by hash, ties by id. Only text is an
+input of the score; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,16 +47,24 @@ OFTEN = 0.05
 MIN_CHI2 = 20.0
 CUT = 0.3
 ROWS = 512
+LONG_WORD = 64
 _LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
 
-@lru_cache(maxsize=65_536)
-def _buckets_of(word: bytes) -> tuple[int, ...]:
+def _buckets(word: bytes) -> tuple[int, ...]:
     w = word.decode(errors="replace")
     terms = ["w" + w] + ["4" + w[:4]] * (len(w) >= 4) + ["5" + w[:5]] * (len(w) >= 5)
     return tuple(zlib.crc32(t.encode()) % BUCKETS for t in terms)
 
 
+_known = lru_cache(maxsize=65_536)(_buckets)
+
+
+def _buckets_of(word: bytes) -> tuple[int, ...]:
+    """Long words aren't held: they seldom come again."""
+    return _known(word) if len(word) <= LONG_WORD else _buckets(word)
+
+
 def terms(text: str) -> np.ndarray:
     """The text's distinct term numbers, ascending."""
     words = set(text.encode().lower().translate(_LETTERS).split())
