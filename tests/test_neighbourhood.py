@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from voxlake.operators import blocks as B
 from voxlake.operators import histogram as H
 from voxlake.operators import neighbourhood as N
 
@@ -83,6 +84,19 @@ def test_an_object_counts_with_its_hole(spark):
     assert {(r.z, r.y, r.x) for r in mask.filter("mask = 255").collect()} == {(z, y, x) for z in (1, 2, 3) for y in (1, 2, 3) for x in (1, 2, 3)}
 
 
+@pytest.mark.parametrize("sizes", [(1, 1, 20), (2, 1, 8)])
+def test_foreground_mask_of_blocks_equals_that_of_voxels(spark, sizes):
+    rng = np.random.default_rng(sum(sizes))
+    a = np.repeat(np.repeat(np.repeat(rng.integers(0, 3, (3, 5, 4)) * 100, 3, 0), 3, 1), 3, 2)
+    a[rng.random(a.shape) < 0.05] = 100
+    box = (0, 0, 0), a.shape
+    voxels = table(spark, a, "all")
+    want = {tuple(r) for r in N.foreground_mask(voxels, box, 2, 180, *sizes).collect()}
+    blocks = B.voxels_to_blocks(voxels, *box, (4, 5, 6), "int16")
+    got = {tuple(r) for r in N.foreground_mask_blocks(blocks, box, (4, 5, 6), 2, 180, *sizes).collect()}
+    assert got == want and len({m for *_, m in got}) == 2
+
+
 def test_clip_spends_what_is_cut_off():
     assert H.clip_counts(np.array([10, 0, 0, 0]), 4).tolist() == [4, 2, 2, 2]
     assert H.clip_counts(np.array([9, 3, 0, 0]), 4).tolist() == [4, 4, 2, 2]

@@ -148,6 +148,39 @@ def erode_kernel(ball: list[tuple[int, int, int]], context: Vec) -> Callable[[np
     return lambda a: np.logical_and.reduce([shifted(a != 0, context, o) for o in ball]).astype(np.uint8)
 
 
+def instances_kernel(ball: list[tuple[int, int, int]], context: Vec) -> Callable[[np.ndarray], np.ndarray]:
+    """Each id dilated on its own; where they overlap the largest stays. Ids are positive, background is 0."""
+    return lambda a: np.maximum.reduce([shifted(a, context, o) for o in ball])
+
+
+#: In blocks that a kernel of opening or closing gets, what lies outside the box; ``fill`` of ``with_halo``.
+OUTSIDE = -1
+
+
+def _swept(a: np.ndarray, ball: list[tuple[int, int, int]], radius: int, grow: bool, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(foreground, outside) after one dilation, or an erosion to which outside is foreground; both lose ``radius`` voxels a side."""
+    n = (radius,) * 3
+    parts = [shifted(a if grow else a | outside, n, o) for o in ball]
+    outside = shifted(outside, n, (0, 0, 0))
+    return (np.logical_or if grow else np.logical_and).reduce(parts) & ~outside, outside
+
+
+def sweep_kernel(steps: list[tuple[str, int]]) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
+    """(context, kernel) of openings and closings by round balls, one after another with one halo. Blocks are signed, outside is OUTSIDE."""
+    from .neighbourhood import round_ball
+
+    passes = [(radius, grow) for kind, radius in steps for grow in ((False, True) if kind == "open" else (True, False))]
+
+    def run(a: np.ndarray) -> np.ndarray:
+        outside = a == OUTSIDE
+        fg = a > 0
+        for radius, grow in passes:
+            fg, outside = _swept(fg, round_ball(radius), radius, grow, outside)
+        return fg.astype(np.uint8)
+
+    return sum(r for r, _ in passes), run
+
+
 def metric_mask_kernel(outwards: int, inwards: int, on: int = 255) -> tuple[int, Callable[[np.ndarray], np.ndarray]]:
     """(context, kernel) of the exclusion mask: the larger radius serves both steps with one halo."""
     from .neighbourhood import cross_ball

@@ -195,6 +195,27 @@ def foreground_mask(
     return raw.join(fg, KEY, "left").select(*KEY, F.when(F.col("__f") == 1, 255).otherwise(0).alias("mask"))
 
 
+def foreground_mask_blocks(
+    raw: DataFrame, box: tuple[Vec, Vec], chunk: Vec, lo: int = 2, hi: int = 180, opening: int = 3, closing: int = 2, min_size: int = 100_000,
+) -> DataFrame:
+    """``foreground_mask`` of blocks (signed, all chunks of the box): opening and closing in numpy with one halo, components over what is left.
+
+    Voxels (z, y, x, mask) of the box.
+    """
+    from . import blocks as B
+
+    context, kernel = B.sweep_kernel([("open", opening), ("close", closing)])
+
+    def run(a: np.ndarray) -> np.ndarray:
+        return kernel(np.where(a == B.OUTSIDE, B.OUTSIDE, (a > lo) & (a < hi)).astype(np.int8))
+
+    swept = materialize(B.with_halo(raw, (context,) * 3, run, box, chunk, B.OUTSIDE, "uint8"), "mask-blocks")
+    fg = B.blocks_to_voxels(swept, "int", skip=0).select(*KEY)
+    grid = B.blocks_to_voxels(swept, "int").select(*KEY)
+    fg = materialize(remove_small(fill_small(grid, fg, min_size), min_size).withColumn("__f", F.lit(1)), "mask")
+    return grid.join(fg, KEY, "left").select(*KEY, F.when(F.col("__f") == 1, 255).otherwise(0).alias("mask"))
+
+
 def convolve(df: DataFrame, weights: list[dict[tuple[int, int, int], float]], bias: list[float], value: str = "v") -> DataFrame:
     """(z, y, x, c, v): a cross-correlation for each output channel, zero outside. ``weights[c]`` maps offsets to numbers.
 

@@ -43,17 +43,26 @@ WIDE = f"wide AS (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM fg,
 NARROW = f"narrow AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x FROM fg, {BALL2} GROUP BY 1, 2, 3 HAVING count(*) = 25)"
 
 
-@query("nbh_01_dilate", "blob", _sel(f"WITH {FG}, {WIDE} SELECT * FROM wide WHERE {IN_BOX}"))
+DILATED = _sel(f"WITH {FG}, {WIDE} SELECT * FROM wide WHERE {IN_BOX}")
+
+
+@query("nbh_01_dilate", "blob", DILATED)
 def _(t):
     return neighbourhood.dilate(_fg(t), 2, _box(t))
 
 
-@query("nbh_02_erode", "blob", _sel(f"WITH {FG}, {NARROW} SELECT * FROM narrow"))
+ERODED = _sel(f"WITH {FG}, {NARROW} SELECT * FROM narrow")
+
+
+@query("nbh_02_erode", "blob", ERODED)
 def _(t):
     return neighbourhood.erode(_fg(t), 2)
 
 
-@query("nbh_03_dilate_ball", "blob", _sel(f"WITH {FG} SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM fg, {ROUND2}) WHERE {IN_BOX}"))
+BALLED = _sel(f"WITH {FG} SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM fg, {ROUND2}) WHERE {IN_BOX}")
+
+
+@query("nbh_03_dilate_ball", "blob", BALLED)
 def _(t):
     return neighbourhood.dilate_ball(_fg(t), 2, _box(t))
 
@@ -80,7 +89,10 @@ def _(t):
     return B.blocks_to_voxels(B.with_halo(blocks, (n,) * 3, kernel, box, chunk, dtype="uint8"), "int").withColumnRenamed("v", "mask")
 
 
-@query("nbh_06_dilate_instances", "blob", f"SELECT * FROM (SELECT z + dz AS z, y + dy AS y, x + dx AS x, max(id) AS id FROM (SELECT * FROM blob WHERE id <> 0), {BALL2} GROUP BY 1, 2, 3) WHERE {IN_BOX}")
+INSTANCES = f"SELECT * FROM (SELECT z + dz AS z, y + dy AS y, x + dx AS x, max(id) AS id FROM (SELECT * FROM blob WHERE id <> 0), {BALL2} GROUP BY 1, 2, 3) WHERE {IN_BOX}"
+
+
+@query("nbh_06_dilate_instances", "blob", INSTANCES)
 def _(t):
     return neighbourhood.dilate_instances(t.blob, 2, _box(t))
 
@@ -97,12 +109,18 @@ def _dil(src: str, name: str) -> str:
     return f"{name} AS (SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM {src}, {ROUND2}) WHERE {IN_BOX})"
 
 
-@query("nbh_07_open_ball", "blob grid", _sel(f"WITH {FG}, {_ero('fg', 'e')}, {_dil('e', 'd')} SELECT * FROM d"))
+OPENED = _sel(f"WITH {FG}, {_ero('fg', 'e')}, {_dil('e', 'd')} SELECT * FROM d")
+
+
+@query("nbh_07_open_ball", "blob grid", OPENED)
 def _(t):
     return neighbourhood.open_ball(_fg(t), 2, _box(t))
 
 
-@query("nbh_07_close_ball", "blob grid", _sel(f"WITH {FG}, {_dil('fg', 'd')}, {_ero('d', 'e')} SELECT * FROM e"))
+CLOSED = _sel(f"WITH {FG}, {_dil('fg', 'd')}, {_ero('d', 'e')} SELECT * FROM e")
+
+
+@query("nbh_07_close_ball", "blob grid", CLOSED)
 def _(t):
     return neighbourhood.close_ball(_fg(t), 2, _box(t))
 
@@ -118,6 +136,50 @@ def _(t):
     return neighbourhood.foreground_mask(raw, _box(t), 2, 250, 1, 1, 50)
 
 
+def _swept_voxels(t, context: int, kernel, fill=0, dtype="uint8"):
+    """The blocks of the view blob through a kernel, foreground voxels of the result."""
+    box = _box(t)
+    blocks = B.voxels_to_blocks(t.blob, *box, CHUNK, "int32", value="id")
+    return B.blocks_to_voxels(B.with_halo(blocks, (context,) * 3, kernel, box, CHUNK, fill, dtype), "int", skip=0)
+
+
+@query("nbh_01_dilate_blocks", "blob", DILATED)
+def _(t):
+    return _swept_voxels(t, 2, B.dilate_kernel(neighbourhood.cross_ball(2), (2,) * 3)).select(*KEY)
+
+
+@query("nbh_02_erode_blocks", "blob", ERODED)
+def _(t):
+    return _swept_voxels(t, 2, B.erode_kernel(neighbourhood.cross_ball(2), (2,) * 3)).select(*KEY)
+
+
+@query("nbh_03_dilate_ball_blocks", "blob", BALLED)
+def _(t):
+    return _swept_voxels(t, 2, B.dilate_kernel(neighbourhood.round_ball(2), (2,) * 3)).select(*KEY)
+
+
+@query("nbh_06_dilate_instances_blocks", "blob", INSTANCES)
+def _(t):
+    return _swept_voxels(t, 2, B.instances_kernel(neighbourhood.cross_ball(2), (2,) * 3), dtype="int32").withColumnRenamed("v", "id")
+
+
+@query("nbh_07_open_ball_blocks", "blob grid", OPENED)
+def _(t):
+    return _swept_voxels(t, *B.sweep_kernel([("open", 2)]), B.OUTSIDE).select(*KEY)
+
+
+@query("nbh_07_close_ball_blocks", "blob grid", CLOSED)
+def _(t):
+    return _swept_voxels(t, *B.sweep_kernel([("close", 2)]), B.OUTSIDE).select(*KEY)
+
+
+@query("nbh_09_foreground_mask_blocks")
+def _(t):
+    box = _box(t)
+    raw = t.grid.join(t.vox.select(*KEY, "raw"), KEY, "left").select(*KEY, F.coalesce("raw", F.lit(0)).alias("v"))
+    return neighbourhood.foreground_mask_blocks(B.voxels_to_blocks(raw, *box, CHUNK, "int16"), box, CHUNK, 2, 250, 1, 1, 50)
+
+
 TAPS = {(0, 0, 0): 4.0, (0, 0, 1): 2.0, (0, 1, 0): -1.0, (-1, 0, 0): 3.0}
 TAPS2 = {(1, 1, 1): 1.0, (0, 0, -1): -2.0}
 CONV = """(SELECT v.z, v.y, v.x, 4 * v.raw + 2 * coalesce(a.raw, 0) - coalesce(b.raw, 0) + 3 * coalesce(c.raw, 0) + 0.5 AS s0,
