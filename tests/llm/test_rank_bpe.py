@@ -46,6 +46,34 @@ def test_long_words(bpe, known):
     same(bpe, known, texts)
 
 
+def one_by_one(ranks, word):
+    """The definition: the leftmost pair of the lowest rank is merged until none is left."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_any_rank_file_merges_in_order(tmp_path):
+    """Ranks in a drawn order, so that merges make pairs of lower ranks, beside overlapping and repeated ones."""
+    rnd = random.Random(5)
+    for _ in range(30):
+        tokens = {bytes([b]) for b in range(256)} | {"".join(rnd.choices("ab", k=rnd.randint(2, 5))).encode() for _ in range(25)}
+        order = sorted(tokens)
+        rnd.shuffle(order)
+        ranks = {t: k for k, t in enumerate(order)}
+        path = tmp_path / "ranks"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for t, k in ranks.items()))
+        bpe = rank_bpe.RankBpe(str(path), P.PATTERN)
+        words = ["".join(rnd.choices("ab", k=rnd.randint(1, 40))) for _ in range(60)] + ["a" * 33, "ab" * 20]
+        for w, got in zip(words, bpe(words)):
+            want = [ranks[w.encode()]] if w.encode() in ranks else one_by_one(ranks, w.encode())
+            assert np.frombuffer(got, "<u4").tolist() == want, w
+
+
 def test_every_assigned_character(bpe, known):
     chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
     same(bpe, known, ["x" + c + "y " + c + " 1" + c for c in chars])

@@ -4,34 +4,77 @@ Every match of the pattern is a word. A word that is a token is that token; the
 start as their bytes and, as long as two neighbours together form a token, the pair of
 the lowest rank is merged, the leftmost of equals first. Words are encoded together: equal
 words once, sorted into buckets of similar length, each bucket a padded matrix with one row
-a word. In every round each row merges its leftmost pair of minimum rank; ranks of pairs
-come from an open-addressing hash table; finished rows leave and the merged column closes.
-Words above MATRIX bytes merge in the same order from a heap, in n log n steps.
+a word, cut by rows to at most CELLS cells where a row has fewer. In every round each row merges
+its leftmost pair of minimum rank; ranks of pairs come from an open-addressing hash table;
+finished rows leave and the columns close up over what was merged. The row's other pairs of that
+rank would be the next to be merged, from left to right, until one makes a pair of a lower rank; so the
+same round merges them too, up to that one, which keeps the rounds few where a word is long. Words
+of any length go this way.
 
 Null texts count as empty: no ids, the empty digest. Every row has a result, repeated rows
-and rows without an id too; an empty table gives none. Columns other than id and text are
-ignored.
+and rows without an id too; an empty table gives none; a very long text is encoded whole, in
+its row. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import ROWS, PieceCache, by_pieces
+from .tokens import LONG_PIECE, ROWS, cut
 
-MATRIX = 256
+CELLS = 1 << 18
+CACHE = 200_000
 NONE = np.int64(1) << 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+class PieceCache:
+    """Bytes of pieces, filled by ``encode`` for those not known yet.
+
+    When ``limit`` pieces are known they become the older half, of which only those met
+    again are carried on, so frequent pieces stay and at most twice ``limit`` are held.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE):
+        self.encode, self.limit, self.known, self.older, self.long = encode, limit, {}, {}, []
+
+    def fill(self, pieces: set[str]) -> dict[str, bytes]:
+        missing = pieces.difference(self.known)
+        if missing:
+            if len(self.known) + len(missing) > self.limit:
+                self.known, self.older = {}, self.known
+                missing = pieces
+            if again := self.older.keys() & missing:
+                self.known.update((p, self.older[p]) for p in again)
+                missing = missing - again
+            order = list(missing)
+            self.known.update(zip(order, self.encode(order), strict=True))
+            self.long += [p for p in order if len(p) > LONG_PIECE]
+        return self.known
+
+    def forget_long(self) -> None:
+        for p in self.long:
+            self.known.pop(p, None)
+        self.long = []
+
+
+def by_pieces(texts: list[str], first: PieceCache, after_blank: PieceCache) -> list[bytes]:
+    """The joined bytes of each text's pieces. ``after_blank`` holds pieces without their leading blank."""
+    heads, tails = zip(*map(cut, texts), strict=True) if texts else ((), ())
+    h, a = first.fill(set().union(*heads)), after_blank.fill(set().union(*tails))
+    out = [b"".join([h[p] for p in whole] + list(map(a.__getitem__, parts))) for whole, parts in zip(heads, tails, strict=True)]
+    first.forget_long()
+    after_blank.forget_long()
+    return out
+
+
 class PairTable:
     """Rank of the token that two neighbouring tokens form, NONE if they form none."""
 
@@ -80,12 +123,21 @@ class RankBpe:
         self.token_bytes = {r: t for t, r in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
+        pairs = np.array(pairs, np.int64).reshape(-1, 3)
+        self.pairs = PairTable(*pairs.T)
+        self.last = self._last(pairs)
         self.find = regex.compile(pattern).findall
         self.words = PieceCache(self._words)
         self.first = PieceCache(self._pieces)
         self.after_blank = PieceCache(lambda ps: self._pieces([" " + p for p in ps]))
 
+    def _last(self, pairs: np.ndarray) -> np.ndarray:
+        """By rank: whether every pair that the token is part of has a higher rank than it."""
+        lowest = np.full(max(self.token_bytes) + 1, NONE)
+        np.minimum.at(lowest, pairs[:, 0], pairs[:, 2])
+        np.minimum.at(lowest, pairs[:, 1], pairs[:, 2])
+        return lowest > np.arange(len(lowest))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return by_pieces(texts, self.first, self.after_blank)
@@ -108,74 +160,81 @@ class RankBpe:
         for k, d in enumerate(data):
             if (r := self.ranks.get(d)) is not None:
                 out[k] = np.uint32(r).tobytes()
-            elif len(d) > MATRIX:
-                out[k] = self._heap(d)
             else:
                 buckets.setdefault((len(d) - 1).bit_length(), []).append(k)
-        for rows in buckets.values():
-            for i in range(0, len(rows), 8192):
-                part = rows[i : i + 8192]
+        for size, rows in buckets.items():
+            most = max(1, CELLS >> size)
+            for i in range(0, len(rows), most):
+                part = rows[i : i + most]
                 for k, ids in zip(part, self._matrix([data[k] for k in part]), strict=True):
                     out[k] = ids
         return out
 
+    def _ranks(self, m: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that start at these places."""
+        out = np.full(len(row), NONE)
+        inside = column + 1 < m.shape[1]
+        right = np.where(inside, m[row, np.where(inside, column + 1, 0)], -1)
+        there = np.flatnonzero(right >= 0)
+        out[there] = self.pairs(m[row[there], column[there]], right[there])
+        return out
+
+    def _stop(self, m: np.ndarray, merged: np.ndarray, low: np.ndarray, wary: np.ndarray) -> None:
+        """In ``wary`` rows, keep in ``merged`` no place after the first whose merge makes a pair of a lower rank."""
+        row, at = np.nonzero(merged & wary[:, None])
+        new = low[row]
+        before = np.where(at > 0, m[row, np.maximum(at - 1, 0)], -1)
+        before = np.where((at > 1) & merged[row, np.maximum(at - 2, 0)], new, before)
+        after = np.where(at + 2 < m.shape[1], m[row, np.minimum(at + 2, m.shape[1] - 1)], -1)
+        lower = np.zeros(len(row), bool)
+        for left, right in ((before, new), (new, after)):
+            there = np.flatnonzero((left >= 0) & (right >= 0))
+            lower[there] |= self.pairs(left[there], right[there]) < new[there]
+        end = np.full(len(m), m.shape[1])
+        np.minimum.at(end, row[lower], at[lower])
+        merged &= np.arange(m.shape[1]) <= end[:, None]
+
     def _matrix(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
-        width = int(lengths.max())
-        m = np.full((len(words), width), -1, np.int64)
-        m[np.arange(width) < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        held = np.arange(int(lengths.max())) < lengths[:, None]
+        m = np.full(held.shape, -1, np.int64)
+        m[held] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        pair = np.full(held.shape, NONE)
+        pair[held] = self._ranks(m, *np.nonzero(held))
         out: list[bytes] = [b""] * len(words)
         which = np.arange(len(words))
-        pair = np.full((len(words), width - 1), NONE)
-        there = m[:, 1:] >= 0
-        pair[there] = self.pairs(m[:, :-1][there], m[:, 1:][there])
         while len(which):
-            best = pair.argmin(1) if pair.shape[1] else np.zeros(len(which), np.int64)
-            low = pair[np.arange(len(which)), best] if pair.shape[1] else np.full(len(which), NONE)
-            for r in np.flatnonzero(low >= NONE):
-                row = m[r]
-                out[which[r]] = row[row >= 0].astype("<u4").tobytes()
-            live = low < NONE
-            m, pair, which, best, low = m[live], pair[live], which[live], best[live], low[live]
-            if not len(which):
-                break
-            rows = np.arange(len(which))
-            m[rows, best] = low
-            closed = np.arange(m.shape[1] - 1)
-            m = np.take_along_axis(m, closed + (closed > best[:, None]), 1)
-            closed = closed[:-1]
-            pair = np.take_along_axis(pair, closed + (closed > best[:, None]), 1)
-            for side, at in (("left", best - 1), ("right", best)):
-                ok = (at >= 0) & (at < pair.shape[1])
-                r, c = rows[ok], at[ok]
-                a, b = m[r, c], m[r, c + 1]
-                both = b >= 0
-                new = np.full(len(r), NONE)
-                new[both] = self.pairs(a[both], b[both])
-                pair[r, c] = new
+            low = pair.min(1)
+            ended = low >= NONE
+            if ended.any():
+                for r in np.flatnonzero(ended).tolist():
+                    row = m[r]
+                    out[which[r]] = row[row >= 0].astype("<u4").tobytes()
+                live = ~ended
+                m, pair, which, low = m[live], pair[live], which[live], low[live]
+                if not len(which):
+                    break
+            merged = pair == low[:, None]
+            if (merged[:, 1:] & merged[:, :-1]).any():  # of pairs that share a token the left one goes first: every second of a run
+                at = np.arange(m.shape[1])
+                start = merged.copy()
+                start[:, 1:] &= ~merged[:, :-1]
+                merged &= (at - np.maximum.accumulate(np.where(start, at, 0), axis=1)) % 2 == 0
+            if (wary := ~self.last[low]).any():
+                self._stop(m, merged, low, wary)
+            m[merged] = np.repeat(low, merged.sum(1))
+            stays = m >= 0
+            stays[:, 1:] &= ~merged[:, :-1]
+            lengths = stays.sum(1)
+            held = np.arange(int(lengths.max())) < lengths[:, None]
+            closed, ranks, fresh = np.full(held.shape, -1, np.int64), np.full(held.shape, NONE), np.zeros(held.shape, bool)
+            closed[held], ranks[held], fresh[held] = m[stays], pair[stays], merged[stays]
+            fresh[:, :-1] |= fresh[:, 1:]
+            spots = np.nonzero(fresh)
+            ranks[spots] = self._ranks(closed, *spots)
+            m, pair = closed, ranks
         return out
 
-    def _heap(self, word: bytes) -> bytes:
-        """The same merges for one long word: a linked list of parts and a heap of (rank, place)."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(r, i, 2) for i in range(len(word) - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, n = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= len(word) or len(parts[i]) + len(parts[j]) != n:
-                continue
-            parts[i] += parts[j]
-            parts[j] = b""
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(word) and (r := self.ranks.get(t := parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (r, a, len(t)))
-        return np.array([self.ranks[p] for p in parts if p], "<u4").tobytes()
-
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> RankBpe:

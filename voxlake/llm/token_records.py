@@ -11,9 +11,13 @@ so that a checksum over bytes that hold checksums stays sound. The files are wri
 Spark's own writer and committer: a lost task is written again and leaves no part behind.
 
 Records are in ascending (id, hash of the text) order over the files as sorted by their part number.
+A file gets so many records that it takes about FILE_BYTES at most, however many documents a task
+holds, so a task that reads files back needs memory for one file at a time, and a list of one file's
+records is bounded too. Rows that share an id are dealt by the hash.
+
 Null texts hold only the end id; a null id comes first and is read back as null; rows that
-repeat an id each have a record; an empty table gives no record. Columns other than id and
-text are not written, whatever their names.
+repeat an id each have a record; an empty table gives no record; a very long text is one record,
+of at most 2**32 - 1 bytes. Columns other than id and text are not written, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.scratch import delete
 from .tokens import encoded_batches
 
 HEAD, BODY, CRC = struct.Struct("<II"), struct.Struct("<BqI"), struct.Struct("<I")
 WIDE, NO_ID = 1, 2
+FILE_BYTES = 1 << 26
 INDEX = "file string, ordinal bigint, byte_offset bigint, byte_length bigint, doc_id bigint, n_tokens bigint"
 
 
@@ -70,8 +76,16 @@ def walk(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = after
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", id_col: str = "doc_id", added: bool = False) -> None:
-    """Encode and write all documents. One shuffle: texts are dealt by ranges of the id and sorted there."""
+def records_per_file(docs: DataFrame, text: str, file_bytes: int) -> int:
+    """How many records of mean size fill ``file_bytes``. A record is taken to be as long as its text, of which it needs about half."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, int(file_bytes * n / (size + 32 * n))) if n else 1
+
+
+def write_records(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", id_col: str = "doc_id", added: bool = False, file_bytes: int = FILE_BYTES
+) -> None:
+    """Encode and write all documents. One shuffle: texts are dealt by ranges of (id, hash of the text) and sorted there."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -82,8 +96,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             )
 
     # the text writer copies the bytes of each row as they are and adds the line feed that ends a record
-    dealt = docs.select(id_col, text).repartitionByRange(id_col).sortWithinPartitions(id_col, F.xxhash64(text))
-    dealt.mapInArrow(records, "r binary").select(F.col("r").cast("string")).write.option("lineSep", "\n").text(path)
+    place = [F.col(id_col), F.xxhash64(F.col(text))]
+    dealt = docs.select(id_col, text).repartitionByRange(*place).sortWithinPartitions(*place)
+    out = dealt.mapInArrow(records, "r binary").select(F.col("r").cast("string")).write.option("lineSep", "\n")
+    out.option("maxRecordsPerFile", records_per_file(docs, text, file_bytes)).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,9 +125,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
     """The offset index of the files in ``path`` as Parquet: INDEX, ids_crc32 and start (ids of all records before)."""
-    spark_scan = scan(spark, path)
     tmp = index.rstrip("/") + "-parts"
-    spark_scan.write.parquet(tmp)
+    scan(spark, path).write.parquet(tmp)
     rows = spark.read.parquet(tmp)
     number = F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long")
     piece = F.regexp_extract("file", r"-c(\d+)[^/]*$", 1).cast("long")
@@ -124,10 +139,11 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
     rows.withColumn("start", inside).join(base, "file").withColumn("start", (F.col("start") + F.col("base")).cast("long")).drop(
         "base"
     ).write.parquet(index)
+    delete(spark, tmp)
 
 
 def read_shuffled(spark: SparkSession, path: str, index: str, seed: int) -> DataFrame:
-    """(doc_id, ids) of all records in an order drawn by ``seed``: the index picks the records out of each file."""
+    """(doc_id, ids) of all records in an order drawn by ``seed``: each file meets the offsets that the index has for it, and only those places are read."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 200_000
+CACHE = 400_000
 LONG_PIECE = 64
 ROWS = 512
 #: Fixed values of byte-level tokenizers: the pattern that splits a text into words, and the bytes that are shown as themselves.
@@ -32,59 +32,58 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The others are shown as the characters from U+0100 on, in their order.
 BYTE_CHARACTERS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _SHOWN_BLANK = chr(BYTE_CHARACTERS[0x20])
-#: A short cut for the commonest pieces: one word of Latin-1 letters, then marks.
-_PLAIN = re.compile(r"( ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([,.;:!?]*)")
+#: A short cut for the commonest pieces: one word of Latin-1 letters, or one and then marks.
+_PLAIN, _MARKS = re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+").fullmatch, ",.;:!?"
 #: Python's \s holds every blank of the tokenizers' pattern and a few more, so \S is never one of theirs.
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 _BLANK_BEFORE_BLANK = re.compile(r"\s ")
 
 
-class PieceCache:
-    """Bytes of pieces, filled by ``encode`` for those not known yet.
+class Memo(dict):
+    """Bytes of strings, encoded when first asked for.
 
-    When ``limit`` pieces are known they become the older half, of which only those met
-    again are carried on, so frequent pieces stay and at most twice ``limit`` are held.
+    When ``limit`` strings are known they become the older half, of which only those asked for
+    again are carried on, so frequent strings stay and at most twice ``limit`` are held. Strings of
+    over LONG_PIECE characters aren't held.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE):
-        self.encode, self.limit, self.known, self.older, self.long = encode, limit, {}, {}, []
-
-    def fill(self, pieces: set[str]) -> dict[str, bytes]:
-        missing = pieces.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.limit:
-                self.known, self.older = {}, self.known
-                missing = pieces
-            if again := self.older.keys() & missing:
-                self.known.update((p, self.older[p]) for p in again)
-                missing = missing - again
-            order = list(missing)
-            self.known.update(zip(order, self.encode(order), strict=True))
-            self.long += [p for p in order if len(p) > LONG_PIECE]
-        return self.known
-
-    def forget_long(self) -> None:
-        for p in self.long:
-            self.known.pop(p, None)
-        self.long = []
-
-
-def by_pieces(texts: list[str], first: PieceCache, after_blank: PieceCache) -> list[bytes]:
-    """The joined bytes of each text's pieces. ``after_blank`` holds pieces without their leading blank."""
-    heads, tails = [], []
-    for t in texts:
-        if _BLANK_BEFORE_BLANK.search(t):
-            heads.append(_BEFORE_BLANK.split(t))
-            tails.append(())
-        else:
-            head, *parts = t.split(" ")
-            heads.append((head,) if head else ())
-            tails.append(parts)
-    h, a = first.fill(set().union(*heads)), after_blank.fill(set().union(*tails))
-    out = [b"".join([h[p] for p in whole] + list(map(a.__getitem__, parts))) for whole, parts in zip(heads, tails, strict=True)]
-    first.forget_long()
-    after_blank.forget_long()
-    return out
+    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE):
+        self.encode, self.limit, self.older = encode, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.pop(key, None)
+        if got is None:
+            got = self.encode(key)
+        if len(key) <= LONG_PIECE:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
+class Pieces(Memo):
+    """Ids of ``lead`` and a piece. Only plain words are held; other pieces are put together from words, as few come again."""
+
+    def __init__(self, lead: str, one: Callable[[str], bytes], words: Memo, find: Callable[[str], list[str]]):
+        super().__init__(lambda w: one(lead + w))
+        self.lead, self.words, self.find = lead, words, find
+
+    def __missing__(self, piece: str) -> bytes:
+        if _PLAIN(piece):
+            return super().__missing__(piece)
+        word = piece.rstrip(_MARKS)
+        if len(word) < len(piece) and _PLAIN(word):
+            return self[word] + self.words[piece[len(word) :]]
+        return b"".join(map(self.words.__getitem__, self.find(self.lead + piece)))
+
+
+def cut(text: str) -> tuple[list[str], list[str]]:
+    """Pieces that can be encoded each on its own, the second list without their leading blank."""
+    if _BLANK_BEFORE_BLANK.search(text):
+        return _BEFORE_BLANK.split(text), []
+    head, *parts = text.split(" ")
+    return [head] if head else [], parts
 
 
 class TextEncoder:
@@ -103,47 +102,40 @@ class TextEncoder:
         if plain:
             import regex
 
-            self.find = regex.compile(BYTE_LEVEL).findall
-            self.words = PieceCache(self.model_ids)
-        self.first = PieceCache(self.pieces) if plain else None
-        self.after_blank = PieceCache(lambda ps: self.pieces([" " + p for p in ps])) if plain else None
+            self.tokenize = self.tok.model.tokenize
+            words, find = Memo(self.model_ids), regex.compile(BYTE_LEVEL).findall
+            self.first, self.after_blank = Pieces("", self.model_ids, words, find), Pieces(" ", self.model_ids, words, find)
+        else:
+            self.first = None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, texts: list[str]) -> list[bytes]:
-        """Each piece's words from the cache; new words go straight to the tokenizer's model."""
-        plain, find = _PLAIN.fullmatch, self.find
-        split = [m.groups() if (m := plain(t)) else find(t) for t in texts]
-        distinct = set().union(*split)
-        distinct.discard("")
-        known = self.words.fill(distinct)
-        known[""] = b""
-        out = [b"".join([known[w] for w in words]) for words in split]
-        self.words.forget_long()
-        return out
+    def model_ids(self, word: str) -> bytes:
+        shown = word.replace(" ", _SHOWN_BLANK) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array("I", [k.id for k in self.tokenize(shown)]).tobytes()
 
-    def model_ids(self, words: list[str]) -> list[bytes]:
-        tokenize = self.tok.model.tokenize
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        first, after_blank = self.first.__getitem__, self.after_blank.__getitem__
         out = []
-        for w in words:
-            shown = w.replace(" ", _SHOWN_BLANK) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-            out.append(array("I", [k.id for k in tokenize(shown)]).tobytes())
+        for t in texts:
+            heads, tails = cut(t)
+            out.append(b"".join([*map(first, heads), *map(after_blank, tails)]))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.first:
+        if self.first is None:
             return self.whole(texts)
         collecting = gc.isenabled()
         gc.disable()  # the caches hold no cycles, only many objects to walk over
         try:
             held = [k for k, t in enumerate(texts) if any(c in t for c in self.apart)]
             if not held:
-                return by_pieces(texts, self.first, self.after_blank)
+                return self.by_pieces(texts)
             apart = set(held)
             rest = [k for k in range(len(texts)) if k not in apart]
             got = dict(zip(held, self.whole([texts[k] for k in held]), strict=True))
-            got.update(zip(rest, by_pieces([texts[k] for k in rest], self.first, self.after_blank), strict=True))
+            got.update(zip(rest, self.by_pieces([texts[k] for k in rest]), strict=True))
             return [got[k] for k in range(len(texts))]
         finally:
             if collecting:
