@@ -53,8 +53,19 @@ def discard(*tables: DataFrame) -> None:
         delete(table.sparkSession, _PATHS.pop(table))
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """(path, its file system). Spark has no public calls for what is done with them, so Hadoop's own are used, on the driver."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` in whichever store it lies. Spark has no public call for it, so Hadoop's own is used, on the driver."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete ``path`` in whichever store it lies."""
+    target, store = _hadoop(spark, path)
+    store.delete(target, True)
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """``path`` with its store; without one it lies in Spark's default store."""
+    target, store = _hadoop(spark, path)
+    return store.makeQualified(target).toString()

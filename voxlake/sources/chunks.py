@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import uri
 from ..operators import blocks as B
 from ..operators.roi import Vec
 
@@ -133,16 +134,15 @@ def _store(root: str):
 
     from pyarrow import fs
 
-    if not re.match(r"[a-zA-Z][\w+.-]*:/", root):
-        raise ValueError(f"{root} must be a URI, such as file:///..., that all tasks reach")
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", root))
 
 
 def export_blocks(blocks: DataFrame, root: str, array: str, shape: Vec, chunk: Vec, dtype: str, offset_nm: Sequence[float] = (0, 0, 0), resolution: Sequence[float] = (1, 1, 1), level: int = 3) -> None:
-    """Write chunk files (zlib) and their metadata below ``root``, a URI of a store that pyarrow opens (file, hdfs, s3, gs).
+    """Write chunk files (zlib) and their metadata below ``root``, in a store that Spark and pyarrow open (file, hdfs, s3, gs).
 
     Each file is written under another name and renamed, so a task that is run again leaves no half of a chunk.
     """
+    root = uri(blocks.sparkSession, root)
     store, top = _store(root)
     folder = f"{top}/{array}"
 
