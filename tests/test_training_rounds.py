@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voxlake.operators import resample
@@ -11,6 +12,19 @@ def test_few_labels_still_give_all_blocks(spark):
     assert got.select("i").distinct().count() == 6 and got.count() == 6 * 27
 
 
+def test_volumes_are_drawn_by_voxels_and_blocks_deformed(spark):
+    def volume(n, value):
+        df = resample.dense_box(spark.range(1), (0, 0, 0), (n, n, n))
+        return df.withColumns({"raw": F.lit(value), "label": (F.col("x") % 2).cast("int"), "mask": F.lit(1)}), ((0, 0, 0), (n, n, n))
+
+    sets = {"large": volume(24, 0.25), "small": volume(8, 0.75)}
+    runs = [sorted(map(tuple, jobs.build_training_sets(sets, (4, 4, 4), 20, 3, factor=2, elastic=(2, 0.5, (0.0, 1.0)), scale=(1.0, 1.0), shift=(0.0, 0.0)).collect()), key=str) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 20 * 64
+    blocks = jobs.build_training_sets(sets, (4, 4, 4), 20, 3, factor=2, elastic=(2, 0.5, (0.0, 1.0)), scale=(1.0, 1.0), shift=(0.0, 0.0))
+    n = {r.dataset: (r.n, r.low, r.high) for r in blocks.groupBy("dataset").agg(F.count_distinct("i").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high")).collect()}
+    assert n["large"][0] >= 17 and n["large"][1:] == pytest.approx((-0.5, -0.5))  # 27 times the voxels; 2 v - 1 of a constant
+
+
 def test_other_boxes_are_mirrored_and_swap_equal_axes(spark):
     df = resample.dense_box(spark.range(1), (0, 0, 0), (2, 3, 3)).withColumns({"v": F.col("z") * 9 + F.col("y") * 3 + F.col("x")})
     df = df.crossJoin(spark.range(40).withColumnRenamed("id", "b"))

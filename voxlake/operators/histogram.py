@@ -163,7 +163,8 @@ def clahe(
 def match_histograms(src: DataFrame, tmpl: DataFrame, value: str = "v", mask: str = "mask") -> DataFrame:
     """Values of ``src`` mapped so that the masked distribution becomes that of the masked ``tmpl``; all voxels are replaced.
 
-    Both sides shrink to one row a grey value before anything is sorted, and the look-up table has as many rows as grey values.
+    Both sides shrink to one row a grey value before anything is sorted, and the look-up table has as many rows as grey values:
+    at most 65,536 for arrays of 16 bits. Floats are to be rounded to grey values first, as their running sums go through one task.
     """
 
     def cdf(df: DataFrame) -> DataFrame:

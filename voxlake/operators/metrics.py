@@ -104,9 +104,16 @@ RANGES = 256
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of (R_n - R_n-1) P_n over falling thresholds."""
-    step = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    rows = curve.withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(step), F.lit(0.0)))
+    """Sum of (R_n - R_n-1) P_n over falling thresholds, in which the recall never falls.
+
+    The thresholds are cut into RANGES ranges; the recall before a range's first threshold is the largest of the ranges above.
+    """
+    rows = curve.withColumn("__r", F.floor(F.col("threshold") * RANGES).cast("long"))
+    above = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.groupBy(*by, "__r").agg(F.max("recall").alias("__m")).withColumn("__m", F.coalesce(F.max("__m").over(above), F.lit(0.0)))
+    inside = Window.partitionBy(*by, "__r").orderBy(F.desc("threshold"))
+    rows = rows.withColumn("__l", F.lag("recall").over(inside)).join(start, [*by, "__r"])
+    rows = rows.withColumn("gain", F.col("recall") - F.coalesce("__l", "__m"))
     return rows.groupBy(*by).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
 
 

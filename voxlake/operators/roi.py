@@ -109,10 +109,11 @@ def validate(datasets: DataFrame) -> DataFrame:
 
 def tile(spark: SparkSession, offset: Vec, shape: Vec, block: Vec, context: Vec = (0, 0, 0)) -> DataFrame:
     """Write boxes that cover the region, the last of an axis smaller, each with its read box (r columns) grown by ``context``."""
-    df = spark.range(1).select()
+    nz, ny, nx = (-(-s // b) for s, b in zip(shape, block, strict=True))
+    number = {"cz": f"id DIV {ny * nx}", "cy": f"id DIV {nx} % {ny}", "cx": f"id % {nx}"}
+    df = spark.range(nz * ny * nx).select(*[F.expr(e).alias(c) for c, e in number.items()])
     for k, a in enumerate(AXES):
         o, s, b = offset[k], shape[k], block[k]
-        df = df.withColumn(f"c{a}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-s // b) - 1).cast("long"))))
         df = df.withColumn(f"o{a}", o + F.col(f"c{a}") * b).withColumn(f"s{a}", F.least(F.lit(b), F.lit(o + s) - F.col(f"o{a}")))
         df = df.withColumns({f"ro{a}": F.col(f"o{a}") - context[k], f"rs{a}": F.col(f"s{a}") + 2 * context[k]})
     return df

@@ -48,7 +48,8 @@ def possible_shifts(arrays: DataFrame, request: DataFrame, grid: Vec, bounded: b
 
 def random_locations(shifts: DataFrame, n: int, grid: Vec, seed: int) -> DataFrame:
     """(i, z, y, x): ``n`` even draws on the grid for the one row of ``possible_shifts`` (exclusive ends)."""
-    rows = shifts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
+    draws = shifts.sparkSession.range(n).select(F.col("id").alias("i"), F.lit(1).alias("__one"))
+    rows = draws.join(F.broadcast(shifts.withColumn("__one", F.lit(1))), "__one")  # one row
     at = {}
     for k, (a, g) in enumerate(zip(AXES, grid, strict=True)):
         span = F.ceil((F.col(f"hi_{a}") - F.col(f"lo_{a}")) / g)
@@ -107,9 +108,8 @@ def point_locations(points: DataFrame, shape: Vec, n: int, seed: int, cell: int
     Points (id, z, y, x). A draw picks a point by its rank; boxes meet points by cells of the (y, x) plane.
     """
     ranked = with_rank(points.select("id", *KEY), "id")
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    draws = points.agg(F.count(F.lit(1)).alias("__n")).select("__n", F.explode(numbers).alias("i"))
-    picks = draws.select("i", (draw_below(F.col("__n"), seed, "i") + 1).alias("rank"))
+    draws = points.sparkSession.range(n).select(F.col("id").alias("i"))
+    picks = draws.select("i", (draw_below(F.lit(points.count()), seed, "i") + 1).alias("rank"))
     got = picks.join(ranked, "rank")
     at = {a: (F.col(a) - F.floor(draw(seed + 1 + k, "i") * s)).cast("long") for k, (a, s) in enumerate(zip(AXES, shape, strict=True))}
     boxes = got.select("i", *[v.alias(f"o{a}") for a, v in at.items()])

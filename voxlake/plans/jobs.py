@@ -47,17 +47,57 @@ def _accepted(cut: DataFrame, volume: int, n: int, seed: int, min_masked: float,
     return sample.first_accepted(kept, n).select("i")
 
 
+def _deformed(rows: DataFrame, shape: Vec, elastic: tuple[int, float, tuple[float, float]], seed: int) -> DataFrame:
+    """Each block deformed by draws from (seed, i): raw interpolated, label and mask from the nearest voxel. A group is one block."""
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import blocks as B
+
+    at = list(roi.AXES)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at, ignore_index=True)
+        places = B.displaced(tuple(shape), *elastic, np.random.default_rng([seed, int(pdf["i"].iloc[0])]))
+        for c in ("raw", "label", "mask"):
+            pdf[c] = B.gather(pdf[c].to_numpy().reshape(shape), places, 1 if c == "raw" else 0).ravel().astype(pdf[c].dtype)
+        return pdf
+
+    return rows.groupBy("i").applyInPandas(run, rows.schema)
+
+
+def build_training_sets(datasets: Mapping[str, tuple[DataFrame, tuple[Vec, Vec]]], shape: Vec, n: int, seed: int, **how) -> DataFrame:
+    """``build_training_blocks`` of ``n`` blocks over several volumes, with a column dataset: each block's volume is drawn by the volumes' voxels.
+
+    ``datasets``: name -> (voxels, box), a few; a volume gives as many blocks as it was drawn, numbered by the draw.
+    """
+    spark = next(iter(datasets.values()))[0].sparkSession
+    sizes = spark.createDataFrame([(k, box[1][0] * box[1][1] * box[1][2]) for k, (_, box) in datasets.items()], "dataset string, voxels long")
+    drawn = sample.sample_datasets(sizes, n, seed).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for k, (name, count) in enumerate(sorted(tuple(r) for r in drawn.collect())):  # one row a volume
+        part = build_training_blocks(*datasets[name], shape, count, seed + 1000 * (k + 1), **how).withColumn("dataset", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def build_training_blocks(
     voxels: DataFrame, box: tuple[Vec, Vec], shape: Vec, n: int, seed: int, min_masked: float = 0.05, p_reject: float = 0.9, reject_below: float = 0.75, p_keep: float = 0.95,
     n_classes: int = 2, scale: tuple[float, float] = (0.9, 1.1), shift: tuple[float, float] = (-0.1, 0.1),
+    factor: int | Vec = 1, elastic: tuple[int, float, tuple[float, float]] | None = None,
 ) -> DataFrame:
     """(i, oz, oy, ox, z, y, x, raw, label, mask, scale) of ``n`` drawn blocks; ValueError if MOST * n candidates don't give them.
 
     Locations are drawn, in rounds until there are enough, and accepted by their share of labelled voxels, blocks are cut out by a join on
     grid cells, padded, kept by their masked share, mirrored and transposed, their intensity is varied,
-    and every voxel gets its class's weight. ``voxels``: z, y, x, raw (0..1), label, mask.
+    and every voxel gets its class's weight. ``voxels``: z, y, x, raw (0..1), label, mask. With ``factor`` every
+    factor-th voxel is taken first; with ``elastic`` (spacing, sigma, rotation) blocks are deformed, then mirrored and transposed again.
     """
     spark = voxels.sparkSession
+    steps = (factor,) * 3 if isinstance(factor, int) else factor
+    if max(steps) > 1:
+        voxels = resample.downsample(voxels, steps, box[0])
+        box = (0, 0, 0), tuple(-(-s // f) for s, f in zip(box[1], steps, strict=True))
     spans = ", ".join(f"CAST({o} AS BIGINT) AS lo_{a}, CAST({o + s - k + 1} AS BIGINT) AS hi_{a}" for a, o, s, k in zip(roi.AXES, *box, shape, strict=True))
     volume = shape[0] * shape[1] * shape[2]
     tried = 4
@@ -71,13 +111,15 @@ def build_training_blocks(
         if tried >= MOST:
             raise ValueError(f"{found} of {n} blocks after {tried * n} candidates")
         tried *= 8
-    rows = places.join(F.broadcast(kept), "i").select("i", *[F.col(a).alias(f"o{a}") for a in roi.AXES])
+    rows = places.join(kept, "i").select("i", *[F.col(a).alias(f"o{a}") for a in roi.AXES])
     for a, s in zip(roi.AXES, shape, strict=True):
         rows = rows.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s - 1).cast("long"))))
     have = cut.select("i", *roi.AXES, "raw", "label", "mask")
     rows = rows.join(have, ["i", *roi.AXES], "left")
     rows = rows.withColumns({"raw": F.coalesce("raw", F.lit(0.5)), "label": F.coalesce("label", F.lit(0)), "mask": F.coalesce("mask", F.lit(0))})
     rows = resample.simple_augment(rows, ["i"], shape, seed + 21)
+    if elastic is not None:
+        rows = resample.simple_augment(_deformed(rows, shape, elastic, seed + 41), ["i"], shape, seed + 51)
     rows = project.intensity_augment(rows, "raw", ["i"], scale, shift, seed + 31)
     rows = metrics.balance_scale(rows, ["i"], "label", "mask", n_classes)
     return project.scale_shift(rows, "raw", 2.0, -1.0)
