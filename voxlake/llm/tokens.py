@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE = 400_000
+#: Strings held at once, at most twice as many: pieces after a blank, first pieces of texts, words of other pieces.
+CACHE, FIRST_CACHE, WORD_CACHE = 300_000, 50_000, 100_000
 LONG_PIECE = 64
 ROWS = 512
 #: Fixed values of byte-level tokenizers: the pattern that splits a text into words, and the bytes that are shown as themselves.
@@ -47,7 +48,7 @@ class Memo(dict):
     over LONG_PIECE characters aren't held.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE):
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
         self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, key: str) -> bytes:
@@ -63,15 +64,20 @@ class Memo(dict):
 
 
 class Pieces(Memo):
-    """Ids of ``lead`` and a piece. Only plain words are held; other pieces are put together from words, as few come again."""
+    """Ids of ``lead`` and a piece. Only plain words are held; other pieces are put together from words, as few come again.
 
-    def __init__(self, lead: str, one: Callable[[str], bytes], words: Memo, find: Callable[[str], list[str]]):
-        super().__init__(lambda w: one(lead + w))
-        self.lead, self.words, self.find = lead, words, find
+    ``after_blank``, where given, has the ids of pieces that begin with a blank, by what follows it.
+    """
+
+    def __init__(self, lead: str, one: Callable[[str], bytes], words: Memo, find: Callable[[str], list[str]], limit: int, after_blank: Memo | None = None):
+        super().__init__(lambda w: one(lead + w), limit)
+        self.lead, self.words, self.find, self.after_blank = lead, words, find, after_blank
 
     def __missing__(self, piece: str) -> bytes:
         if _PLAIN(piece):
             return super().__missing__(piece)
+        if self.after_blank is not None and piece[0] == " ":
+            return self.after_blank[piece[1:]]
         word = piece.rstrip(_MARKS)
         if len(word) < len(piece) and _PLAIN(word):
             return self[word] + self.words[piece[len(word) :]]
@@ -103,8 +109,9 @@ class TextEncoder:
             import regex
 
             self.tokenize = self.tok.model.tokenize
-            words, find = Memo(self.model_ids), regex.compile(BYTE_LEVEL).findall
-            self.first, self.after_blank = Pieces("", self.model_ids, words, find), Pieces(" ", self.model_ids, words, find)
+            words, find = Memo(self.model_ids, WORD_CACHE), regex.compile(BYTE_LEVEL).findall
+            self.after_blank = Pieces(" ", self.model_ids, words, find, CACHE)
+            self.first = Pieces("", self.model_ids, words, find, FIRST_CACHE, self.after_blank)
         else:
             self.first = None
 
