@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,10 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import LONG_PIECE, ROWS, cut
+from .tokens import BYTE_LEVEL, LONG_PIECE, ROWS, cut
 
-CELLS = 1 << 18
+CELLS = 1 << 17
 CACHE = 200_000
+#: A short cut for the commonest pieces of the byte-level pattern: one word of Latin-1 letters, then marks.
+_PLAIN = re.compile(r"( ?[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([,.;:!?]*)").fullmatch
 NONE = np.int64(1) << 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,6 +130,7 @@ class RankBpe:
         self.pairs = PairTable(*pairs.T)
         self.last = self._last(pairs)
         self.find = regex.compile(pattern).findall
+        self.plain = _PLAIN if pattern == BYTE_LEVEL else lambda p: None
         self.words = PieceCache(self._words)
         self.first = PieceCache(self._pieces)
         self.after_blank = PieceCache(lambda ps: self._pieces([" " + p for p in ps]))
@@ -146,9 +150,12 @@ class RankBpe:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [self.find(p) for p in pieces]
-        distinct = {w for words in found for w in words}
+        plain, find = self.plain, self.find
+        found = [m.groups() if (m := plain(p)) else find(p) for p in pieces]
+        distinct = set().union(*found)
+        distinct.discard("")
         known = self.words.fill(distinct)
+        known[""] = b""
         out = [b"".join(map(known.__getitem__, words)) for words in found]
         self.words.forget_long()
         return out
@@ -181,7 +188,9 @@ class RankBpe:
 
     def _stop(self, m: np.ndarray, merged: np.ndarray, low: np.ndarray, wary: np.ndarray) -> None:
         """In ``wary`` rows, keep in ``merged`` no place after the first whose merge makes a pair of a lower rank."""
-        row, at = np.nonzero(merged & wary[:, None])
+        rows = np.flatnonzero(wary)
+        row, at = np.nonzero(merged[rows])
+        row = rows[row]
         new = low[row]
         before = np.where(at > 0, m[row, np.maximum(at - 1, 0)], -1)
         before = np.where((at > 1) & merged[row, np.maximum(at - 2, 0)], new, before)
@@ -190,9 +199,11 @@ class RankBpe:
         for left, right in ((before, new), (new, after)):
             there = np.flatnonzero((left >= 0) & (right >= 0))
             lower[there] |= self.pairs(left[there], right[there]) < new[there]
-        end = np.full(len(m), m.shape[1])
-        np.minimum.at(end, row[lower], at[lower])
-        merged &= np.arange(m.shape[1]) <= end[:, None]
+        if lower.any():
+            end = np.full(len(m), m.shape[1])
+            np.minimum.at(end, row[lower], at[lower])
+            stopped = np.flatnonzero(end < m.shape[1])
+            merged[stopped] &= np.arange(m.shape[1]) <= end[stopped, None]
 
     def _matrix(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
@@ -207,9 +218,12 @@ class RankBpe:
             low = pair.min(1)
             ended = low >= NONE
             if ended.any():
-                for r in np.flatnonzero(ended).tolist():
-                    row = m[r]
-                    out[which[r]] = row[row >= 0].astype("<u4").tobytes()
+                rows = m[ended]
+                there = rows >= 0
+                ids = rows[there].astype("<u4").tobytes()
+                ends = (4 * np.cumsum(there.sum(1))).tolist()
+                for k, a, b in zip(which[ended].tolist(), [0, *ends], ends):
+                    out[k] = ids[a:b]
                 live = ~ended
                 m, pair, which, low = m[live], pair[live], which[live], low[live]
                 if not len(which):
@@ -220,9 +234,11 @@ class RankBpe:
                 start = merged.copy()
                 start[:, 1:] &= ~merged[:, :-1]
                 merged &= (at - np.maximum.accumulate(np.where(start, at, 0), axis=1)) % 2 == 0
-            if (wary := ~self.last[low]).any():
+            count = merged.sum(1)
+            if (wary := (count > 1) & ~self.last[low]).any():
                 self._stop(m, merged, low, wary)
-            m[merged] = np.repeat(low, merged.sum(1))
+                count = merged.sum(1)
+            m[merged] = np.repeat(low, count)
             stays = m >= 0
             stays[:, 1:] &= ~merged[:, :-1]
             lengths = stays.sum(1)
