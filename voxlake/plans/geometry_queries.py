@@ -200,7 +200,11 @@ def _(t):
     return project.relabel_to(t.vox.select("z", "y", "x", "inst"), "inst", 9)
 
 
-@query("prj_12_relabel_to_uid")
+CRC = """SELECT inst, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split('cells/crop_' || inst || '.tif', ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) AS uid FROM (SELECT DISTINCT inst FROM vox)"""
+
+
+@query("prj_12_relabel_to_uid", "vox", f"SELECT z, y, x, CASE WHEN lab_a <> 0 THEN uid ELSE 0 END AS v, 'cells/crop_' || inst || '.tif' AS path FROM vox JOIN ({CRC}) USING (inst)")
 def _(t):
     rows = t.vox.select("z", "y", "x", F.col("lab_a").alias("v"), F.concat(F.lit("cells/crop_"), F.col("inst"), F.lit(".tif")).alias("path"))
     return project.relabel_to_uid(rows, "v", "path")
