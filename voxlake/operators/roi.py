@@ -143,7 +143,7 @@ def boxes_to_mask(grid: DataFrame, boxes: DataFrame, cell: int = 32, value: int
     return met.groupBy(*AXES).agg((F.max("__in") * value).alias("mask"))
 
 
-def import_offsets(spec: DataFrame, raw_y: int, resolution: Vec, shift: int = 0) -> DataFrame:
+def import_offsets(spec: DataFrame, raw_y: int, resolution: Vec, shift: int | Column = 0) -> DataFrame:
     """Source offsets (x, y, z order, ix, iy, iz with dims dx, dy, dz) as z, y, x in nanometres: a quarter of the offset, y mirrored."""
     quarter = {a: (F.col(f"i{a}") * 0.25).cast("long") for a in AXES}
     y = F.lit(raw_y) - quarter["y"] - (F.col("dy") * 0.5).cast("long") - shift

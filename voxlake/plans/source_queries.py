@@ -122,3 +122,17 @@ def _(t):
     sources = {"x/raw": raw, "x/groundtruth/0001/crop1/labels/all": gt}
     pairs = [("x/raw", "volumes/raw"), *chunks.crop_targets(list(sources), "groundtruth/0001", "labels/all", "volumes/gt")]
     return chunks.import_volumes(sources, pairs, ny=_box(t)[1][1])
+
+
+@query("src_09_import_attributes", "boxes", """
+    SELECT CASE WHEN id % 4 = 0 THEN 'volumes/raw_' || id ELSE 'volumes/gt/crop' || id END AS "array",
+           CASE WHEN id % 4 = 0 THEN 0 ELSE CAST(trunc(ox * 2) AS BIGINT) * 5 END AS oz_nm,
+           CASE WHEN id % 4 = 0 THEN 0 ELSE (1000 - CAST(trunc(oy * 2) AS BIGINT) - CAST(trunc(sy * 0.5) AS BIGINT) - CASE WHEN id % 4 = 1 THEN 10 ELSE 0 END) * 4 END AS oy_nm,
+           CASE WHEN id % 4 = 0 THEN 0 ELSE CAST(trunc(oz * 2) AS BIGINT) * 4 END AS ox_nm FROM boxes""")
+def _(t):
+    line = F.when(F.col("id") % 4 == 1, "jurkat").otherwise("hela")
+    source = F.when(F.col("id") % 4 == 0, F.concat(F.lit("x/raw_"), F.col("id"))).otherwise(F.concat(line, F.lit("/groundtruth/0001/crop"), F.col("id"), F.lit("/labels/all")))
+    spec = t.boxes.select(source.alias("array"), (F.col("ox") * 8).alias("iz"), (F.col("oy") * 8).alias("iy"), (F.col("oz") * 8).alias("ix"), F.col("sy").alias("dy"))
+    names = [r.array for r in spec.select("array").collect()]  # one a dataset
+    pairs = [*chunks.crop_targets(names, "groundtruth/0001", "labels/all", "volumes/gt"), *[(n, n.replace("x/", "volumes/", 1)) for n in names if n.startswith("x/raw")]]
+    return chunks.import_attributes(spec, pairs, 1000, (5, 4, 4)).drop("resolution")

@@ -230,6 +230,25 @@ def import_volumes(volumes: dict[str, DataFrame], pairs: Sequence[tuple[str, str
     return out
 
 
+#: Sources of this cell line lie 10 voxels lower (fixed value).
+LOWER, LOWER_BY = "jurkat", 10
+
+
+def import_attributes(specs: DataFrame, pairs: Sequence[tuple[str, str]], raw_y: int, resolution: Vec) -> DataFrame:
+    """(array, oz_nm, oy_nm, ox_nm, resolution) of the target arrays: ground truth lies where ``roi.import_offsets`` says, other arrays at 0.
+
+    ``specs``: array, ix, iy, iz, dy of the sources; ``raw_y`` is the height of the raw array in voxels.
+    """
+    from ..operators.roi import import_offsets
+
+    names = specs.sparkSession.createDataFrame(list(pairs), "array string, target string")
+    shift = F.when(F.col("array").contains(LOWER), LOWER_BY).otherwise(0)
+    rows = import_offsets(specs.join(names, "array"), raw_y, resolution, shift)
+    crop = F.col("array").contains("groundtruth")
+    at = [F.when(crop, F.col(c)).otherwise(F.lit(0).cast("long")).alias(c) for c in ("oz_nm", "oy_nm", "ox_nm")]
+    return rows.select(F.col("target").alias("array"), *at, F.array(*[F.lit(int(r)) for r in resolution]).alias("resolution"))
+
+
 def crop_targets(paths: Sequence[str], prefix: str, suffix: str, target: str) -> list[tuple[str, str]]:
     """(source, target) of crops: names between ``prefix`` and ``suffix`` go below ``target``."""
     import re
