@@ -24,3 +24,13 @@ def test_small_spans_draw_as_before(spark):
     n = F.lit(700)
     rows = spark.range(3000).select(project.draw_below(n, 9, "id").alias("a"), F.floor(project.draw(9, "id") * n).alias("b"))
     assert rows.filter("a != b").count() == 0
+
+
+def test_draws_of_neighbouring_seeds_are_independent(spark):
+    bits = [(project.draw(5 + k, "id") < 0.5).cast("int").alias(f"b{k}") for k in range(3)]
+    counts = [r["count"] for r in spark.range(8000).select(*bits).groupBy("b0", "b1", "b2").count().collect()]
+    assert len(counts) == 8 and all(850 < n < 1150 for n in counts)
+
+
+def test_all_draws_are_reached(spark):
+    assert spark.range(N).select(project.draw(3, "id").alias("u")).distinct().count() > 0.6 * N

@@ -126,7 +126,8 @@ DRAWS = 1_000_003
 def draw(seed: int, *keys: str | Column) -> Column:
     """One of DRAWS numbers in [0, 1) that depends on the seed and the keys only, with integer arithmetic any engine repeats.
 
-    What a key has beyond DRAWS goes through a step of its own, so that keys DRAWS apart draw apart.
+    What a key has beyond DRAWS goes through a step of its own, so that keys DRAWS apart draw apart. The steps are linear,
+    so draws of neighbouring seeds would differ by a constant; the fifth power, one to one modulo this prime, breaks that.
     """
     h = F.lit(seed % DRAWS).cast("long")
     for k in keys:
@@ -135,8 +136,10 @@ def draw(seed: int, *keys: str | Column) -> Column:
         h = F.pmod(h * 48_271 + low * 69_621 + 12_345, F.lit(2_147_483_647))
         beyond = F.pmod(F.floor((k - low) / DRAWS), F.lit(2_147_483_647))
         h = F.when(k == low, h).otherwise(F.pmod(h * 39_373 + beyond * 16_807 + 54_321, F.lit(2_147_483_647)))
-    h = F.pmod(F.pmod(h, F.lit(DRAWS)) * 48_271 + 11, F.lit(DRAWS))
-    return h / float(DRAWS)
+    h = F.pmod(h, F.lit(DRAWS))
+    square = F.pmod(h * h, F.lit(DRAWS))
+    fifth = F.pmod(F.pmod(square * square, F.lit(DRAWS)) * h, F.lit(DRAWS))
+    return F.pmod(fifth * 48_271 + 11, F.lit(DRAWS)) / float(DRAWS)
 
 
 def draw_below(n: Column, seed: int, *keys: str | Column) -> Column:

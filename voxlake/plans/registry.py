@@ -39,4 +39,6 @@ def draw_sql(seed: int, *keys: str) -> str:
     h = f"CAST({seed % 1_000_003} AS BIGINT)"
     for k in keys:
         h = f"(({h} * 48271 + (CAST({k} AS BIGINT) % 1000003) * 69621 + 12345) % 2147483647)"
-    return f"(((({h} % 1000003) * 48271 + 11) % 1000003) / CAST(1000003 AS DOUBLE))"
+    h = f"({h} % 1000003)"
+    square = f"({h} * {h} % 1000003)"
+    return f"((({square} * {square} % 1000003 * {h} % 1000003) * 48271 + 11) % 1000003 / CAST(1000003 AS DOUBLE))"
