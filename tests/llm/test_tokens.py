@@ -73,13 +73,14 @@ def test_records_are_written_in_order_and_read_back(spark, tmp_path):
     assert [r.doc_id for r in shuffled] != [r.doc_id for r in got]
 
 
-def test_files_are_bounded_and_ties_are_dealt(spark, tmp_path):
+def test_files_are_bounded_and_ties_are_dealt(spark, tmp_path, monkeypatch):
     """A third of the rows share an id; no file takes more than about file_bytes, and what is read back is whole."""
     docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
-    token_records.write_records(docs, f"file://{tmp_path}/r", JSON, end_id=2, file_bytes=1500)
+    monkeypatch.setattr(token_records, "FILE_ROWS", 8)
+    token_records.write_records(docs, f"file://{tmp_path}/r", JSON, end_id=2, file_bytes=1600)
     token_records.write_index(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/i")
     sizes = [p.stat().st_size for p in (tmp_path / "r").glob("part-*")]
-    assert max(sizes) <= 2000 and len(sizes) >= 20
+    assert max(sizes) <= 1600 and len(sizes) >= 20
     got = spark.read.parquet(f"file://{tmp_path}/i").orderBy("start").collect()
     assert len(got) == 900 and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(900)]

@@ -11,8 +11,9 @@ so that a checksum over bytes that hold checksums stays sound. The files are wri
 Spark's own writer and committer: a lost task is written again and leaves no part behind.
 
 Records are in ascending (id, hash of the text) order over the files as sorted by their part number.
-A file gets so many records that it takes about FILE_BYTES at most, however many documents a task
-holds, so a task that reads files back needs memory for one file at a time, and a list of one file's
+Records are handed to the writer in rows of FILE_BYTES / FILE_ROWS bytes at most, and a file gets FILE_ROWS of
+them, so it takes no more than FILE_BYTES however many documents a task holds (a record longer than a row
+is a row by itself). A task that reads files back needs memory for one file at a time, and a list of one file's
 records is bounded too. Rows that share an id are dealt by the hash.
 
 Null texts hold only the end id; a null id comes first and is read back as null; rows that
@@ -37,7 +38,7 @@ from .tokens import encoded_batches
 
 HEAD, BODY, CRC = struct.Struct("<II"), struct.Struct("<BqI"), struct.Struct("<I")
 WIDE, NO_ID = 1, 2
-FILE_BYTES = 1 << 26
+FILE_BYTES, FILE_ROWS = 1 << 26, 64
 INDEX = "file string, ordinal bigint, byte_offset bigint, byte_length bigint, doc_id bigint, n_tokens bigint"
 
 
@@ -76,30 +77,36 @@ def walk(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
         at = after
 
 
-def records_per_file(docs: DataFrame, text: str, file_bytes: int) -> int:
-    """How many records of mean size fill ``file_bytes``. A record is taken to be as long as its text, of which it needs about half."""
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    return max(1, int(file_bytes * n / (size + 32 * n))) if n else 1
-
-
 def write_records(
     docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", id_col: str = "doc_id", added: bool = False, file_bytes: int = FILE_BYTES
 ) -> None:
     """Encode and write all documents. One shuffle: texts are dealt by ranges of (id, hash of the text) and sorted there."""
 
+    most = file_bytes // FILE_ROWS
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of whole records, joined up to ``most`` bytes; a longer record is a row of its own."""
         end = b"" if end_id is None else struct.pack("<I", end_id)
+        group, size = [], 0
         for part, ids in encoded_batches(batches, text, tokenizer, added):
-            keys = part.column(id_col).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([frame(k, np.frombuffer(x + end, "<u4"))[:-1] for k, x in zip(keys, ids, strict=True)], pa.binary())], ["r"]
-            )
+            full = []
+            for k, x in zip(part.column(id_col).to_pylist(), ids, strict=True):
+                record = frame(k, np.frombuffer(x + end, "<u4"))
+                if size + len(record) > most and group:
+                    full.append(b"".join(group)[:-1])
+                    group, size = [], 0
+                group.append(record)
+                size += len(record)
+            if full:
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary())], ["r"])
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(group)[:-1]], pa.binary())], ["r"])
 
     # the text writer copies the bytes of each row as they are and adds the line feed that ends a record
     place = [F.col(id_col), F.xxhash64(F.col(text))]
     dealt = docs.select(id_col, text).repartitionByRange(*place).sortWithinPartitions(*place)
-    out = dealt.mapInArrow(records, "r binary").select(F.col("r").cast("string")).write.option("lineSep", "\n")
-    out.option("maxRecordsPerFile", records_per_file(docs, text, file_bytes)).text(path)
+    out = dealt.mapInArrow(records, "r binary").select(F.col("r").cast("string"))
+    out.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -69,13 +69,29 @@ class Pieces(Memo):
     ``after_blank``, where given, has the ids of pieces that begin with a blank, by what follows it.
     """
 
-    def __init__(self, lead: str, one: Callable[[str], bytes], words: Memo, find: Callable[[str], list[str]], limit: int, after_blank: Memo | None = None):
-        super().__init__(lambda w: one(lead + w), limit)
-        self.lead, self.words, self.find, self.after_blank = lead, words, find, after_blank
+    def __init__(self, lead: str, words: Memo, find: Callable[[str], list[str]], tokenize: Callable[[str], list], limit: int, after_blank: Memo | None = None):
+        super().__init__(words.encode, limit)
+        self.lead, self.shown_lead = lead, lead.replace(" ", _SHOWN_BLANK)
+        self.words, self.find, self.tokenize, self.after_blank = words, find, tokenize, after_blank
 
     def __missing__(self, piece: str) -> bytes:
-        if _PLAIN(piece):
-            return super().__missing__(piece)
+        got = self.older.pop(piece, None)
+        if got is None:
+            if not _PLAIN(piece):
+                return self.joined(piece)
+            if piece.isascii():  # these letters are shown as themselves
+                got = array("I", [k.id for k in self.tokenize(self.shown_lead + piece)]).tobytes()
+            else:
+                got = self.encode(self.lead + piece)
+            if len(piece) > LONG_PIECE:
+                return got
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = got
+        return got
+
+    def joined(self, piece: str) -> bytes:
         if self.after_blank is not None and piece[0] == " ":
             return self.after_blank[piece[1:]]
         word = piece.rstrip(_MARKS)
@@ -110,8 +126,8 @@ class TextEncoder:
 
             self.tokenize = self.tok.model.tokenize
             words, find = Memo(self.model_ids, WORD_CACHE), regex.compile(BYTE_LEVEL).findall
-            self.after_blank = Pieces(" ", self.model_ids, words, find, CACHE)
-            self.first = Pieces("", self.model_ids, words, find, FIRST_CACHE, self.after_blank)
+            self.after_blank = Pieces(" ", words, find, self.tokenize, CACHE)
+            self.first = Pieces("", words, find, self.tokenize, FIRST_CACHE, self.after_blank)
         else:
             self.first = None
 
