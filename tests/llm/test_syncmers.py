@@ -82,3 +82,14 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     got = syncmers.compared(table(spark, rows)).collect()
     assert len(got) == len(rows)
     assert syncmers.compared(table(spark, []).filter("false")).count() == 0
+
+
+def test_a_far_off_id_and_repeated_ids_leave_ranges_even(spark):
+    n = 4000
+    rows = spark.range(n).select(F.when(F.col("id") == 0, 2**62).when(F.col("id") % 3 == 0, 77).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    dealt = syncmers.ranged(rows, "text", "doc_id")
+    assert dealt.filter("NOT ghost").count() == n
+    most = dealt.groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert most[1] >= 64 and most[0] < 5 * n / 128
+    got = [r.id for r in syncmers.next_pairs(rows, "text", "doc_id").collect()]
+    assert len(got) == n and got.count(77) == len([i for i in range(1, n) if i % 3 == 0]) + 1

@@ -12,13 +12,14 @@ Likeness of two fingerprints: their distinct anchors in common, divided by all t
 distinct anchors; 1 if neither has any.
 
 ``next_pairs`` puts every row beside the following row in order of (id, hash of the text),
-the last beside the first. Ids are cut into at most BUCKETS_PER_PARTITION ranges a shuffle
-partition; each range also gets a copy of the first row of the next range, so one shuffle of
-the texts suffices. The table of first rows is as long as the number of ranges.
+the last beside the first. Ids are cut at approximate quantiles into BUCKETS_PER_PARTITION ranges a
+shuffle partition, so a far-off id changes nothing, and rows that share an id are dealt by the hash;
+each range also gets a copy of the first row of the next range, so one shuffle of the texts suffices.
+The table of first rows, which is broadcast, is as long as the number of ranges.
 
 Defined results: a null text counts as empty, a null id is before all others, a single row is
-its own next, rows that repeat an id follow one another, an empty table gives no row. Columns
-other than id and text are ignored.
+its own next, rows that repeat an id follow one another, an empty table gives no row, a very long
+text is worked on whole, in its row. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import cuts, range_number
+
 K, S = 8, 2
 TOKENS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]]{1,32}|[^\s\p{L}\p{N}\p{M}]"
 BUCKETS_PER_PARTITION = 16
+BEFORE_ALL = -(1 << 63) - 1
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -70,29 +74,25 @@ def likeness(a: str, b: str) -> Column:
 
 
 def ranged(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(id, t, place, ghost, bucket): all rows by ranges of the id, and a copy of each range's first row for the range before it."""
-    spark = docs.sparkSession
-    lo, hi, n, nulls = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).first()
-    lo, hi = (0, 0) if lo is None else (int(lo), int(hi))
-    first = lo - bool(nulls)
-    buckets = max(1, min(n, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    width = -(-(hi - first + 1) // buckets)
-    place = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(first).cast("decimal(20,0)"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), place.alias("place"))
-    rows = rows.withColumn("bucket", F.floor((F.col("place") - F.lit(first).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long"))
-    firsts = rows.groupBy("bucket").agg(F.min("place").alias("first_place"))
+    """(id, t, place, tie, ghost, bucket): all rows by ranges of (id, hash of the text), and a copy of each range's first row for the range before it."""
+    place = F.coalesce(F.col(id_col).cast("decimal(20,0)"), F.lit(str(BEFORE_ALL)).cast("decimal(20,0)"))
+    at = cuts(docs, place, max(1, BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), place.alias("place"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    share = F.least(F.col("tie") / F.lit(2.0**64) + 0.5, F.lit(1 - 2.0**-53))  # in order of the hash
+    rows = rows.withColumn("bucket", range_number(F.col("place"), at, share))
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("place", "tie")).alias("f"))
     order = Window.orderBy("bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(whole))
-    firsts = firsts.select("first_place", before.alias("before"))
-    marked = rows.join(F.broadcast(firsts), F.col("place") == F.col("first_place"), "left")
+    firsts = firsts.select(F.col("f.place").alias("first_place"), F.col("f.tie").alias("first_tie"), before.alias("before"))
+    marked = rows.join(F.broadcast(firsts), (F.col("place") == F.col("first_place")) & (F.col("tie") == F.col("first_tie")), "left")
     spots = F.expr("filter(array(named_struct('bucket', bucket, 'ghost', false), named_struct('bucket', before, 'ghost', true)), x -> x.bucket IS NOT NULL)")
-    return marked.select("id", "t", "place", F.inline(spots))
+    return marked.select("id", "t", "place", "tie", F.inline(spots))
 
 
 def next_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, t, next_t, anchors, next_anchors) of every row."""
-    rows = with_anchors(ranged(docs, text, id_col), "t", "anchors").withColumn("tie", F.xxhash64("t"))
+    rows = with_anchors(ranged(docs, text, id_col), "t", "anchors")
     order = Window.partitionBy("bucket").orderBy("ghost", "place", "tie")
     paired = rows.withColumns({"next_t": F.lead("t").over(order), "next_anchors": F.lead("anchors").over(order)})
     return paired.filter("NOT ghost").select("id", "t", "next_t", "anchors", "next_anchors")
