@@ -115,6 +115,13 @@ def test_length_profile_answers_like_brute_force(spark):
         assert r.n_tokens == ordered[max(0, -(-int(r.share * 1000) * len(ordered) // 1000) - 1)]
 
 
+def test_lengths_of_long_texts_beside_a_clashing_column(spark):
+    long = "word " * 50_000
+    docs = spark.createDataFrame([(1, long, 7), (1, long, 7), (None, None, 7)], "doc_id bigint, text string, n_tokens int")
+    got = {r.n_tokens: r.n_docs for r in token_lengths.histogram(docs, JSON).collect()}
+    assert got == {0: 1, len(reference_ids([long])[0]): 2}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_packing_covers_every_id_once_with_little_padding(seed):
     rnd = random.Random(seed)

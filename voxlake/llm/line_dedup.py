@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import discard, materialize
@@ -148,7 +148,7 @@ def drop_repeated_lines(
     lost = suspects.join(repeated, F.col("key") == F.col("k")).filter(~F.col("id").eqNullSafe(F.col("holder")))
     lost = materialize(lost.groupBy("id", "th").agg(F.collect_set("key").alias("lost")), "line-losses")  # no more than one text's lines
     lay = repeats.one_filter(lost.count(), max_bytes)
-    pages = materialize(repeats.build(lost.select(_document(F.col("id"), F.col("th")).alias("h")), "h", lay, 1), "line-losers")
+    pages = materialize(repeats.build(lost.select(F.xxhash64("id", "th").alias("h")), "h", lay, 1), "line-losers")
     discard(keys, repeated, *read)
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +158,8 @@ def drop_repeated_lines(
             found = [line_keys(t, min_chars) if x else [None] * (t.count("\n") + 1) for t, x in zip(texts, gone, strict=True)]
             yield _without(batch.column("id"), texts, found, gone, id_col)
 
-    rows = repeats.with_hits(_rows(docs, text, id_col).withColumn("d", _document(F.col("id"), F.col("th"))), "d", pages, lay, "hit")
+    rows = repeats.with_hits(_rows(docs, text, id_col).withColumn("d", F.xxhash64("id", "th")), "d", pages, lay, "hit")
     theirs = lost.select(F.col("id").alias("i"), F.col("th").alias("h"), "lost")
     hits = rows.filter("hit").join(theirs, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")), "left").select("id", "t", "lost")
     past = rows.filter("NOT hit").select("id", "t", F.lit(None).cast("array<binary>").alias("lost"))
     return past.union(hits).mapInArrow(run_joined, schema)
-
-
-def _document(i: Column, th: Column) -> Column:
-    return F.xxhash64(i, th)
