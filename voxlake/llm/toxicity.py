@@ -57,18 +57,14 @@ def _buckets(word: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(t.encode()) % BUCKETS for t in terms)
 
 
+#: Long words aren't held: they seldom come again.
 _known = lru_cache(maxsize=65_536)(_buckets)
 
 
-def _buckets_of(word: bytes) -> tuple[int, ...]:
-    """Long words aren't held: they seldom come again."""
-    return _known(word) if len(word) <= LONG_WORD else _buckets(word)
-
-
 def terms(text: str) -> np.ndarray:
     """The text's distinct term numbers, ascending."""
     words = set(text.encode().lower().translate(_LETTERS).split())
-    return np.array(sorted({b for w in words for b in _buckets_of(w)}), np.int64)
+    return np.array(sorted({b for w in words for b in (_known(w) if len(w) <= LONG_WORD else _buckets(w))}), np.int64)
 
 
 class FactorizationMachine:
