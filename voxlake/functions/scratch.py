@@ -69,3 +69,33 @@ def uri(spark: SparkSession, path: str) -> str:
     """``path`` with its store; without one it lies in Spark's default store."""
     target, store = _hadoop(spark, path)
     return store.makeQualified(target).toString()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if it isn't there."""
+    target, store = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, store = _hadoop(spark, path)
+    stream = store.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place by a rename; False if there is one by that name."""
+    target, store = _hadoop(spark, path)
+    if store.exists(target):
+        return False
+    half, _ = _hadoop(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    stream = store.create(half, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not store.rename(half, target):
+        store.delete(half, False)
+        return False
+    return True

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import blocks as B
-from ..sources import chunks, configs, sections
+from ..sources import arrays, chunks, configs, sections
 from .registry import query
 
 HEIGHT = "(SELECT max(y) + 1 FROM vox)"
@@ -62,6 +62,22 @@ def _(t):
     return B.blocks_to_voxels(t.spark.read.parquet(path), "int", skip=0)
 
 
+#: Three boxes written one after another: they overlap, end inside chunks, and lie on other grids of chunks than the array.
+UPDATES = ((0, 0, 0, 5, 70, 60, 1), (3, 50, 40, 4, 40, 60, 2), (2, 60, 30, 2, 8, 9, 3))
+
+
+@query("snk_01_block_update", "vox grid", """
+    SELECT z, y, x, raw * CASE WHEN z >= 2 AND z < 4 AND y >= 60 AND y < 68 AND x >= 30 AND x < 39 THEN 3 WHEN z >= 3 AND y >= 50 AND y < 90 AND x >= 40 THEN 2 ELSE 1 END AS v FROM vox
+    WHERE z < 5 AND y < 70 AND x < 60 OR z >= 3 AND y >= 50 AND y < 90 AND x >= 40 OR z >= 2 AND z < 4 AND y >= 60 AND y < 68 AND x >= 30 AND x < 39""")
+def _(t):
+    path, whole = scratch_path(t.spark, "arrays"), _box(t)
+    layout = arrays.Layout(*whole, (3, 32, 48), "int32")
+    for k, (oz, oy, ox, sz, sy, sx, times) in enumerate(UPDATES):
+        blocks = B.voxels_to_blocks(t.vox.withColumn("raw", F.col("raw") * times), *whole, CHUNK if k else (2, 40, 100), "int32", value="raw")
+        arrays.update_blocks(blocks, path, "cell", "raw", ((oz, oy, ox), (sz, sy, sx)), layout)
+    return B.blocks_to_voxels(arrays.read_array(t.spark, path, "cell", "raw"), "int", skip=0)
+
+
 @query("src_03_read_configs", "boxes", """
     SELECT 'CELL_' || id AS nickname, 'data/cell_' || id || '.zarr' AS file, oy AS offset_y, 3 * sy AS shape_y, 'volumes/labels/' || organelle AS label, organelle + 1 AS class_id FROM boxes""")
 def _(t):

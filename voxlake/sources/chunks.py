@@ -177,30 +177,14 @@ def write_arrays(blocks: DataFrame, path: str, dataset: str) -> DataFrame:
 
 
 def write_blocks(blocks: DataFrame, path: str, dataset: str, array: str, box: tuple[Vec, Vec] | None = None, dtype: str | None = None) -> int:
-    """Write the parts of blocks inside ``box`` as the partition (dataset, array) of a Parquet table; returns the number of blocks.
+    """Write the parts of blocks inside ``box`` into the array of a Parquet table; returns the number of chunks that got values.
 
-    Blocks outside are skipped; of blocks with one chunk number the one that begins last wins; another dtype casts.
+    What earlier writes left outside the box stays (``arrays.update_blocks``, and ``arrays.read_array`` to read); blocks
+    outside are skipped; of blocks that overlap the one that begins last wins; another dtype casts at the first write, which fixes it.
     """
+    from .arrays import update_blocks
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a, lo = B.array_of(r), [r.oz, r.oy, r.ox]
-                if box is not None:
-                    s = [max(0, o - b) for o, b in zip(box[0], lo, strict=True)]
-                    e = [min(n, o + m - b) for n, o, m, b in zip(a.shape, *box, lo, strict=True)]
-                    if any(x >= y for x, y in zip(s, e, strict=True)):
-                        continue
-                    a, lo = a[tuple(slice(x, y) for x, y in zip(s, e, strict=True))], [b + x for b, x in zip(lo, s, strict=True)]
-                rows.append(B._row((r.cz, r.cy, r.cx), lo, a.astype(dtype or r.dtype), dtype or r.dtype))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
-
-    last = F.max_by(F.struct(*B.COLUMNS), F.struct("oz", "oy", "ox")).alias("b")
-    out = blocks.select(B.COLUMNS).mapInPandas(cut, B.SCHEMA).groupBy(*B.CHUNK).agg(last).select("b.*")
-    out = out.withColumns({"dataset": F.lit(dataset), "array": F.lit(array)})
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "array").parquet(path)
-    return blocks.sparkSession.read.parquet(path).filter((F.col("dataset") == dataset) & (F.col("array") == array)).count()
+    return update_blocks(blocks, path, dataset, array, box, dtype=dtype)
 
 
 def empty_blocks(spark: SparkSession, shape: Vec, chunk: Vec, dtype: str, fill: float = 0) -> DataFrame:
