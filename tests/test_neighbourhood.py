@@ -93,7 +93,7 @@ def test_foreground_mask_of_blocks_equals_that_of_voxels(spark, sizes):
     voxels = table(spark, a, "all")
     want = {tuple(r) for r in N.foreground_mask(voxels, box, 2, 180, *sizes).collect()}
     blocks = B.voxels_to_blocks(voxels, *box, (4, 5, 6), "int16")
-    got = {tuple(r) for r in N.foreground_mask_blocks(blocks, box, (4, 5, 6), 2, 180, *sizes).collect()}
+    got = {tuple(r) for r in B.blocks_to_voxels(N.foreground_mask_blocks(blocks, box, (4, 5, 6), 2, 180, *sizes), "int").collect()}
     assert got == want and len({m for *_, m in got}) == 2
 
 

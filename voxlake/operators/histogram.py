@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .roi import AXES, Vec, crop, extent
+from .roi import AXES, Vec, extent
 
 KEY = list(AXES)
 GREY = 1 << 14
 TILES = ["tz", "ty", "tx"]
 CELLS = ["cz", "cy", "cx"]
+#: Of the chunks that voxels are put into.
+CHUNK = (32, 64, 64)
 
 
 def to_14bit(v: Column, lo, hi) -> Column:
@@ -105,35 +107,6 @@ def apply_mapping(df: DataFrame, maps: DataFrame, kernel: int | Vec, nbins: int
     return rows.select(*KEY, blend.alias("v"))
 
 
-def clamp_tiles(maps: DataFrame, lo: Vec, hi: Vec) -> DataFrame:
-    """Repeat the edge tiles one tile outward, so that voxels at the rim find eight."""
-    out = maps
-    for t, a, b in zip(TILES, lo, hi, strict=True):
-        copies = F.expr(f"filter(array({t}, IF({t} = {a}, {t} - 1, NULL), IF({t} = {b}, {t} + 1, NULL)), k -> k IS NOT NULL)")
-        out = out.withColumn(t, F.explode(copies))
-    return out
-
-
-def full_tiles(grey: DataFrame, kernel: Vec, shape: Vec, fill: int, nbins: int) -> DataFrame:
-    """(tz, ty, tx, bin, n) of all tiles of a box at 0 and of half a kernel round it, each of kernel voxels in all.
-
-    Absent voxels have the grey value ``fill``; where the last tile goes beyond the half kernel, what lies before mirrors into it.
-    """
-    out, n_tiles = grey, []
-    for a, t, k, s in zip(AXES, TILES, kernel, shape, strict=True):
-        half = k // 2
-        n_tiles.append(-(-(s + 2 * half) // k))
-        end, last = s + half - 1, n_tiles[-1] * k - half - 1
-        places = F.expr(f"filter(array({a}, 2 * {end} - {a}), p -> p >= -{half} AND p <= {last})" if last > end else f"array({a})")
-        out = out.filter((F.col(a) >= -half) & (F.col(a) <= end)).withColumn("__p", F.explode(places)).withColumn(t, F.floor((F.col("__p") + half) / k).cast("long"))
-    counts = out.groupBy(*TILES, F.expr(f"CAST(g DIV {bin_size(nbins)} AS INT)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    z, y, x = n_tiles
-    grid = grey.sparkSession.range(z * y * x).select(F.expr(f"id DIV {y * x}").alias("tz"), F.expr(f"id DIV {x} % {y}").alias("ty"), F.expr(f"id % {x}").alias("tx"))
-    have = counts.groupBy(*TILES).agg(F.sum("n").alias("have"))
-    lack = grid.join(have, TILES, "left").select(*TILES, F.lit(fill // bin_size(nbins)).cast("int").alias("bin"), (F.lit(kernel[0] * kernel[1] * kernel[2]) - F.coalesce("have", F.lit(0))).alias("n"))
-    return counts.unionByName(lack.filter("n > 0")).groupBy(*TILES, "bin").agg(F.sum("n").alias("n"))
-
-
 def clahe(
     df: DataFrame, kernel: int | Vec = 128, clip: float = 0.02, nbins: int = 256, value: str = "v", grey: tuple[float, float] = (0, 255), box: tuple[Vec, Vec] | None = None
 ) -> DataFrame:
@@ -141,7 +114,7 @@ def clahe(
 
     ``grey`` is the range of the values' type, not of those found. Voxels up to half a kernel outside the box are looked
     at if they are there; what is absent counts as the box's mean, cut to an integer. So a box that is smaller than the
-    volume by half a kernel a side needs none. An empty table gives no row.
+    volume by half a kernel a side needs none. An empty table gives no row. The work is done on chunks (``block_contrast``).
     """
     k = (kernel,) * 3 if isinstance(kernel, int) else tuple(kernel)
     if box is None:
@@ -149,15 +122,14 @@ def clahe(
             return df.select(*KEY, F.lit(0).alias("v"))
         box = extent(df)
     offset, shape = box
-    mean = crop(df, *box).agg(F.avg(value)).first()[0]
-    fill = df.sparkSession.range(1).select(to_14bit(F.lit(float(int(mean or 0))), *grey)).first()[0]
-    rows = df.select(*[(F.col(a) - o).cast("long").alias(a) for a, o in zip(AXES, offset, strict=True)], to_14bit(F.col(value), *grey).alias("g"))
-    n = k[0] * k[1] * k[2]
-    hist = clip_histogram(full_tiles(rows, k, shape, fill, nbins), max(1, int(clip * n)) if clip > 0 else n, nbins)
-    tops = [-(-(s + 2 * (m // 2)) // m) - 1 for s, m in zip(shape, k, strict=True)]
-    maps = clamp_tiles(map_histogram(hist, n), (0, 0, 0), tops)
-    out = apply_mapping(crop(rows, (0, 0, 0), shape), maps, k, nbins)
-    return out.select(*[(F.col(a) + o).alias(a) for a, o in zip(AXES, offset, strict=True)], F.floor(F.floor("v") / (GREY - 1) * 255).cast("int").alias("v"))
+    from . import block_contrast
+    from . import blocks as B
+
+    half = [n // 2 for n in k]
+    region = tuple(o - n for o, n in zip(box[0], half, strict=True)), tuple(s + 2 * n for s, n in zip(box[1], half, strict=True))
+    blocks = B.voxels_to_blocks(df, *region, CHUNK, "float64", float("nan"), value)
+    out = block_contrast.clahe_blocks(blocks, box, CHUNK, k, clip, nbins, grey, origin=region[0])
+    return B.blocks_to_voxels(out, "int", skip=block_contrast.ABSENT)
 
 
 def match_histograms(src: DataFrame, tmpl: DataFrame, value: str = "v", mask: str = "mask") -> DataFrame:

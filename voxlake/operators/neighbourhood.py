@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize
+from ..functions.scratch import discard, materialize
 from .components import components
 from .roi import AXES, Vec, extent
 
@@ -157,6 +157,7 @@ def label_components(df: DataFrame, block: Vec | None = None) -> DataFrame:
         raise ValueError(f"voxels of a box of {box[1]} can't be numbered in 63 bits")
     tiles = rows.groupBy("tz", "ty", "tx").applyInPandas(lambda pdf: _label_tile(pdf, box), "z long, y long, x long, root long")
     local = materialize(tiles, "tiles")
+    discard(rows)
     if block is not None:
         return local.withColumnRenamed("root", "component")
     faces = None
@@ -165,15 +166,20 @@ def label_components(df: DataFrame, block: Vec | None = None) -> DataFrame:
         first = local.filter(F.pmod(F.col(a), F.lit(s)) == 0).withColumnRenamed("root", "v")
         met = last.join(first, KEY).select("u", "v")
         faces = met if faces is None else faces.unionByName(met)
-    joined = components(faces).select(F.col("u").alias("root"), F.col("v").alias("top"))
-    return local.join(joined, "root", "left").select(*KEY, F.coalesce("top", "root").alias("component"))
+    joined = components(faces)
+    tops = joined.select(F.col("u").alias("root"), F.col("v").alias("top"))
+    out = materialize(local.join(tops, "root", "left").select(*KEY, F.coalesce("top", "root").alias("component")), "components")
+    discard(local, joined)
+    return out
 
 
 def remove_small(df: DataFrame, min_size: int, block: Vec | None = None) -> DataFrame:
     """Foreground without components of fewer than ``min_size`` voxels."""
-    labelled = materialize(label_components(df, block), "components")
+    labelled = label_components(df, block)
     large = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
-    return labelled.join(large.select("component"), "component", "left_semi").select(*KEY)
+    out = materialize(labelled.join(large.select("component"), "component", "left_semi").select(*KEY), "large")
+    discard(labelled)
+    return out
 
 
 def fill_small(grid: DataFrame, df: DataFrame, min_size: int, block: Vec | None = None) -> DataFrame:
@@ -190,30 +196,31 @@ def foreground_mask(
 
     In that order: an object counts with its holes filled."""
     fg = raw.filter((F.col("v") > lo) & (F.col("v") < hi)).select(*KEY)
-    fg = materialize(close_ball(open_ball(fg, opening, box), closing, box), "mask")
-    fg = materialize(remove_small(fill_small(raw, fg, min_size, block), min_size, block).withColumn("__f", F.lit(1)), "mask")
+    swept = materialize(close_ball(open_ball(fg, opening, box), closing, box), "mask")
+    filled = materialize(fill_small(raw, swept, min_size, block), "mask")
+    fg = remove_small(filled, min_size, block).withColumn("__f", F.lit(1))
+    discard(swept, filled)
     return raw.join(fg, KEY, "left").select(*KEY, F.when(F.col("__f") == 1, 255).otherwise(0).alias("mask"))
 
 
 def foreground_mask_blocks(
-    raw: DataFrame, box: tuple[Vec, Vec], chunk: Vec, lo: int = 2, hi: int = 180, opening: int = 3, closing: int = 2, min_size: int = 100_000,
+    raw: DataFrame, box: tuple[Vec, Vec], chunk: Vec, lo: int = 2, hi: int = 180, opening: int = 3, closing: int = 2, min_size: int = 100_000, across: bool = True,
 ) -> DataFrame:
-    """``foreground_mask`` of blocks (signed, all chunks of the box): opening and closing in numpy with one halo, components over what is left.
-
-    Voxels (z, y, x, mask) of the box.
-    """
+    """``foreground_mask`` of blocks (signed, all chunks of the box), as blocks (uint8, 0 and 255): opening and closing in numpy with one halo,
+    components by ``block_components``. Without ``across`` holes and objects are judged chunk by chunk."""
     from . import blocks as B
+    from .block_components import remove_small_blocks
 
     context, kernel = B.sweep_kernel([("open", opening), ("close", closing)])
 
     def run(a: np.ndarray) -> np.ndarray:
         return kernel(np.where(a == B.OUTSIDE, B.OUTSIDE, (a > lo) & (a < hi)).astype(np.int8))
 
-    swept = materialize(B.with_halo(raw, (context,) * 3, run, box, chunk, B.OUTSIDE, "uint8"), "mask-blocks")
-    fg = B.blocks_to_voxels(swept, "int", skip=0).select(*KEY)
-    grid = B.blocks_to_voxels(swept, "int").select(*KEY)
-    fg = materialize(remove_small(fill_small(grid, fg, min_size), min_size).withColumn("__f", F.lit(1)), "mask")
-    return grid.join(fg, KEY, "left").select(*KEY, F.when(F.col("__f") == 1, 255).otherwise(0).alias("mask"))
+    swept = B.with_halo(raw, (context,) * 3, run, box, chunk, B.OUTSIDE, "uint8")
+    filled = remove_small_blocks(swept, min_size, box, chunk, across, holes=True)
+    large = remove_small_blocks(filled, min_size, box, chunk, across)
+    discard(filled)
+    return B.map_blocks(large, lambda a: a * np.uint8(255), "uint8")
 
 
 def convolve(df: DataFrame, weights: list[dict[tuple[int, int, int], float]], bias: list[float], value: str = "v") -> DataFrame:

@@ -143,6 +143,51 @@ def predict_arrays(
     return write_arrays(prediction(blocks, model_fn, in_shape, out_shape, box, n_classes, mask), path, f"predictions/{run}")
 
 
+def predict_sweep_arrays(
+    blocks: DataFrame, models: Mapping[int, Callable], in_shape: Vec, out_shape: Vec, box: tuple[Vec, Vec], path: str, run: str, mask: DataFrame | None = None
+) -> DataFrame:
+    """The predictions of several checkpoints of a run, written as the arrays of datasets predictions/<run>/iteration_<%06d>, and reread with column iteration."""
+    from ..operators import blocks as B
+    from ..operators.predict import prediction_sweep
+
+    rows = prediction_sweep(blocks, models, in_shape, out_shape, box, mask, run=run)
+    name = F.format_string(f"predictions/{run}/iteration_%06d", F.col("iteration"))
+    out = rows.select(*B.COLUMNS, name.alias("dataset"), "array")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "array").parquet(path)
+    wanted = [f"predictions/{run}/iteration_{k:06d}" for k in models]
+    got = blocks.sparkSession.read.parquet(path).filter(F.col("dataset").isin(wanted))
+    return got.select(F.regexp_extract("dataset", r"_(\d+)$", 1).cast("int").alias("iteration"), "array", *B.COLUMNS)
+
+
+def block_scores(predicted: DataFrame, target: DataFrame, mask: DataFrame, n_classes: int) -> DataFrame:
+    """(iteration, cls, tp, fp, fn, jaccard) of segmentations (iteration, blocks) against label blocks inside a mask, on one grid of chunks.
+
+    Chunks meet once, a task counts in numpy, and Spark adds up one row a class and chunk. A class that is in neither has 1.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..operators import blocks as B
+
+    side = lambda df, n: df.select(*B.CHUNK, F.col("dtype").alias(f"{n}_dtype"), F.col("data").alias(n))
+    rows = predicted.select("iteration", *B.COLUMNS).join(side(target, "target"), B.CHUNK).join(side(mask, "inside"), B.CHUNK)
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                p = B.array_of(r).ravel()
+                t, m = (np.frombuffer(d, np.dtype(k).newbyteorder("<")) for d, k in ((r.target, r.target_dtype), (r.inside, r.inside_dtype)))
+                table = np.bincount(t[m != 0].astype(np.int64) * n_classes + p[m != 0], minlength=n_classes * n_classes).reshape(n_classes, n_classes)
+                hit = np.diag(table)
+                out += [(r.iteration, c, int(hit[c]), int(table[:, c].sum() - hit[c]), int(table[c].sum() - hit[c])) for c in range(n_classes)]
+            yield pd.DataFrame(out, columns=["iteration", "cls", "tp", "fp", "fn"])
+
+    sums = rows.mapInPandas(count, "iteration int, cls int, tp long, fp long, fn long").groupBy("iteration", "cls").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    every = F.col("tp") + F.col("fp") + F.col("fn")
+    return sums.withColumn("jaccard", F.when(every == 0, 1.0).otherwise(F.col("tp") / every))
+
+
 def labels_and_masks(df: DataFrame, classes: Mapping[str, int], masks: Sequence[str]) -> DataFrame:
     """label and mask of aligned binary arrays."""
     return merge.merge_masks(merge.merge_labels(project.binarize(df, list(classes)), classes), masks)

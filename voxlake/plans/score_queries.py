@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import blocks as B
-from ..operators import histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
+from ..operators import block_components, block_contrast, histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
 from . import jobs
 from .registry import draw_sql, query
 
@@ -177,7 +177,14 @@ def _(t):
 def _(t):
     box = _box(t)
     raw = t.grid.join(t.vox.select(*KEY, "raw"), KEY, "left").select(*KEY, F.coalesce("raw", F.lit(0)).alias("v"))
-    return neighbourhood.foreground_mask_blocks(B.voxels_to_blocks(raw, *box, CHUNK, "int16"), box, CHUNK, 2, 250, 1, 1, 50)
+    mask = neighbourhood.foreground_mask_blocks(B.voxels_to_blocks(raw, *box, CHUNK, "int16"), box, CHUNK, 2, 250, 1, 1, 50)
+    return B.blocks_to_voxels(mask, "int").withColumnRenamed("v", "mask")
+
+
+@query("nbh_08_remove_small_blocks")
+def _(t):
+    box = _box(t)
+    return B.blocks_to_voxels(block_components.remove_small_blocks(B.voxels_to_blocks(t.blob, *box, CHUNK, "int32", value="id"), 200, box, CHUNK), "int", skip=0).select(*KEY)
 
 
 TAPS = {(0, 0, 0): 4.0, (0, 0, 1): 2.0, (0, 1, 0): -1.0, (-1, 0, 0): 3.0}
@@ -252,6 +259,13 @@ def _(t):
     return histogram.clahe(_raw(t), 8, 0.02)
 
 
+@query("his_05_clahe_blocks")
+def _(t):
+    box = _box(t)
+    blocks = B.voxels_to_blocks(t.vox, *box, CHUNK, "int16", block_contrast.ABSENT, value="raw")
+    return B.blocks_to_voxels(block_contrast.clahe_blocks(blocks, box, CHUNK, 8, 0.02), "int", skip=block_contrast.ABSENT)
+
+
 @query("his_06_match_histograms", "vox", """
     WITH s AS (SELECT v, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS q FROM (SELECT raw AS v, count(*) AS n FROM vox WHERE mask <> 0 GROUP BY 1)),
     t AS (SELECT v, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS q FROM (SELECT gt * 3 AS v, count(*) AS n FROM vox WHERE mmask <> 0 AND gt IS NOT NULL GROUP BY 1)),
@@ -596,12 +610,45 @@ def _(t):
     return _r(B.blocks_to_voxels(out, also="array string").join(t.vox.select(*KEY), KEY, "left_semi"), "v", digits=4)
 
 
-@query("prd_03_predict_sweep", "vox", " UNION ALL ".join(f"SELECT {k} AS iteration, k AS cls, round({JAC}, 6) AS jaccard FROM " + _count_sql(f"SELECT lab_a AS t, CASE WHEN prob * {k} >= 500 THEN 1 ELSE 0 END AS p FROM ({CELL})") for k in (800, 1000, 1200)))
+#: Checkpoints of the stencil model: the second class's scores are moved by so much.
+SWEEP = {1000: -60.0, 2000: 40.0, 3000: 140.0}
+
+
+def _checkpoint(shift: float):
+    def load():
+        import numpy as np
+
+        run = stencil_model()
+        return lambda a: run(a) / 100 + np.array([0.0, shift / 100]).reshape(2, 1, 1, 1)
+
+    return load
+
+
+def _swept(t):
+    box = _box(t)
+    raw, mask = (B.voxels_to_blocks(t.vox, *box, CHUNK, k, value=c) for c, k in (("raw", "int32"), ("mask", "uint8")))
+    models = {k: _checkpoint(s) for k, s in SWEEP.items()}
+    return jobs.predict_sweep_arrays(raw, models, tuple(c + 2 for c in CHUNK), CHUNK, box, scratch_path(t.spark, "predictions"), "run", mask)
+
+
+@query("prd_03_predict_sweep", "vox", " UNION ALL ".join(
+    f"SELECT {k} AS iteration, 'prob_maps/class_1' AS \"array\", z, y, x, round(1 / (1 + exp((s0 - s1 - {s}) / 100)), 4) AS v FROM {CONV} "
+    f"UNION ALL SELECT {k}, 'segmentation', c.z, c.y, c.x, CASE WHEN v.mask <> 0 AND s1 + {s} > s0 THEN 1 ELSE 0 END FROM {CONV} c JOIN vox v ON c.z = v.z AND c.y = v.y AND c.x = v.x" for k, s in SWEEP.items()))
 def _(t):
-    def score(df, k):
-        return metrics.jaccard(df.withColumn("pred", (F.col("prob") * k >= 500).cast("int")), "lab_a", "pred", (0, 1))
+    rows = B.blocks_to_voxels(_swept(t).filter("array != 'prob_maps/class_0'").withColumn("name", F.concat_ws(" ", "iteration", "array")), also="name string")
+    name = F.split("name", " ")
+    rows = rows.join(t.vox.select(*KEY), KEY, "left_semi").select(name[0].cast("int").alias("iteration"), name[1].alias("array"), *KEY, "v")
+    return _r(rows, "v", digits=4)
+
 
-    return _r(predict.sweep_models(score, _cells(t), (800, 1000, 1200)), "jaccard")
+@query("prd_03_sweep_scores", "vox", " UNION ALL ".join(f"""
+    SELECT {k} AS iteration, c.c AS cls, count(*) FILTER (t = c AND p = c) AS tp, count(*) FILTER (t <> c AND p = c) AS fp, count(*) FILTER (t = c AND p <> c) AS fn,
+           round(count(*) FILTER (t = c AND p = c) / CAST(count(*) FILTER (t = c OR p = c) AS DOUBLE), 6) AS jaccard
+    FROM (SELECT v.lab_a AS t, CASE WHEN s1 + {s} > s0 THEN 1 ELSE 0 END AS p FROM {CONV} s JOIN vox v ON s.z = v.z AND s.y = v.y AND s.x = v.x WHERE v.mask <> 0), (VALUES (0), (1)) c(c) GROUP BY c.c""" for k, s in SWEEP.items()))
+def _(t):
+    box = _box(t)
+    target, mask = (B.voxels_to_blocks(t.vox, *box, CHUNK, "uint8", value=c) for c in ("lab_a", "mask"))
+    return _r(jobs.block_scores(_swept(t).filter("array = 'segmentation'"), target, mask, 2), "jaccard")
 
 
 # run log -------------------------------------------------------------------------------------------------------------
