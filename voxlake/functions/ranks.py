@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import materialize
+
 ROWS_PER_RANGE = 100_000
 MAX_RANGES = 4096
 STEP = 64
@@ -58,3 +60,37 @@ def with_rank(df: DataFrame, key: str, out: str = "rank") -> DataFrame:
     starts = sizes.select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__b"))
     inside = F.row_number().over(Window.partitionBy("__r").orderBy(key))
     return rows.withColumn("__k", inside).join(F.broadcast(starts), "__r").withColumn(out, F.col("__k") + F.col("__b")).drop("__r", "__k", "__b")
+
+
+def ordered_parts(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` as a written table in ranges of ``order``: __part, the range, ascending, and __at, the row's place in it.
+
+    Ranges are cut by Spark's sample of the rows and sorted in tasks, so equal keys aside no range is much larger than another. What has
+    to be carried from range to range is a row each (``carry``).
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    low = F.lit((1 << 33) - 1).cast("long")
+    return materialize(rows.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(low)}).drop("__id"), name)
+
+
+def running_sum(parts: DataFrame, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` up to each row of ``ordered_parts``; a range's rows are summed in its task, ranges by a row each."""
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("__part").agg(F.sum(value).alias("__t")).select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__b"))
+    return parts.withColumn("__s", F.sum(value).over(own)).join(F.broadcast(totals), "__part").withColumn(out, F.col("__s") + F.col("__b")).drop("__s", "__b")
+
+
+def nearest_known(parts: DataFrame, value: Column, back: str, ahead: str) -> DataFrame:
+    """Add ``back`` and ``ahead``: the last value that isn't null up to each row of ``ordered_parts``, and the first one from it on."""
+    rows = parts.withColumn("__v", value)
+    own = Window.partitionBy("__part").orderBy("__at")
+    up, down = own.rowsBetween(Window.unboundedPreceding, Window.currentRow), own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    known = F.col("__v").isNotNull()
+    ends = rows.groupBy("__part").agg(F.max_by("__v", F.when(known, F.col("__at"))).alias("__l"), F.min_by("__v", F.when(known, F.col("__at"))).alias("__f"))
+    line = Window.orderBy("__part")
+    ends = ends.select(
+        "__part", F.last("__l", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__lb"), F.first("__f", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__fa")
+    )
+    found = rows.withColumns({"__b": F.last("__v", True).over(up), "__a": F.first("__v", True).over(down)}).join(F.broadcast(ends), "__part")
+    return found.withColumns({back: F.coalesce("__b", "__lb"), ahead: F.coalesce("__a", "__fa")}).drop("__v", "__b", "__a", "__lb", "__fa")

@@ -24,6 +24,8 @@ TILES = ["tz", "ty", "tx"]
 #: In signed blocks a voxel that isn't there; in blocks of floats that is NaN.
 ABSENT = -1
 _SLAB = 1 << 18
+#: Tiles a side whose tables are made together.
+_NEAR = 8
 
 
 def grey_of(a: np.ndarray, lo: float, hi: float) -> np.ndarray:
@@ -88,19 +90,22 @@ def tile_tables(histograms: DataFrame, k: Vec, clip: float, nbins: int, fill: in
     z, y, x = (-(-(s + 2 * (n // 2)) // n) for s, n in zip(box[1], k, strict=True))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(nbins, np.int64)
-        for c in pdf["counts"]:
+        place = pdf[TILES].to_numpy(np.int64)
+        tiles, own = np.unique(place, axis=0, return_inverse=True)
+        counts = np.zeros((len(tiles), nbins), np.int64)
+        for k, c in zip(own.ravel().tolist(), pdf["counts"], strict=True):
             if c is not None:
-                counts += np.frombuffer(c, "<i8")
-        counts[fill] += full - counts.sum()
-        upto = np.cumsum(clip_counts(counts, limit))
-        table = np.minimum(np.floor(upto * ((GREY - 1) / full)), GREY - 1).astype("<i2")
-        return pd.DataFrame([(*[int(pdf[t].iloc[0]) for t in TILES], table.tobytes())], columns=[*TILES, "table"])
+                counts[k] += np.frombuffer(c, "<i8")
+        counts[:, fill] += full - counts.sum(1)
+        upto = np.cumsum([clip_counts(c, limit) if c.max() > limit else c for c in counts], 1)
+        tables = np.minimum(np.floor(upto * ((GREY - 1) / full)), GREY - 1).astype("<i2")
+        return pd.DataFrame([(*t, m.tobytes()) for t, m in zip(tiles.tolist(), tables, strict=True)], columns=[*TILES, "table"])
 
     spark = histograms.sparkSession
     grid = spark.range(z * y * x).select(F.expr(f"id DIV {y * x}").alias("tz"), F.expr(f"id DIV {x} % {y}").alias("ty"), F.expr(f"id % {x}").alias("tx"), F.lit(None).cast("binary").alias("counts"))
     rows = histograms.filter("tz IS NOT NULL").select(*TILES, "counts").unionByName(grid)
-    return rows.groupBy(*TILES).applyInPandas(run, "tz long, ty long, tx long, table binary")  # a tile meets a bounded number of chunks
+    near = [F.expr(f"{t} DIV {_NEAR}").alias(f"__{t}") for t in TILES]  # _NEAR ** 3 tiles at most, each met by a bounded number of chunks
+    return rows.groupBy(*near).applyInPandas(run, "tz long, ty long, tx long, table binary")
 
 
 def _needed(lo: int, size: int, kernel: int, top: int) -> tuple[int, int]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import nearest_known, ordered_parts, running_sum
 from .roi import AXES, Vec, extent
 
 KEY = list(AXES)
@@ -135,25 +136,27 @@ def clahe(
 def match_histograms(src: DataFrame, tmpl: DataFrame, value: str = "v", mask: str = "mask") -> DataFrame:
     """Values of ``src`` mapped so that the masked distribution becomes that of the masked ``tmpl``; all voxels are replaced.
 
-    Both sides shrink to one row a grey value before anything is sorted, and the look-up table has as many rows as grey values:
-    at most 65,536 for arrays of 16 bits. Floats are to be rounded to grey values first, as their running sums go through one task.
+    Both sides shrink to one row a value, of whichever type. Running counts and the brackets between the template's values are formed
+    in ranges of values or quantiles, with one row carried from range to range, so floats with as many values as voxels work as they are.
+    A value of ``src`` that occurs outside the mask only is an error; null stays null. Without masked voxels in ``tmpl`` everything maps to null.
     """
 
-    def cdf(df: DataFrame) -> DataFrame:
-        counts = df.filter(F.col(mask) != 0).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-        order = Window.orderBy(value)
-        return counts.select(F.col(value).cast("double").alias("val"), (F.sum("n").over(order) / F.sum("n").over(Window.partitionBy())).alias("q"))
+    def cdf(df: DataFrame, name: str) -> DataFrame:
+        counts = df.filter((F.col(mask) != 0) & F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("val")).agg(F.count(F.lit(1)).alias("n"))
+        parts = ordered_parts(counts, [F.col("val")], name)
+        total = parts.agg(F.sum("n")).first()[0] or 1
+        return running_sum(parts, "n", "upto").select("val", (F.col("upto") / F.lit(total)).alias("q"))
 
-    a, b = cdf(src), cdf(tmpl)
-    both = a.select("q", F.col("val").alias("sv"), F.lit(None).cast("double").alias("tv"), F.lit(1).alias("k")).unionByName(
-        b.select("q", F.lit(None).cast("double").alias("sv"), F.col("val").alias("tv"), F.lit(0).alias("k"))
+    none = F.lit(None).cast("struct<v:double,q:double>")
+    a, b = cdf(src, "source-cdf"), cdf(tmpl, "template-cdf")
+    both = a.select("q", F.col("val").alias("sv"), none.alias("t"), F.lit(1).alias("k")).unionByName(
+        b.select("q", F.lit(None).cast("double").alias("sv"), F.struct(F.col("val").alias("v"), "q").alias("t"), F.lit(0).alias("k"))
     )
-    back = Window.orderBy("q", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.orderBy("q", "k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tq = F.when(F.col("k") == 0, F.col("q"))
-    near = both.select(
-        "sv", "q", F.last("tv", True).over(back).alias("v0"), F.last(tq, True).over(back).alias("q0"), F.first("tv", True).over(ahead).alias("v1"), F.first(tq, True).over(ahead).alias("q1")
-    ).filter("sv IS NOT NULL")
-    mid = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("q") - F.col("q0")) / (F.col("q1") - F.col("q0"))
-    lut = near.select("sv", F.when(F.col("v0").isNull(), F.col("v1")).when(F.col("v1").isNull() | (F.col("q1") == F.col("q0")), F.col("v0")).otherwise(mid).alias("mapped"))
-    return src.join(lut, F.col(value).cast("double") == F.col("sv"), "left").drop("sv")
+    near = nearest_known(ordered_parts(both, [F.col("q"), F.col("k")], "brackets"), F.col("t"), "lo", "hi").filter("sv IS NOT NULL")
+    v0, q0, v1, q1 = (F.col(c) for c in ("lo.v", "lo.q", "hi.v", "hi.q"))
+    mid = v0 + (v1 - v0) * (F.col("q") - q0) / (q1 - q0)
+    mapped = F.when(v0.isNull(), v1).when(v1.isNull() | (q1 == q0), v0).otherwise(mid)
+    lut = near.select("sv", mapped.alias("mapped"))
+    out = src.join(lut, F.col(value).cast("double") == F.col("sv"), "left")
+    missing = F.raise_error(F.concat(F.lit("value outside the mask only: "), F.col(value).cast("string"))).cast("double")
+    return out.withColumn("mapped", F.when(F.col("sv").isNull() & F.col(value).isNotNull(), missing).otherwise(F.col("mapped"))).drop("sv")

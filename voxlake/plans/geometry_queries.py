@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merge, project, resample, roi
+from ..operators import block_sums, merge, project, resample, roi
+from ..operators import blocks as B
 from ..sources import configs, sections
 from .registry import draw_sql, query
 
@@ -416,6 +417,22 @@ def _(t):
     return a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2)))
 
 
+@query("res_04_scale_pyramid_blocks", "vox blob", """SELECT * FROM (
+    WITH a AS (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, CAST(floor(sum(raw) / 8) AS BIGINT) AS v FROM vox GROUP BY 1, 2, 3),
+    b AS (SELECT z, y // 2 AS y, x // 2 AS x, CAST(floor(sum(v) / 4) AS BIGINT) AS v FROM a GROUP BY 1, 2, 3)
+    SELECT 'mean' AS kind, 1 AS s, * FROM a WHERE v > 0 UNION ALL SELECT 'mean', 2, * FROM b WHERE v > 0
+    UNION ALL SELECT 'label', 1, z // 2, y // 2, x // 2, id FROM blob WHERE z % 2 = 1 AND y % 2 = 1 AND x % 2 = 1 AND id > 0
+    UNION ALL SELECT 'label', 2, z // 2, y // 4, x // 4, id FROM blob WHERE z % 2 = 1 AND y % 4 = 3 AND x % 4 = 3 AND id > 0)""")
+def _(t):
+    box, chunk, out = ((0, 0, 0), (7, _height(t), 100)), (4, 32, 64), None
+    for kind, rows, value in (("mean", t.vox, "raw"), ("label", t.blob, "id")):
+        levels = block_sums.pyramid_blocks(B.voxels_to_blocks(rows, *box, chunk, "int32", value=value), box, chunk, [2, (1, 2, 2)], kind)
+        for k, level in enumerate(levels):
+            part = B.blocks_to_voxels(level, "long", skip=0).select(F.lit(kind).alias("kind"), F.lit(k + 1).alias("s"), "z", "y", "x", "v")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("res_05_downscale", "vox", """
     SELECT 'low' AS m, z // 2 AS z, y // 2 AS y, x // 2 AS x, sum(raw) / CAST(4 AS DOUBLE) AS raw FROM vox WHERE z % 2 = 0 GROUP BY 2, 3, 4
     UNION ALL SELECT 'mean', z // 2, y // 2, x // 2, sum(raw) / CAST(8 AS DOUBLE) FROM vox GROUP BY 2, 3, 4

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import blocks as B
-from ..operators import block_components, block_contrast, histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
+from ..operators import block_components, block_contrast, block_sums, histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
 from . import jobs
 from .registry import draw_sql, query
 
@@ -279,6 +279,19 @@ def _(t):
     return _r(histogram.match_histograms(src, tmpl), "mapped").select(*KEY, "mapped")
 
 
+@query("his_06_match_floats", "vox", _sel("""
+    WITH x AS (SELECT z, y, x, raw + y / CAST(7 AS DOUBLE) + x / CAST(11 AS DOUBLE) AS v, prob * 3 - x / CAST(13 AS DOUBLE) AS w, mask, mmask FROM vox),
+    s AS (SELECT v, sum(n) OVER (ORDER BY v) / (sum(n) OVER ()) AS q FROM (SELECT v, count(*) AS n FROM x WHERE mask <> 0 GROUP BY 1)),
+    t AS (SELECT w, sum(n) OVER (ORDER BY w) / (sum(n) OVER ()) AS q FROM (SELECT w, count(*) AS n FROM x WHERE mmask <> 0 GROUP BY 1)),
+    lo AS (SELECT s.v, s.q, t.w AS v0, t.q AS q0 FROM s ASOF LEFT JOIN t ON s.q >= t.q),
+    b AS (SELECT lo.*, t.w AS v1, t.q AS q1 FROM lo ASOF LEFT JOIN t ON lo.q <= t.q)
+    SELECT z, y, x, round(CASE WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL OR q1 = q0 THEN v0 ELSE v0 + (v1 - v0) * (q - q0) / (q1 - q0) END, 6) AS mapped FROM x JOIN b USING (v) WHERE mask <> 0"""))
+def _(t):
+    rows = t.vox.select(*KEY, (F.col("raw") + F.col("y") / 7 + F.col("x") / 11).alias("v"), (F.col("prob") * 3 - F.col("x") / 13).alias("w"), "mask", "mmask")
+    src = rows.filter("mask != 0").select(*KEY, "v", "mask")
+    return _r(histogram.match_histograms(src, rows.select(F.col("w").alias("v"), F.col("mmask").alias("mask"))), "mapped").select(*KEY, "mapped")
+
+
 @query("his_07_value_range", "vox", "SELECT min(raw) AS lo, max(raw) AS hi FROM vox")
 def _(t):
     return histogram.value_range(t.vox, "raw")
@@ -522,6 +535,29 @@ def _(t):
     return _r(sample.masked_ratio(t.boxes.filter(F.col("oy") + F.col("sy") <= top), sample.integral(_dense(t))), "ratio").select("id", "ratio")
 
 
+def _summed(t):
+    box = _box(t)
+    return block_sums.integral_blocks(B.voxels_to_blocks(_dense(t), *box, CHUNK, "uint8", value="mask")), box
+
+
+SUMMED = _sel(f"""WITH a AS (SELECT z, y, x, sum(mask) OVER (PARTITION BY z, y ORDER BY x) AS s FROM {DENSE}),
+    b AS (SELECT z, y, x, sum(s) OVER (PARTITION BY z, x ORDER BY y) AS s FROM a)
+    SELECT z, y, x, CAST(sum(s) OVER (PARTITION BY y, x ORDER BY z) AS BIGINT) AS total FROM b""")
+
+
+@query("smp_04_integral_blocks", "grid vox", SUMMED)
+def _(t):
+    return B.blocks_to_voxels(_summed(t)[0], "long").withColumnRenamed("v", "total")
+
+
+@query("smp_05_masked_ratio_blocks", "boxes vox", """
+    SELECT b.id, round(coalesce(sum(v.mask), 0) / CAST(any_value(b.sz * b.sy * b.sx) AS DOUBLE), 6) AS ratio FROM (SELECT * FROM boxes WHERE oy + sy <= (SELECT max(y) + 1 FROM vox)) b
+    LEFT JOIN vox v ON v.z >= oz AND v.z < oz + sz AND v.y >= oy AND v.y < oy + sy AND v.x >= ox AND v.x < ox + sx GROUP BY b.id""")
+def _(t):
+    table, box = _summed(t)
+    return _r(block_sums.masked_ratio_blocks(t.boxes.filter(F.col("oy") + F.col("sy") <= box[1][1]), table, box, CHUNK), "ratio").select("id", "ratio")
+
+
 RATIO = "(SELECT y * 100 + x AS i, avg(CASE WHEN lab_a > 0 THEN 1 ELSE 0 END) AS ratio FROM vox GROUP BY 1)"
 
 
@@ -701,6 +737,6 @@ def _(t):
 def _(t):
     vox = t.blk.select("cz", "cy", "cx", F.posexplode("data").alias("i", "f"))
     vox = vox.select((F.col("cz") * 4 + F.expr("i DIV 16")).alias("z"), (F.col("cy") * 4 + F.expr("i DIV 4 % 4")).alias("y"), (F.col("cx") * 4 + F.expr("i % 4")).alias("x"), (F.floor(F.col("f").cast("double") * 1000) + 5000).alias("v"))
-    return resample.pyramid_level(vox, 2, "mean")
-
-
+    box = (0, 0, 0), ((t.blk.agg(F.max("cz")).first()[0] + 1) * 4, 40, 40)
+    level = block_sums.pyramid_blocks(B.voxels_to_blocks(vox, *box, (8, 16, 16), "int64"), box, (8, 16, 16), [2], "mean")[0]
+    return B.blocks_to_voxels(level, "long", skip=0)
