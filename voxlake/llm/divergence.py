@@ -163,15 +163,15 @@ def _block_costs(table: pa.Table) -> pa.Table:
 
 
 def kept_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of kept terms (lang, term, lang_n), of their counts (lang, source, term, n), and of groups (lang, source, total, terms)."""
+    """Tables of kept terms (lang, term, lang_n), of their counts (lang, source, term, n), and of groups (lang, source, total, terms, lang_total)."""
     sums, groups = term_counts(docs, text, lang, source)
     kept = sums.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).drop("d")
     kept = materialize(kept, "kept-terms")
     counts = materialize(sums.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "n"), "kept-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     zero = F.lit(0).cast("bigint")
-    full = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("terms", zero).alias("terms"))
+    full = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "terms", "lang_total")])
     full = materialize(full, "group-totals")
     discard(sums, groups)
     return kept, counts, full
@@ -207,8 +207,7 @@ def pair_costs(kept: DataFrame, counts: DataFrame, groups: DataFrame, block: int
 
 def excess_terms(kept: DataFrame, counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of every kept term that a group has and prices above its language."""
-    lang_total = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"))
-    rows = counts.join(kept, ["lang", "term"]).join(groups, ["lang", "source"]).join(lang_total, "lang")
+    rows = counts.join(kept, ["lang", "term"]).join(groups, ["lang", "source"])
     p, q = price(F.col("n"), F.col("total"), F.col("terms")), price(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
     return rows.select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).filter("value > 0")
 
