@@ -84,13 +84,13 @@ def running_sum(parts: DataFrame, value: str, out: str) -> DataFrame:
 def nearest_known(parts: DataFrame, value: Column, back: str, ahead: str) -> DataFrame:
     """Add ``back`` and ``ahead``: the last value that isn't null up to each row of ``ordered_parts``, and the first one from it on."""
     rows = parts.withColumn("__v", value)
-    own = Window.partitionBy("__part").orderBy("__at")
-    up, down = own.rowsBetween(Window.unboundedPreceding, Window.currentRow), own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # both ways from the frame's start: Spark goes through a frame that ends with the partition anew for each row
+    up, down = (Window.partitionBy("__part").orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("__at"), F.desc("__at")))
     known = F.col("__v").isNotNull()
     ends = rows.groupBy("__part").agg(F.max_by("__v", F.when(known, F.col("__at"))).alias("__l"), F.min_by("__v", F.when(known, F.col("__at"))).alias("__f"))
     line = Window.orderBy("__part")
     ends = ends.select(
         "__part", F.last("__l", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__lb"), F.first("__f", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("__fa")
     )
-    found = rows.withColumns({"__b": F.last("__v", True).over(up), "__a": F.first("__v", True).over(down)}).join(F.broadcast(ends), "__part")
+    found = rows.withColumns({"__b": F.last("__v", True).over(up), "__a": F.last("__v", True).over(down)}).join(F.broadcast(ends), "__part")
     return found.withColumns({back: F.coalesce("__b", "__lb"), ahead: F.coalesce("__a", "__fa")}).drop("__v", "__b", "__a", "__lb", "__fa")
