@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
 from ..operators import blocks as B
-from ..operators import block_components, block_contrast, block_sums, histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
+from ..operators import block_components, block_contrast, block_sums, deform, histogram, loss, merge, metrics, neighbourhood, predict, resample, roi, runlog, sample
 from . import jobs
 from .registry import draw_sql, query
 
@@ -595,6 +595,23 @@ def _(t):
     return B.blocks_to_voxels(B.elastic_augment(blocks, 8, 1.0, (0.0, 1.5), 11), "int", skip=0)
 
 
+@query("res_09_elastic_volume")
+def _(t):
+    box = _box(t)
+    how = deform.Deformation((4, 16, 16), (0.5, 2.0, 2.0), (0.0, 1.5), 0.05, 2, 4, 11)
+    return B.blocks_to_voxels(deform.deform_blocks(B.voxels_to_blocks(t.vox, *box, CHUNK, "uint8", value="raw"), box, CHUNK, how), "int", skip=0)
+
+
+@query("res_09_section_shift", "vox grid", _sel(f"""
+    WITH s AS (SELECT z, sum(CASE WHEN {draw_sql(27, "z")} < 0.6 THEN CAST(floor({draw_sql(28, "z")} * 5) AS BIGINT) - 2 ELSE 0 END) OVER (ORDER BY z) AS dy,
+                      sum(CASE WHEN {draw_sql(27, "z")} < 0.6 THEN CAST(floor({draw_sql(29, "z")} * 5) AS BIGINT) - 2 ELSE 0 END) OVER (ORDER BY z) AS dx FROM (SELECT unnest(range(7)) AS z))
+    SELECT g.z, g.y, g.x, v.raw AS v FROM grid g JOIN s ON g.z = s.z JOIN vox v ON v.z = g.z AND v.y = least(greatest(g.y + dy, 0), {HEIGHT} - 1) AND v.x = least(greatest(g.x + dx, 0), 99)"""))
+def _(t):
+    box = _box(t)
+    how = deform.Deformation((32, 32, 32), (0.0, 0.0, 0.0), (0.0, 0.0), 0.6, 2, 4, 7)
+    return B.blocks_to_voxels(deform.deform_blocks(B.voxels_to_blocks(t.vox, *box, CHUNK, "uint8", value="raw"), box, CHUNK, how), "int", skip=0)
+
+
 # prediction ----------------------------------------------------------------------------------------------------------
 
 PRED = f"(SELECT z, y, x, s0 / 100 AS s0, s1 / 100 AS s1 FROM {CONV})"
