@@ -48,3 +48,33 @@ def snapshot(df: DataFrame, every: int, also: Column | None = None) -> DataFrame
 
 def write_snapshot(df: DataFrame, path: str, every: int, also: Column | None = None) -> None:
     snapshot(df, every, also).write.mode("append").partitionBy("iteration").parquet(path)
+
+
+def snapshot_arrays(batches: DataFrame, losses: DataFrame, path: str, every: int, also: Column | None = None, value_range: bool = True) -> DataFrame:
+    """Write the batches to keep as a table by iteration, with what a viewer needs beside the blocks, and return it reread.
+
+    ``batches``: iteration, array, blocks, offset_nm and resolution (arrays of three numbers); ``losses``: iteration, loss. Kept are every n-th iteration
+    and those where ``also``, a condition on the losses' columns, holds. Every row gets the loss and, with ``value_range``, the smallest and largest value of
+    its array in that iteration. Ranges are formed a block at a time, so blocks meet no other rows.
+    """
+    import pandas as pd
+
+    from . import blocks as B
+
+    kept = snapshot(losses, every, also).select("iteration", F.col("loss").cast("double").alias("loss"))
+    rows = batches.select("iteration", "array", *B.COLUMNS, "offset_nm", "resolution").join(F.broadcast(kept) if kept.count() < 1 << 20 else kept, "iteration")
+    low, high = (F.lit(None).cast("double").alias(c) for c in ("lo", "hi"))
+    if value_range:
+
+        def ends(parts):
+            for part in parts:
+                yield pd.DataFrame([(r.iteration, r.array, float(a.min()), float(a.max())) for r in part.itertuples() if (a := B.array_of(r)).size], columns=["iteration", "array", "lo", "hi"])
+
+        kind = dict(rows.dtypes)["iteration"]
+        ranges = rows.select("iteration", "array", *B.COLUMNS).mapInPandas(ends, f"iteration {kind}, array string, lo double, hi double")
+        ranges = ranges.groupBy("iteration", "array").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        rows = rows.join(F.broadcast(ranges) if ranges.count() < 1 << 20 else ranges, ["iteration", "array"])
+    else:
+        rows = rows.withColumns({"lo": low, "hi": high})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("iteration").parquet(path)
+    return rows.sparkSession.read.parquet(path)

@@ -740,6 +740,23 @@ def _(t):
     return runlog.snapshot(rows, 10, F.col("jump")).select("run_id", F.col("iteration").cast("long").alias("iteration"), "value")
 
 
+@query("snk_05_snapshot_arrays", "vox grid", """
+    WITH l AS (SELECT z // 2 AS iteration, avg(prob) AS loss FROM vox GROUP BY 1)
+    SELECT g.z // 2 AS iteration, round(l.loss, 6) AS loss, CAST(min(coalesce(v.raw, 0)) AS DOUBLE) AS lo, CAST(max(coalesce(v.raw, 0)) AS DOUBLE) AS hi, 8.0 AS x_nm, 4.0 AS resolution, count(*) AS n_voxels
+    FROM grid g LEFT JOIN vox v ON g.z = v.z AND g.y = v.y AND g.x = v.x JOIN l ON l.iteration = g.z // 2
+    WHERE g.z // 2 % 3 = 0 OR l.loss > (SELECT avg(loss) FROM l) GROUP BY 1, 2""".replace("WITH l AS", "SELECT * FROM (WITH l AS", 1) + ")")
+def _(t):
+    box = _box(t)
+    dense = t.grid.join(t.vox.select(*KEY, "raw"), KEY, "left").select(*KEY, F.coalesce("raw", F.lit(0)).alias("raw"))
+    blocks = B.voxels_to_blocks(dense, *box, (2, 64, 64), "int32", value="raw").withColumns({
+        "iteration": F.col("cz"), "array": F.lit("raw"), "offset_nm": F.array(F.lit(0.0), F.lit(0.0), F.lit(8.0)), "resolution": F.array(*[F.lit(4.0)] * 3)})
+    losses = t.vox.groupBy(F.expr("z DIV 2").alias("iteration")).agg(F.avg("prob").alias("loss"))
+    mean = losses.agg(F.avg("loss")).first()[0]
+    kept = runlog.snapshot_arrays(blocks, losses, scratch_path(t.spark, "snapshots"), 3, F.col("loss") > mean)
+    whole = kept.groupBy(F.col("iteration").cast("long").alias("iteration"), F.round("loss", 6).alias("loss"), "lo", "hi", F.col("offset_nm")[2].alias("x_nm"), F.col("resolution")[0].alias("resolution"))
+    return whole.agg(F.sum(F.col("sz") * F.col("sy") * F.col("sx")).alias("n_voxels"))
+
+
 @query("blk_voxels_round_trip", "blk", """SELECT cz * 4 + i // 16 AS z, cy * 4 + i // 4 % 4 AS y, cx * 4 + i % 4 AS x, round(v, 6) AS v
     FROM (SELECT cz, cy, cx, unnest(range(64)) AS i, CAST(unnest(data) AS DOUBLE) AS v FROM blk)""")
 def _(t):
