@@ -144,6 +144,12 @@ def dilate_kernel(ball: list[tuple[int, int, int]], context: Vec) -> Callable[[n
     return lambda a: np.logical_or.reduce([shifted(a != 0, context, o) for o in ball]).astype(np.uint8)
 
 
+def boundary_kernel(ball: list[tuple[int, int, int]], context: Vec) -> Callable[[np.ndarray], np.ndarray]:
+    """What a dilation adds."""
+    wide = dilate_kernel(ball, context)
+    return lambda a: (wide(a).astype(bool) & (shifted(a, context, (0, 0, 0)) == 0)).astype(np.uint8)
+
+
 def erode_kernel(ball: list[tuple[int, int, int]], context: Vec) -> Callable[[np.ndarray], np.ndarray]:
     return lambda a: np.logical_and.reduce([shifted(a != 0, context, o) for o in ball]).astype(np.uint8)
 

@@ -67,7 +67,10 @@ def _(t):
     return neighbourhood.dilate_ball(_fg(t), 2, _box(t))
 
 
-@query("nbh_04_boundary", "blob", _sel(f"WITH {FG} SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM fg, {ROUND2}) WHERE {IN_BOX} EXCEPT SELECT * FROM fg"))
+BOUNDARY = _sel(f"WITH {FG} SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM fg, {ROUND2}) WHERE {IN_BOX} EXCEPT SELECT * FROM fg")
+
+
+@query("nbh_04_boundary", "blob", BOUNDARY)
 def _(t):
     return neighbourhood.boundary(_fg(t), 2, _box(t))
 
@@ -158,6 +161,11 @@ def _(t):
     return _swept_voxels(t, 2, B.dilate_kernel(neighbourhood.round_ball(2), (2,) * 3)).select(*KEY)
 
 
+@query("nbh_04_boundary_blocks", "blob", BOUNDARY)
+def _(t):
+    return _swept_voxels(t, 2, B.boundary_kernel(neighbourhood.round_ball(2), (2,) * 3)).select(*KEY)
+
+
 @query("nbh_06_dilate_instances_blocks", "blob", INSTANCES)
 def _(t):
     return _swept_voxels(t, 2, B.instances_kernel(neighbourhood.cross_ball(2), (2,) * 3), dtype="int32").withColumnRenamed("v", "id")

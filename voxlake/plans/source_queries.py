@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
+from ..functions.scratch import scratch_path, uri
 from ..operators import blocks as B
-from ..sources import arrays, chunks, configs, sections
+from ..sources import arrays, chunk_source, chunks, configs, sections
 from .registry import query
 
 HEIGHT = "(SELECT max(y) + 1 FROM vox)"
@@ -54,6 +54,17 @@ def _(t):
     return B.blocks_to_voxels(_read_back(t), "int", skip=0)
 
 
+@query("src_02_chunk_source", "vox", f"SELECT z, y, x, raw AS v FROM vox WHERE z < 4 AND y >= 64 * ({HEIGHT} // 128)")
+def _(t):
+    chunk_source.register(t.spark)
+    box = _box(t)
+    text = lambda v: ",".join(map(str, v))
+    where = {"path": uri(t.spark, scratch_path(t.spark, "cell")) + ".zarr", "array": "volumes/raw"}
+    _raw_blocks(t).write.format("chunks").options(**where, shape=text(box[1]), chunk=text(CHUNK), dtype="int32", offset="0,8,16", resolution="4,4,4").mode("append").save()
+    got = t.spark.read.format("chunks").options(**where).load().filter((F.col("cz") < 1) & (F.col("cy") >= box[1][1] // 128))
+    return B.blocks_to_voxels(got, "int", skip=0)
+
+
 @query("snk_01_block_sink", "vox", f"SELECT z, y, x, raw AS v FROM vox WHERE z >= 1 AND z < 6 AND y >= 2 AND y < {HEIGHT} - 2 AND x >= 3 AND x < 97")
 def _(t):
     path = scratch_path(t.spark, "arrays")
