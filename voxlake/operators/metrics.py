@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranks import ordered_parts
+
 COUNTS = ("tp", "fp", "fn", "tn")
 
 
@@ -81,18 +83,18 @@ def precision_recall_at(df: DataFrame, target: str, prob: str, t: float) -> Data
 def pr_curve(df: DataFrame, target: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, threshold, tp, fp, precision, recall) at every distinct score and at a leading threshold 0.
 
-    Counts per score are aggregated first; the running sums go over distinct scores. The scores are
-    cut into RANGES ranges whose totals are summed apart, so no task holds all of them.
+    Counts per score are aggregated first; the running sums go over distinct scores, in ranges of as many of them each, with a row
+    for each range carried to those after it. So scores may be anywhere, and crowd. A null score is reached by the threshold 0 alone.
     """
     pos = (F.col(target) != 0).cast("long")
     score = df.groupBy(*by, F.col(prob).alias("s")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("n"))
-    score = score.withColumn("r", F.floor(F.col("s") * RANGES).cast("long"))
-    ranges = score.groupBy(*by, "r").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    above = Window.partitionBy(*by).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    score = ordered_parts(score, [*map(F.col, by), F.desc("s")], "pr-curve")
+    ranges = score.groupBy(*by, "__part").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    above = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    ranges = ranges.select(*by, "r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("pos"), F.sum("rn").over(whole).alias("neg"))
-    inside = Window.partitionBy(*by, "r").orderBy(F.desc("s"))
-    rows = score.withColumns({"p": F.sum("p").over(inside), "n": F.sum("n").over(inside)}).join(ranges, [*by, "r"])
+    ranges = ranges.select(*by, "__part", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("pos"), F.sum("rn").over(whole).alias("neg"))
+    inside = Window.partitionBy(*by, "__part").orderBy("__at")
+    rows = _meet(score.withColumns({"p": F.sum("p").over(inside), "n": F.sum("n").over(inside)}), ranges, by)
     rows = rows.select(*by, F.col("s").alias("threshold"), (F.col("p") + F.col("ap")).alias("tp"), (F.col("n") + F.col("an")).alias("fp"), "pos")
     first = ranges.select(*by, F.lit(0.0).alias("threshold"), F.col("pos").alias("tp"), F.col("neg").alias("fp"), "pos").distinct()
     rows = rows.filter("threshold != 0").unionByName(first)
@@ -100,19 +102,24 @@ def pr_curve(df: DataFrame, target: str, prob: str, by: Sequence[str] = ()) -> D
     return rows.select(*by, "threshold", "tp", "fp", precision_of().alias("precision"), recall.alias("recall"))
 
 
-RANGES = 256
+def _meet(rows: DataFrame, ranges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with what ``ranges`` holds for their (by, __part); groups may be null."""
+    met = ranges.withColumnsRenamed({c: f"__m_{c}" for c in (*by, "__part")})
+    same = F.lit(True)
+    for c in (*by, "__part"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__m_{c}"))
+    return rows.join(met, same).drop(*[f"__m_{c}" for c in (*by, "__part")])
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum of (R_n - R_n-1) P_n over falling thresholds, in which the recall never falls.
 
-    The thresholds are cut into RANGES ranges; the recall before a range's first threshold is the largest of the ranges above.
+    Thresholds lie in ranges of as many of them each; the recall before a range's first threshold is the largest of the ranges above.
     """
-    rows = curve.withColumn("__r", F.floor(F.col("threshold") * RANGES).cast("long"))
-    above = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.groupBy(*by, "__r").agg(F.max("recall").alias("__m")).withColumn("__m", F.coalesce(F.max("__m").over(above), F.lit(0.0)))
-    inside = Window.partitionBy(*by, "__r").orderBy(F.desc("threshold"))
-    rows = rows.withColumn("__l", F.lag("recall").over(inside)).join(start, [*by, "__r"])
+    rows = ordered_parts(curve.select(*by, "threshold", "precision", "recall"), [*map(F.col, by), F.desc("threshold")], "average-precision")
+    above = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.groupBy(*by, "__part").agg(F.max("recall").alias("__m")).withColumn("__m", F.coalesce(F.max("__m").over(above), F.lit(0.0)))
+    rows = _meet(rows.withColumn("__l", F.lag("recall").over(Window.partitionBy(*by, "__part").orderBy("__at"))), start, by)
     rows = rows.withColumn("gain", F.col("recall") - F.coalesce("__l", "__m"))
     return rows.groupBy(*by).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
 

@@ -130,17 +130,30 @@ def tile_boxes(boxes: DataFrame, block: Vec) -> DataFrame:
     return out
 
 
-def boxes_to_mask(grid: DataFrame, boxes: DataFrame, cell: int = 32, value: int = 255) -> DataFrame:
-    """mask = ``value`` inside any box, else 0. Boxes are laid out on cells of the (y, x) plane, so voxels meet only boxes of their cell."""
-    spots = boxes.select(*[f"o{a}" for a in AXES], *[f"s{a}" for a in AXES])
-    for a in ("y", "x"):
-        spots = spots.withColumn(f"c{a}", F.explode(F.sequence(_div(F.col(f"o{a}"), cell), _div(F.col(f"o{a}") + F.col(f"s{a}") - 1, cell))))
-    voxels = grid.withColumns({"vy": _div(F.col("y"), cell), "vx": _div(F.col("x"), cell)})
-    inside = (F.col("vy") == F.col("cy")) & (F.col("vx") == F.col("cx"))
+CUBE = 4
+
+
+def boxes_to_mask(grid: DataFrame, boxes: DataFrame, value: int = 255) -> DataFrame:
+    """mask = ``value`` inside any box, else 0, for each voxel of ``grid``.
+
+    A box gives each cube of 4 x 4 x 4 voxels it meets a number with a bit for each voxel; the bits of a cube's boxes are put together
+    before they shuffle, and a voxel looks its bit up. However many boxes lie on one place, a cube has one row. Boxes without volume count for nothing.
+    """
+    spots = boxes.filter(" AND ".join(f"s{a} > 0" for a in AXES)).select(*[f"o{a}" for a in AXES], *[f"s{a}" for a in AXES])
     for a in AXES:
-        inside = inside & (F.col(a) >= F.col(f"o{a}")) & (F.col(a) < F.col(f"o{a}") + F.col(f"s{a}"))
-    met = voxels.join(spots, inside, "left").select(*[voxels[a] for a in AXES], F.col("cy").isNotNull().cast("int").alias("__in"))
-    return met.groupBy(*AXES).agg((F.max("__in") * value).alias("mask"))
+        spots = spots.withColumn(f"c{a}", F.explode(F.sequence(_div(F.col(f"o{a}"), CUBE), _div(F.col(f"o{a}") + F.col(f"s{a}") - 1, CUBE))))
+    met = {a: [(F.col(f"c{a}") * CUBE + k >= F.col(f"o{a}")) & (F.col(f"c{a}") * CUBE + k < F.col(f"o{a}") + F.col(f"s{a}")) for k in range(CUBE)] for a in AXES}
+    chosen = lambda a, step: sum(F.when(c, F.lit(1 << (k * step))).otherwise(0) for k, c in enumerate(met[a]))
+    spots = spots.withColumn("__plane", (chosen("x", 1) * chosen("y", CUBE)).cast("long"))
+    bits = F.lit(0).cast("long")
+    for k, c in enumerate(met["z"]):
+        bits = bits.bitwiseOR(F.when(c, F.shiftleft("__plane", k * CUBE * CUBE)).otherwise(F.lit(0).cast("long")))
+    cell = [f"c{a}" for a in AXES]
+    cubes = spots.select(*cell, bits.alias("__b")).groupBy(*cell).agg(F.bit_or("__b").alias("__b"))
+    rows = grid.select(*AXES, *[_div(F.col(a), CUBE).alias(f"c{a}") for a in AXES]).join(cubes, cell, "left")
+    z, y, x = (F.col(a) - F.col(f"c{a}") * CUBE for a in AXES)
+    inside = F.coalesce(F.bit_get("__b", ((z * CUBE + y) * CUBE + x).cast("int")), F.lit(0))
+    return rows.select(*AXES, (inside * value).cast("int").alias("mask"))
 
 
 def import_offsets(spec: DataFrame, raw_y: int, resolution: Vec, shift: int | Column = 0) -> DataFrame:

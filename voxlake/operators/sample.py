@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import with_rank
+from .box_sums import box_sums, cube_tree, sides_for
 from .project import draw, draw_below
 from .roi import AXES, Vec
 
@@ -102,10 +103,10 @@ def reject(df: DataFrame, block: Sequence[str], mask: str, min_masked: float, p:
     return kept if points is None else kept.join(points.select(*block).distinct(), list(block), "left_semi")
 
 
-def point_locations(points: DataFrame, shape: Vec, n: int, seed: int, cell: int = 32) -> DataFrame:
+def point_locations(points: DataFrame, shape: Vec, n: int, seed: int) -> DataFrame:
     """(i, z, y, x, n_points): boxes of ``shape`` drawn to contain a drawn point, accepted with chance 1 / points inside.
 
-    Points (id, z, y, x). A draw picks a point by its rank; boxes meet points by cells of the (y, x) plane.
+    Points (id, z, y, x). A draw picks a point by its rank; points inside are counted by ``box_sums``.
     """
     ranked = with_rank(points.select("id", *KEY), "id")
     draws = points.sparkSession.range(n).select(F.col("id").alias("i"))
@@ -113,30 +114,26 @@ def point_locations(points: DataFrame, shape: Vec, n: int, seed: int, cell: int
     got = picks.join(ranked, "rank")
     at = {a: (F.col(a) - F.floor(draw(seed + 1 + k, "i") * s)).cast("long") for k, (a, s) in enumerate(zip(AXES, shape, strict=True))}
     boxes = got.select("i", *[v.alias(f"o{a}") for a, v in at.items()])
-    return count_points(boxes, points, shape, cell).filter(draw(seed + 9, "i") * F.col("n_points") < 1).select("i", *[F.col(f"o{a}").alias(a) for a in AXES], "n_points")
+    return count_points(boxes, points, shape).filter(draw(seed + 9, "i") * F.col("n_points") < 1).select("i", *[F.col(f"o{a}").alias(a) for a in AXES], "n_points")
 
 
-def count_points(boxes: DataFrame, points: DataFrame, shape: Vec, cell: int = 32) -> DataFrame:
+def count_points(boxes: DataFrame, points: DataFrame, shape: Vec) -> DataFrame:
     """Add n_points of each box (i, o*) of one shape."""
-    floor = lambda c, b: F.floor(c / b).cast("long")
-    spots = boxes
-    for a, s in (("y", shape[1]), ("x", shape[2])):
-        spots = spots.withColumn(f"c{a}", F.explode(F.sequence(floor(F.col(f"o{a}"), cell), floor(F.col(f"o{a}") + s - 1, cell))))
-    pts = points.select(*[F.col(a).alias(f"p{a}") for a in AXES], floor(F.col("y"), cell).alias("cy"), floor(F.col("x"), cell).alias("cx"))
-    inside = F.lit(True)
-    for a, s in zip(AXES, shape, strict=True):
-        inside = inside & (F.col(f"p{a}") >= F.col(f"o{a}")) & (F.col(f"p{a}") < F.col(f"o{a}") + s)
-    hits = spots.join(pts, ["cy", "cx"]).filter(inside).groupBy("i").agg(F.count(F.lit(1)).alias("n_points"))
-    return boxes.join(hits, "i", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    tree = cube_tree(points.select(*KEY, F.lit(1).cast("long").alias("n_points")), ["n_points"], sides_for(shape))
+    return box_sums(sized(boxes, shape), tree, ["n_points"]).drop(*[f"s{a}" for a in AXES])
+
 
+def sized(boxes: DataFrame, shape: Vec) -> DataFrame:
+    return boxes.withColumns({f"s{a}": F.lit(s).cast("long") for a, s in zip(AXES, shape, strict=True)})
 
-def cut_blocks(voxels: DataFrame, locations: DataFrame, shape: Vec, cell: int = 32) -> DataFrame:
-    """Voxels of every sampled box (i, z, y, x = corner), with coordinates from the corner; a voxel meets boxes by (y, x) cells."""
-    floor = lambda c, b: F.floor(c / b).cast("long")
+
+def cut_blocks(voxels: DataFrame, locations: DataFrame, shape: Vec, cell: int = 16) -> DataFrame:
+    """Voxels of every sampled box (i, z, y, x = corner), with coordinates from the corner; a voxel meets boxes by cubes of ``cell``."""
+    floor = lambda c: F.floor(c / cell).cast("long")
     spots = locations.select("i", *[F.col(a).alias(f"o{a}") for a in AXES])
-    for a, s in (("y", shape[1]), ("x", shape[2])):
-        spots = spots.withColumn(f"c{a}", F.explode(F.sequence(floor(F.col(f"o{a}"), cell), floor(F.col(f"o{a}") + s - 1, cell))))
-    rows = voxels.withColumns({"cy": floor(F.col("y"), cell), "cx": floor(F.col("x"), cell)}).join(spots, ["cy", "cx"])
+    for a, s in zip(AXES, shape, strict=True):
+        spots = spots.withColumn(f"c{a}", F.explode(F.sequence(floor(F.col(f"o{a}")), floor(F.col(f"o{a}") + s - 1))))
+    rows = voxels.withColumns({f"c{a}": floor(F.col(a)) for a in AXES}).join(spots, [f"c{a}" for a in AXES])
     for a, s in zip(AXES, shape, strict=True):
         rows = rows.filter((F.col(a) >= F.col(f"o{a}")) & (F.col(a) < F.col(f"o{a}") + s))
-    return rows.withColumns({a: F.col(a) - F.col(f"o{a}") for a in AXES}).drop("cy", "cx")
+    return rows.withColumns({a: F.col(a) - F.col(f"o{a}") for a in AXES}).drop(*[f"c{a}" for a in AXES])

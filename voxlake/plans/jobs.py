@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import loss, merge, metrics, project, resample, roi, sample
+from ..functions.scratch import discard, materialize
+from ..operators import box_sums, loss, merge, metrics, project, resample, roi, sample
 from ..operators.roi import Vec
 
 
@@ -39,12 +40,15 @@ def validate_predictions(df: DataFrame, by: Sequence[str], scores: Sequence[str]
 MOST = 4 * 8**4
 
 
-def _accepted(cut: DataFrame, volume: int, n: int, seed: int, min_masked: float, p_reject: float, reject_below: float, p_keep: float) -> DataFrame:
-    """(i) of the first ``n`` accepted candidates at most."""
-    share = cut.groupBy("i").agg((F.sum((F.col("label") != 0).cast("int")) / volume).alias("ratio"), (F.sum((F.col("mask") != 0).cast("int")) / volume).alias("masked"))
+def _accepted(places: DataFrame, tree: dict[int, DataFrame], shape: Vec, n: int, seed: int, min_masked: float, p_reject: float, reject_below: float, p_keep: float) -> DataFrame:
+    """(i, o*) of the first ``n`` accepted candidates at most; a candidate without a voxel is none."""
+    volume = float(shape[0] * shape[1] * shape[2])
+    boxes = sample.sized(places.select("i", *[F.col(a).alias(f"o{a}") for a in roi.AXES]), shape)
+    found = box_sums.box_sums(boxes, tree, ["label", "mask", "n"]).filter("n > 0")
+    share = found.withColumns({"ratio": F.col("label") / volume, "masked": F.col("mask") / volume})
     kept = sample.accept_location(share, min_masked, p_reject, seed + 11)
     kept = kept.filter((F.col("masked") > reject_below) | (project.draw(seed + 12, "i") > 1 - p_keep))
-    return sample.first_accepted(kept, n).select("i")
+    return sample.first_accepted(kept, n).select("i", *[f"o{a}" for a in roi.AXES])
 
 
 def _deformed(rows: DataFrame, shape: Vec, elastic: tuple[int, float, tuple[float, float]], seed: int) -> DataFrame:
@@ -88,8 +92,8 @@ def build_training_blocks(
 ) -> DataFrame:
     """(i, oz, oy, ox, z, y, x, raw, label, mask, scale) of ``n`` drawn blocks; ValueError if MOST * n candidates don't give them.
 
-    Locations are drawn, in rounds until there are enough, and accepted by their share of labelled voxels, blocks are cut out by a join on
-    grid cells, padded, kept by their masked share, mirrored and transposed, their intensity is varied,
+    Locations are drawn, in rounds until there are enough, and accepted by their shares of labelled and masked voxels, which come from a tree of
+    cubes that is built once (``box_sums``); only accepted blocks are cut out, by a join on grid cells, padded, mirrored and transposed, their intensity is varied,
     and every voxel gets its class's weight. ``voxels``: z, y, x, raw (0..1), label, mask. With ``factor`` every
     factor-th voxel is taken first; with ``elastic`` (spacing, sigma, rotation) blocks are deformed, then mirrored and transposed again.
     """
@@ -99,19 +103,22 @@ def build_training_blocks(
         voxels = resample.downsample(voxels, steps, box[0])
         box = (0, 0, 0), tuple(-(-s // f) for s, f in zip(box[1], steps, strict=True))
     spans = ", ".join(f"CAST({o} AS BIGINT) AS lo_{a}, CAST({o + s - k + 1} AS BIGINT) AS hi_{a}" for a, o, s, k in zip(roi.AXES, *box, shape, strict=True))
-    volume = shape[0] * shape[1] * shape[2]
+    weights = {c: (F.col(c) != 0).cast("long") for c in ("label", "mask")}
+    tree = box_sums.cube_tree(voxels.select(*roi.AXES, *[w.alias(c) for c, w in weights.items()], F.lit(1).cast("long").alias("n")), ["label", "mask", "n"], box_sums.sides_for(shape))
     tried = 4
     while True:  # a candidate depends on its number only, so a larger round begins with the smaller one
         places = sample.random_locations(spark.sql(f"SELECT {spans}"), tried * n, (1, 1, 1), seed)
-        cut = sample.cut_blocks(voxels, places, shape)
-        kept = _accepted(cut, volume, n, seed, min_masked, p_reject, reject_below, p_keep)
+        kept = materialize(_accepted(places, tree, shape, n, seed, min_masked, p_reject, reject_below, p_keep), "blocks-accepted")
         found = kept.count()
         if found >= n:
             break
+        discard(kept)
         if tried >= MOST:
             raise ValueError(f"{found} of {n} blocks after {tried * n} candidates")
         tried *= 8
-    rows = places.join(kept, "i").select("i", *[F.col(a).alias(f"o{a}") for a in roi.AXES])
+    discard(tree[min(tree)])
+    cut = sample.cut_blocks(voxels, kept.select("i", *[F.col(f"o{a}").alias(a) for a in roi.AXES]), shape)
+    rows = kept
     for a, s in zip(roi.AXES, shape, strict=True):
         rows = rows.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s - 1).cast("long"))))
     have = cut.select("i", *roi.AXES, "raw", "label", "mask")
