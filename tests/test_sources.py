@@ -113,6 +113,25 @@ def test_sections_to_blocks_and_back(spark, tmp_path):
         sections.scan_sections(spark, f"file://{tmp_path}")
 
 
+def test_section_files_are_written_strip_by_strip(spark, tmp_path):
+    a = np.random.default_rng(2).integers(0, 255, (5, 23, 17)).astype(np.uint8)
+    a[2:4] = 0  # a layer without a chunk
+    a[4, 4:20] = 0
+    blocks = as_blocks(spark, a, (2, 4, 5)).filter("cz != 1 AND NOT (cz = 2 AND cy BETWEEN 1 AND 4)")
+    folder = f"file://{tmp_path}/sections"
+    assert sections.export_sections(blocks, folder) == 5
+    found = {r.number: r for r in sections.scan_sections(spark, folder).collect()}
+    assert sorted(found) == [0, 1, 2, 3, 4]
+    for z, r in found.items():
+        assert r.nChannels == 1 and (np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) == a[z]).all()
+    strips, shape = sections.blocks_to_strips(blocks)
+    assert shape == (5, 23, 17) and max(r.height for r in strips.collect()) == 4
+    assert not [p for p in (tmp_path / "sections").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    sections.spoil(spark.createDataFrame([("section_0003.tif",)], "name string"), folder)
+    assert [r.path.rsplit("/", 1)[1] for r in sections.verify_sections(sections.scan_sections(spark, folder)).collect()] == ["section_0003.tif"]
+    assert sections.export_sections(blocks.filter("false"), f"file://{tmp_path}/none") == 0 and sections.blocks_to_sections(blocks.filter("false")).count() == 0
+
+
 def test_import_volumes(spark):
     raw = spark.createDataFrame([(z, y, 0, 256 * (z + y)) for z in range(2) for y in range(4)], "z long, y long, x long, v long")
     got = chunks.import_volumes({"a/raw": raw, "b/groundtruth/c1": raw}, [("a/raw", "volumes/raw"), ("b/groundtruth/c1", "volumes/gt/c1")])

@@ -117,10 +117,22 @@ def _(t):
     return rows.select("nickname", F.col("offset")[1].alias("offset_y"), F.col("shape")[2].alias("shape_x"), F.map_values("labels")[0].alias("class_id"), F.get("metric_masks", F.lit(0)).alias("metric_mask"))
 
 
-@query("src_07_verify_sections", "sections", "SELECT name AS path FROM sections WHERE CAST(regexp_extract(name, '_(\\d+)', 1) AS BIGINT) % 7 = 0")
+@query("src_07_verify_sections", "vox", f"SELECT 'section_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '.tif' AS name FROM (SELECT unnest(range({HEIGHT})) AS n) WHERE n % 7 = 3")
 def _(t):
-    broken = F.regexp_extract("name", r"_(\d+)", 1).cast("long") % 7 == 0  # as the image source reports a file that it can't read
-    return sections.verify_sections(t.sections.select(F.col("name").alias("path"), F.when(broken, -1).otherwise(64).alias("height")))
+    """The volume cut along y into image files, of which every seventh is then spoilt; those that can't be read are named."""
+    depth, height, width = _box(t)[1]
+    turned = t.vox.select(F.col("y").alias("z"), F.col("z").alias("y"), "x", "raw")
+    folder = uri(t.spark, scratch_path(t.spark, "sections"))
+    n = sections.export_sections(B.voxels_to_blocks(turned, (0, 0, 0), (height, depth, width), (64, 4, 64), "uint8", value="raw"), folder)
+    sections.spoil(t.spark.range(n).filter("id % 7 = 3").select(F.format_string("section_%04d.tif", "id").alias("name")), folder)
+    return sections.verify_sections(sections.scan_sections(t.spark, folder)).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+
+
+@query("snk_04_section_files", "vox", "SELECT z, y, x, raw AS v FROM vox WHERE raw != 0")
+def _(t):
+    folder = uri(t.spark, scratch_path(t.spark, "sections"))
+    sections.export_sections(_raw_blocks(t), folder)
+    return B.blocks_to_voxels(sections.sections_to_blocks(sections.scan_sections(t.spark, folder), *_box(t), CHUNK), "int", skip=0)
 
 
 PLANES = "SELECT z, y, x, CAST(255 - raw AS INT) AS v FROM vox"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import uri
 from ..operators import blocks as B
 from ..operators.roi import Vec
+from .chunks import _store
 
 NUMBERED = r".*_(\d+).*\.tif$"
 
@@ -80,28 +84,122 @@ def sections_to_blocks(sections: DataFrame, offset: Vec, shape: Vec, chunk: Vec,
     return cut.groupBy(*B.CHUNK).applyInPandas(stack, B.SCHEMA)
 
 
-def blocks_to_sections(blocks: DataFrame) -> DataFrame:
-    """(name, z, height, width, data): one plane a row, z from the array's first. A group is one plane."""
+STRIP = "z long, y long, height long, width long, data binary"
+
+
+def blocks_to_strips(blocks: DataFrame) -> tuple[DataFrame, Vec]:
+    """(strips, shape): strips (z, y, height, width, data), each a plane's rows from one layer of chunks as uint8, places from the array's first.
+
+    A group is one strip, so its size is bounded by a chunk's height times the width of a plane. Absent chunks are 0; strips that meet no chunk are absent.
+    """
     ends = blocks.agg(*[F.min(f"o{a}").alias(f"o{a}") for a in "zyx"], *[F.max(F.col(f"o{a}") + F.col(f"s{a}")).alias(f"e{a}") for a in "zyx"]).first()
-    lo, size = [ends[f"o{a}"] for a in "zyx"], [ends[f"e{a}"] - ends[f"o{a}"] for a in "zyx"]
+    lo = [ends[f"o{a}"] for a in "zyx"]
+    if lo[0] is None:
+        return blocks.sparkSession.createDataFrame([], STRIP), (0, 0, 0)
+    size = tuple(ends[f"e{a}"] - o for a, o in zip("zyx", lo, strict=True))
 
     def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples():
                 a = B.array_of(r)
-                rows += [(r.oz + k - lo[0], r.oy - lo[1], r.ox - lo[2], *a.shape[1:], r.dtype, B.bytes_of(a[k])) for k in range(a.shape[0])]
-            yield pd.DataFrame(rows, columns=["z", "y", "x", "h", "w", "dtype", "data"])
+                rows += [(r.oz + k - lo[0], r.oy - lo[1], r.ox - lo[2], *a.shape[1:], B.bytes_of(a[k].astype(np.uint8))) for k in range(a.shape[0])]
+            yield pd.DataFrame(rows, columns=["z", "y", "x", "h", "w", "data"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((int(pdf["h"].max()), size[2]), np.uint8)
+        for r in pdf.itertuples():
+            a[: r.h, r.x : r.x + r.w] = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)
+        return pd.DataFrame([(int(pdf["z"].iloc[0]), int(pdf["y"].iloc[0]), *a.shape, B.bytes_of(a))], columns=["z", "y", "height", "width", "data"])
+
+    cut = blocks.select(B.COLUMNS).mapInPandas(planes, "z long, y long, x long, h long, w long, data binary")
+    return cut.groupBy("z", "y").applyInPandas(join, STRIP), size
+
+
+def blocks_to_sections(blocks: DataFrame) -> DataFrame:
+    """(name, z, height, width, data): one plane a row, z from the array's first. For planes that fit a row; ``export_sections`` writes any."""
+    strips, (_, height, width) = blocks_to_strips(blocks)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(size[1:], pdf["dtype"].iloc[0])
+        a = np.zeros((height, width), np.uint8)
         for r in pdf.itertuples():
-            a[r.y : r.y + r.h, r.x : r.x + r.w] = np.frombuffer(r.data, r.dtype).reshape(r.h, r.w)
+            a[r.y : r.y + r.height] = np.frombuffer(r.data, np.uint8).reshape(r.height, width)
         z = int(pdf["z"].iloc[0])
-        return pd.DataFrame([(f"section_{z:04d}", z, size[1], size[2], B.bytes_of(a.astype(np.uint8)))], columns=["name", "z", "height", "width", "data"])
+        return pd.DataFrame([(f"section_{z:04d}", z, height, width, B.bytes_of(a))], columns=["name", "z", "height", "width", "data"])
 
-    cut = blocks.select(B.COLUMNS).mapInPandas(planes, "z long, y long, x long, h long, w long, dtype string, data binary")
-    return cut.groupBy("z").applyInPandas(join, "name string, z long, height long, width long, data binary")
+    return strips.groupBy("z").applyInPandas(join, "name string, z long, height long, width long, data binary")
+
+
+def export_sections(blocks: DataFrame, folder: str) -> int:
+    """Write section_<z>.tif for every z of the array's extent, 8-bit grey, z from the array's first, and return their number.
+
+    A file's task takes the plane's strips in order and holds one at a time, however large the plane (a plane of 4 GB is an error, as
+    the format counts in 32 bits). A file is written under another name and renamed, so a task that is run again leaves no half of one. An array without a block gives no file.
+    """
+    strips, (depth, height, width) = blocks_to_strips(blocks)
+    if not depth:
+        return 0
+    body = height * width + height * width % 2
+    if 8 + body + 4096 >= 1 << 32:
+        raise ValueError(f"a plane of {height} x {width} is too large for one image")
+    spark = blocks.sparkSession
+    root = uri(spark, folder)
+    store, top = _store(root)
+    store.create_dir(top, recursive=True)
+
+    def finish(own, f, name: str, other: str, at: int) -> None:
+        _zeros(f, body - at)  # rows below the last chunk, and to an even place
+        f.write(_directory(height, width))
+        f.close()
+        own.move(other, name)
+
+    def put(rows) -> None:
+        own, _ = _store(root)
+        z = f = None
+        for row in rows:  # by z, then y; each z begins with a row without data
+            if row.z != z:
+                if f is not None:
+                    finish(own, f, name, other, at)
+                z, at, name, other = row.z, 0, f"{top}/section_{row.z:04d}.tif", f"{top}/.{uuid.uuid4().hex}"
+                f = own.open_output_stream(other)
+                f.write(struct.pack("<2sHI", b"II", 42, 8 + body))
+            if row.data is not None:
+                _zeros(f, row.y * width - at)
+                f.write(row.data)
+                at = (row.y + row.height) * width
+        if f is not None:
+            finish(own, f, name, other, at)
+
+    first = spark.range(depth).selectExpr("id AS z", "-1L AS y", "0L AS height", f"{width}L AS width", "CAST(NULL AS BINARY) AS data")
+    strips.unionByName(first).repartition("z").sortWithinPartitions("z", "y").foreachPartition(put)
+    return depth
+
+
+def spoil(names: DataFrame, folder: str) -> None:
+    """Overwrite the files ``names`` (name) of a folder with what is no image: what a broken transfer leaves, for tests of ``verify_sections``."""
+    root = uri(names.sparkSession, folder)
+
+    def put(rows) -> None:
+        own, top = _store(root)
+        for row in rows:
+            with own.open_output_stream(f"{top}/{row.name}") as f:
+                f.write(b"broken")
+
+    names.foreachPartition(put)
+
+
+FILL = 1 << 20
+
+
+def _zeros(f, n: int) -> None:
+    for k in range(0, n, FILL):
+        f.write(bytes(min(FILL, n - k)))
+
+
+def _directory(height: int, width: int) -> bytes:
+    """The tags of an 8-bit grey image without compression, its rows from byte 8 on as one strip (fixed values of the format)."""
+    tags = [(256, 4, width), (257, 4, height), (258, 3, 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, height * width)]
+    return struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in tags) + bytes(4)
 
 
 def differing_boxes(specs: DataFrame) -> DataFrame:
