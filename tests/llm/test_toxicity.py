@@ -38,6 +38,39 @@ def test_factors_learn_a_pair_that_no_single_word_shows():
     assert p[0] > 0.7 and p[1] > 0.7 and p[2] < 0.3 and p[3] < 0.3
 
 
+def pair_texts(n, share, seed, words=30):
+    """(docs, labels, those with a pair): the label is 1 where the two words of a pair agree; each word alone tells as little as the pair's being there."""
+    rnd = random.Random(seed)
+    voc = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9))) for _ in range(1500)]
+    weight = [1 / (k + 5) for k in range(len(voc))]
+    docs, labels, paired = [], [], set()
+    for i in range(n):
+        w, toxic = rnd.choices(voc, weight, k=words), 0
+        if rnd.random() < share:
+            a, b = rnd.randrange(2), rnd.randrange(2)
+            w[rnd.randrange(words // 2)], w[words // 2 + rnd.randrange(words // 2)] = ("xalpha", "ybravo")[a], ("zdelta", "qgamma")[b]
+            toxic = int(a == b)
+            paired.add(i)
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    return docs, labels, paired
+
+
+def area(truth, score):
+    pos, neg = score[truth == 1], score[truth == 0]
+    return np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+
+
+def test_training_learns_pairs_in_texts_of_thirty_words(spark):
+    docs, labels, paired = pair_texts(8000, 0.16, 1)  # 6,000 of them to learn from
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = [(t, y) for (i, t), (_, y) in zip(docs, labels) if i in paired and zlib.crc32(str(i).encode()) % 4 == 2]
+    rows, truth = [toxicity.terms(t) for t, _ in out], np.array([y for _, y in out])
+    assert area(truth, model.score(rows)) > 0.9
+    model.v[:] = 0
+    assert area(truth, model.score(rows)) < 0.65  # the words alone don't tell
+
+
 def test_held_out_accuracy_and_contract(spark):
     docs, labels = make(1500)
     d = spark.createDataFrame(docs, "doc_id bigint, text string, score string").repartition(5)

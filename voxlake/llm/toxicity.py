@@ -43,6 +43,8 @@ EPOCHS = 8
 BATCH = 64
 RATE = 0.1
 SHRINK = 1e-6
+#: Spread of the factors at the start: from a smaller one a pair's factors hardly leave zero, as a pair's gradient is in proportion to them.
+START = 0.1
 OFTEN = 0.05
 MIN_CHI2 = 20.0
 CUT = 0.3
@@ -114,7 +116,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, kept: n
         kept = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
     rate = float((weights * labels).sum() / weights.sum()) if len(labels) else 0.5
     rate = min(max(rate, 1e-3), 1 - 1e-3)
-    fm = FactorizationMachine(float(np.log(rate / (1 - rate))), kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
+    fm = FactorizationMachine(float(np.log(rate / (1 - rate))), kept, np.zeros(len(kept)), rng.normal(0, START, (len(kept), FACTORS)))
     rows = fm.places(rows)
     gw, gv = np.full(len(kept), 1e-8), np.full((len(kept), FACTORS), 1e-8)
     weights = weights / weights.mean() if len(weights) else weights
