@@ -78,6 +78,21 @@ def test_64_times_the_keys_of_a_full_filter_go_in_ranges(spark):
     assert got.get((False, True), 0) <= 0.05 * n
 
 
+@pytest.mark.parametrize("n", [0, 1, 10**6, 10**9, 10**12, 10**14])
+def test_no_number_of_keys_makes_a_filter_larger(n):
+    lay = repeats.layout(n)
+    assert lay.words * 8 <= repeats.MAX_BYTES and lay.words * lay.ranges * 64 >= repeats.CELLS_PER_KEY * n
+
+
+def test_filters_of_ranges_are_those_of_each_range_alone(spark):
+    lay = repeats.Layout(9000, 3)
+    keys = spark.range(6000).select((F.col("id") % 3).alias("part"), F.xxhash64(F.col("id") % 5000).alias("h"))
+    keys = keys.union(spark.range(4000).select(F.lit(0).cast("bigint"), F.xxhash64(F.lit(7)))).repartition(5)
+    whole = sorted(tuple(r) for r in repeats.build(keys, "h", lay, 2, ("part",)).collect())
+    alone = [(p, *r) for p in range(3) for r in repeats.build(keys.filter(F.col("part") == p), "h", lay, 2).collect()]
+    assert whole == sorted(alone) and len({r[0] for r in whole}) == 3
+
+
 @pytest.mark.parametrize("max_bytes", [repeats.MAX_BYTES, 64])
 def test_marked_rows_go(spark, max_bytes):
     rows = [(i % 50 if i % 7 else None, f"t{i % 90}") for i in range(400)]

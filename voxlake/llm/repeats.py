@@ -8,13 +8,15 @@ a third of all rows costs a task one row. Words are packed into pages, arrays of
 PAGE_WORDS words; the broadcast table has one row a page, and a key is asked by one look into an array.
 
 Size: CELLS_PER_KEY bits a key, so that about 2 % of unique keys pass, whatever the input. One
-filter takes at most ``max_bytes``. More keys than that are worked off in ranges of their hash,
-one filter and one pass each (``suspects``): the keys are sorted by range in the tasks that hold
-them, so a pass reads its own part of each file.
+filter takes at most ``max_bytes``, whatever the number of keys. More keys than that are worked off in ranges
+of their hash, one filter and one pass each (``suspects``): the keys are sorted by range in the tasks that hold
+them, so a pass reads its own part of each file, and all passes together read the keys once. One job builds the
+filters of all ranges; AT_ONCE passes run side by side, so that many are broadcast at a time.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,9 @@ CELLS_PER_KEY = 16
 PAGE_BITS = 12
 PAGE_WORDS = 1 << PAGE_BITS
 MAX_BYTES = 1 << 26
-#: Bits of a hash: 0-39 word, 40-45 and 46-51 the two bits, 52-63 range.
-_WORD_BITS, _RANGE_SHIFT, MAX_RANGES = 40, 52, 1 << 12
+AT_ONCE = 4
+#: Bits of a hash: 0-39 word, 40-45 and 46-51 the two bits; the range is drawn from a hash of the hash.
+_WORD_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Layout:
 
 def layout(n_keys: int, max_bytes: int = MAX_BYTES) -> Layout:
     words = max(64, -(-CELLS_PER_KEY * n_keys // 64))
-    ranges = min(MAX_RANGES, -(-words * 8 // max_bytes))
+    ranges = -(-words * 8 // max_bytes)
     return Layout(-(-words // ranges), ranges)
 
 
@@ -50,7 +53,7 @@ def one_filter(n_keys: int, max_bytes: int = MAX_BYTES) -> Layout:
 
 
 def _range(h: Column, lay: Layout) -> Column:
-    return F.shiftrightunsigned(h, _RANGE_SHIFT) % F.lit(lay.ranges).cast("long")
+    return F.pmod(F.xxhash64(h), F.lit(lay.ranges).cast("long"))
 
 
 def _word(h: Column, lay: Layout) -> Column:
@@ -61,19 +64,19 @@ def _bits(h: Column) -> list[Column]:
     return [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63).cast("long")) for s in (_WORD_BITS, _WORD_BITS + 6)]
 
 
-def build(keys: DataFrame, h: str, lay: Layout, times: int) -> DataFrame:
-    """(page, words): the filter over BIGINT column ``h``; pages and trailing words without a bit are left out."""
+def build(keys: DataFrame, h: str, lay: Layout, times: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(page, words): the filter over BIGINT column ``h``; pages and trailing words without a bit are left out. With ``by`` one filter for each value of those columns."""
     k = F.col(h)
-    cells = keys.select(F.explode(F.array_distinct(F.array(*[F.shiftleft(_word(k, lay), 6) + b for b in _bits(k)]))).alias("cell"))
+    cells = keys.select(*by, F.explode(F.array_distinct(F.array(*[F.shiftleft(_word(k, lay), 6) + b for b in _bits(k)]))).alias("cell"))
     if times == 1:
         cells = cells.distinct()
     else:
-        cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times)
-    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS INT))")).alias("bits"))
+        cells = cells.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= times)
+    words = cells.groupBy(*by, F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 AS INT))")).alias("bits"))
     place = F.struct((F.col("word") % PAGE_WORDS).cast("int").alias("at"), "bits")
-    pages = words.groupBy(F.shiftright("word", PAGE_BITS).alias("page")).agg(F.sort_array(F.collect_list(place)).alias("set"))
+    pages = words.groupBy(*by, F.shiftright("word", PAGE_BITS).alias("page")).agg(F.sort_array(F.collect_list(place)).alias("set"))
     filled = "flatten(transform(set, (x, i) -> concat(array_repeat(0L, x.at - if(i = 0, -1, set[i - 1].at) - 1), array(x.bits))))"
-    return pages.select("page", F.expr(filled).alias("words"))
+    return pages.select(*by, "page", F.expr(filled).alias("words"))
 
 
 def with_hits(rows: DataFrame, h: str, pages: DataFrame, lay: Layout, out: str = "suspect") -> DataFrame:
@@ -96,16 +99,18 @@ def suspects(keys: DataFrame, h: str, name: str, max_bytes: int = MAX_BYTES) ->
         pages = materialize(build(keys, h, lay, 2), f"{name}-filter")
         return with_hits(keys, h, pages, lay), [pages]
     dealt = materialize(keys.withColumn("__range", _range(F.col(h), lay)).sortWithinPartitions("__range"), f"{name}-dealt")
+    filters = materialize(build(dealt, h, lay, 2, ("__range",)).sortWithinPartitions("__range"), f"{name}-filters")
     path = scratch_path(keys.sparkSession, f"{name}-tested")
-    for r in range(lay.ranges):
-        own = dealt.filter(F.col("__range") == r).drop("__range")
-        pages = materialize(build(own, h, lay, 2), f"{name}-filter")
-        tested = with_hits(own, h, pages, lay)
-        tested.write.mode("append").parquet(path)
-        discard(pages)
-    discard(dealt)
-    table = reread(keys.sparkSession, path, tested.schema)
-    return table, [table]
+
+    def ask(r: int) -> None:
+        own, pages = (t.filter(F.col("__range") == r).drop("__range") for t in (dealt, filters))
+        with_hits(own, h, pages, lay).write.parquet(f"{path}/range_of_h={r}")
+
+    with ThreadPoolExecutor(AT_ONCE) as passes:
+        list(passes.map(ask, range(lay.ranges)))
+    discard(dealt, filters)
+    table = reread(keys.sparkSession, path, keys.withColumn("suspect", F.lit(True)).schema)
+    return table.drop("range_of_h"), [table]
 
 
 def drop_marked(docs: DataFrame, marks: DataFrame, text: str, id_col: str, max_bytes: int = MAX_BYTES) -> DataFrame:
