@@ -13,6 +13,7 @@ from .registry import draw_sql, query
 KEY = ["z", "y", "x"]
 BALL2 = "(SELECT * FROM (SELECT unnest(range(-2, 3)) AS dz), (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2)"
 ROUND2 = BALL2.replace("abs(dz) + abs(dy) + abs(dx) <= 2", "dz * dz + dy * dy + dx * dx <= 4")
+ROUND1 = BALL2.replace("<= 2", "<= 1")
 HEIGHT = "(SELECT max(y) + 1 FROM vox)"
 IN_BOX = f"z >= 0 AND z < 7 AND y >= 0 AND y < {HEIGHT} AND x >= 0 AND x < 100"
 FG = "fg AS (SELECT z, y, x FROM blob WHERE id <> 0)"
@@ -100,16 +101,29 @@ def _(t):
     return neighbourhood.dilate_instances(t.blob, 2, _box(t))
 
 
-def _ero(src: str, name: str) -> str:
+def _ero(src: str, name: str, ball: str = ROUND2) -> str:
     """The oracle's erosion by the round ball, outside the box as foreground."""
-    return f"""{name} AS (SELECT p.z, p.y, p.x FROM (SELECT z, y, x FROM grid) p, {ROUND2} o
+    return f"""{name} AS (SELECT p.z, p.y, p.x FROM (SELECT z, y, x FROM grid) p, {ball} o
         LEFT JOIN {src} s ON s.z = p.z + o.dz AND s.y = p.y + o.dy AND s.x = p.x + o.dx
         WHERE p.z + o.dz BETWEEN 0 AND 6 AND p.y + o.dy BETWEEN 0 AND {HEIGHT} - 1 AND p.x + o.dx BETWEEN 0 AND 99
         GROUP BY p.z, p.y, p.x HAVING count(*) = count(s.z))"""
 
 
-def _dil(src: str, name: str) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM {src}, {ROUND2}) WHERE {IN_BOX})"
+def _dil(src: str, name: str, ball: str = ROUND2) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM {src}, {ball}) WHERE {IN_BOX})"
+
+
+def _large(src: str, name: str, min_size: int) -> str:
+    """The oracle's components of at least ``min_size`` voxels, for a recursive statement: labels pass between touching runs along x until none sinks."""
+    return f"""{name}_runs AS (SELECT z, y, min(x) AS a, max(x) AS b, (z * {HEIGHT} + y) * 100 + min(x) AS r
+            FROM (SELECT z, y, x, x - row_number() OVER (PARTITION BY z, y ORDER BY x) AS k FROM {src}) GROUP BY z, y, k),
+        {name}_met AS (SELECT p.r AS u, s.r AS v FROM {name}_runs p JOIN {name}_runs s ON s.z = p.z AND s.y = p.y + 1 AND s.a <= p.b AND s.b >= p.a
+            UNION ALL SELECT p.r, s.r FROM {name}_runs p JOIN {name}_runs s ON s.z = p.z + 1 AND s.y = p.y AND s.a <= p.b AND s.b >= p.a),
+        {name}_links AS (SELECT u, v FROM {name}_met UNION ALL SELECT v, u FROM {name}_met),
+        {name}_labels(r, c) USING KEY (r) AS (SELECT r, r FROM {name}_runs UNION
+            SELECT e.u, min(l.c) FROM {name}_labels l JOIN {name}_links e ON e.v = l.r JOIN recurring.{name}_labels o ON o.r = e.u WHERE l.c < o.c GROUP BY e.u),
+        {name} AS (SELECT z, y, unnest(range(a, b + 1)) AS x FROM {name}_runs JOIN {name}_labels USING (r)
+            WHERE c IN (SELECT c FROM {name}_runs JOIN {name}_labels USING (r) GROUP BY c HAVING sum(b - a + 1) >= {min_size}))"""
 
 
 OPENED = _sel(f"WITH {FG}, {_ero('fg', 'e')}, {_dil('e', 'd')} SELECT * FROM d")
@@ -128,12 +142,22 @@ def _(t):
     return neighbourhood.close_ball(_fg(t), 2, _box(t))
 
 
-@query("nbh_08_remove_small")
+LARGE = _sel(f"WITH RECURSIVE {FG}, {_large('fg', 'kept', 200)} SELECT * FROM kept")
+
+
+@query("nbh_08_remove_small", "blob", LARGE)
 def _(t):
     return neighbourhood.remove_small(_fg(t), 200)
 
 
-@query("nbh_09_foreground_mask")
+FOREGROUND = _sel(f"""WITH RECURSIVE s AS (SELECT z, y, x FROM vox WHERE raw > 2 AND raw < 250),
+        {_ero("s", "e1", ROUND1)}, {_dil("e1", "d1", ROUND1)}, {_dil("d1", "d2", ROUND1)}, {_ero("d2", "e2", ROUND1)},
+        empty AS (SELECT z, y, x FROM grid EXCEPT SELECT z, y, x FROM e2), {_large("empty", "holes", 50)},
+        filled AS (SELECT z, y, x FROM grid EXCEPT SELECT z, y, x FROM holes), {_large("filled", "kept", 50)}
+    SELECT g.z, g.y, g.x, CASE WHEN k.z IS NULL THEN 0 ELSE 255 END AS mask FROM grid g LEFT JOIN kept k ON g.z = k.z AND g.y = k.y AND g.x = k.x""")
+
+
+@query("nbh_09_foreground_mask", "vox grid", FOREGROUND)
 def _(t):
     raw = t.grid.join(t.vox.select(*KEY, "raw"), KEY, "left").select(*KEY, F.coalesce("raw", F.lit(0)).alias("v"))
     return neighbourhood.foreground_mask(raw, _box(t), 2, 250, 1, 1, 50)
@@ -181,7 +205,7 @@ def _(t):
     return _swept_voxels(t, *B.sweep_kernel([("close", 2)]), B.OUTSIDE).select(*KEY)
 
 
-@query("nbh_09_foreground_mask_blocks")
+@query("nbh_09_foreground_mask_blocks", "vox grid", FOREGROUND)
 def _(t):
     box = _box(t)
     raw = t.grid.join(t.vox.select(*KEY, "raw"), KEY, "left").select(*KEY, F.coalesce("raw", F.lit(0)).alias("v"))
@@ -189,7 +213,7 @@ def _(t):
     return B.blocks_to_voxels(mask, "int").withColumnRenamed("v", "mask")
 
 
-@query("nbh_08_remove_small_blocks")
+@query("nbh_08_remove_small_blocks", "blob", LARGE)
 def _(t):
     box = _box(t)
     return B.blocks_to_voxels(block_components.remove_small_blocks(B.voxels_to_blocks(t.blob, *box, CHUNK, "int32", value="id"), 200, box, CHUNK), "int", skip=0).select(*KEY)
@@ -236,7 +260,23 @@ def _(t):
     return histogram.tile_histogram(_grey(t), 8)
 
 
-@query("his_02_clip_histogram")
+def _clip(counts: str, name: str, limit: int) -> str:
+    """The oracle's clipped counts (tz, ty, tx, room) of full histograms, for a recursive statement: ``room`` lists what each bin still takes."""
+    return f"""{name}_full AS (SELECT tz, ty, tx, list(greatest({limit} - n, 0) ORDER BY bin) AS room, CAST(sum(greatest(n - {limit}, 0)) AS BIGINT) AS spare FROM {counts} GROUP BY ALL),
+        {name}_even AS (SELECT tz, ty, tx, list_transform(room, lambda v: v - least(v, spare // 256)) AS room,
+            CAST(spare - list_sum(list_transform(room, lambda v: least(v, spare // 256))) AS BIGINT) AS spare FROM {name}_full),
+        {name}_walk AS (SELECT *, 0 AS step FROM {name}_even UNION ALL
+            SELECT tz, ty, tx, list_transform(room, lambda v, i: v - spots[i]), CAST(spare - list_sum(spots) AS BIGINT), step + 1
+            FROM (SELECT *, list_transform(room, lambda v, i: CAST(v > 0 AND i > step % 256 AND (i - 1 - step % 256) % stride = 0 AS BIGINT)) AS spots
+                FROM (SELECT *, greatest(1, len(list_filter(room, lambda v: v > 0)) // spare) AS stride FROM {name}_walk WHERE spare > 0 AND list_max(room) > 0))),
+        {name} AS (SELECT tz, ty, tx, room FROM {name}_walk WHERE spare <= 0 OR list_max(room) = 0)"""
+
+
+@query("his_02_clip_histogram", "vox", _sel(f"""
+    WITH RECURSIVE tiled AS (SELECT {TILE}, {GREY} // 65 AS bin, count(*) AS n FROM vox GROUP BY 1, 2, 3, 4),
+        counts AS (SELECT tz, ty, tx, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT tz, ty, tx FROM tiled) CROSS JOIN (SELECT unnest(range(256)) AS bin) LEFT JOIN tiled USING (tz, ty, tx, bin)),
+        {_clip("counts", "clipped", 10)}
+    SELECT tz, ty, tx, CAST(unnest(range(256)) AS INT) AS bin, 10 - unnest(room) AS n FROM clipped"""))
 def _(t):
     return histogram.clip_histogram(histogram.tile_histogram(_grey(t), 8), 10)
 
@@ -262,12 +302,38 @@ def _(t):
     return _r(histogram.apply_mapping(_grey(t), maps, 8), "v")
 
 
-@query("his_05_clahe")
+GREY5 = "CAST(round_even({} / CAST(255 AS DOUBLE) * 16383, 0) AS INT) // 65"
+
+
+def _tiles_met(name: str, length: str) -> str:
+    """The oracle's tiles of side 8 that a place of an axis counts in: its own and, near the end, that of its mirror image."""
+    return f"""{name}(p, t) AS (SELECT p, (p + 4) // 8 FROM (SELECT unnest(range({length})) AS p) UNION ALL
+            SELECT p, (2 * {length} + 10 - p) // 8 FROM (SELECT unnest(range({length})) AS p) WHERE 2 * {length} + 6 - p <= ({length} + 15) // 8 * 8 - 5)"""
+
+
+CLAHE = _sel(f"""
+    WITH RECURSIVE {_tiles_met("mz", "7")}, {_tiles_met("my", HEIGHT)}, {_tiles_met("mx", "100")},
+        fill AS (SELECT {GREY5.format("floor(sum(raw) / count(*))")} AS fill FROM vox),
+        tiled AS (SELECT mz.t AS tz, my.t AS ty, mx.t AS tx, {GREY5.format("raw")} AS bin, count(*) AS n FROM vox JOIN mz ON z = mz.p JOIN my ON y = my.p JOIN mx ON x = mx.p GROUP BY 1, 2, 3, 4),
+        total AS (SELECT tz, ty, tx, sum(n) AS n FROM tiled GROUP BY 1, 2, 3),
+        tile AS (SELECT * FROM (SELECT unnest(range(2)) AS tz), (SELECT unnest(range(({HEIGHT} + 15) // 8)) AS ty), (SELECT unnest(range(14)) AS tx)),
+        counts AS (SELECT tz, ty, tx, bin, CAST(coalesce(tiled.n, 0) + CASE WHEN bin = fill THEN 512 - coalesce(total.n, 0) ELSE 0 END AS BIGINT) AS n
+            FROM tile CROSS JOIN (SELECT unnest(range(256)) AS bin) CROSS JOIN fill LEFT JOIN tiled USING (tz, ty, tx, bin) LEFT JOIN total USING (tz, ty, tx)),
+        {_clip("counts", "clipped", 10)},
+        bins AS (SELECT tz, ty, tx, unnest(range(256)) AS bin, 10 - unnest(room) AS n FROM clipped),
+        maps AS (SELECT tz, ty, tx, bin, least(floor(sum(n) OVER (PARTITION BY tz, ty, tx ORDER BY bin) * (16383 / CAST(512 AS DOUBLE))), 16383) AS m FROM bins),
+        corners AS (SELECT z, y, x, {GREY5.format("raw")} AS bin, least(z // 8 + a, 1) AS tz, least(y // 8 + b, ({HEIGHT} + 15) // 8 - 1) AS ty, least(x // 8 + c, 13) AS tx,
+                (CASE a WHEN 1 THEN z % 8 ELSE 8 - z % 8 END) * (CASE b WHEN 1 THEN y % 8 ELSE 8 - y % 8 END) * (CASE c WHEN 1 THEN x % 8 ELSE 8 - x % 8 END) / CAST(512 AS DOUBLE) AS w
+            FROM vox, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b), (VALUES (0), (1)) r(c))
+    SELECT z, y, x, CAST(floor(floor(sum(w * m)) / CAST(16383 AS DOUBLE) * 255) AS INT) AS v FROM corners JOIN maps USING (tz, ty, tx, bin) GROUP BY z, y, x""")
+
+
+@query("his_05_clahe", "vox", CLAHE)
 def _(t):
     return histogram.clahe(_raw(t), 8, 0.02)
 
 
-@query("his_05_clahe_blocks")
+@query("his_05_clahe_blocks", "vox", CLAHE)
 def _(t):
     box = _box(t)
     blocks = B.voxels_to_blocks(t.vox, *box, CHUNK, "int16", block_contrast.ABSENT, value="raw")
