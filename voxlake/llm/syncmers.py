@@ -19,7 +19,7 @@ The table of first rows, which is broadcast, is as long as the number of ranges.
 
 Defined results: a null text counts as empty, a null id is before all others, a single row is
 its own next, rows that repeat an id follow one another, an empty table gives no row, a very long
-text is worked on whole, in its row. Columns other than id and text are ignored.
+text is worked on whole, in its row. Ids are integers; strings are not ordered as such (they are cast to numbers, an error where they aren't any). Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ records is bounded too. Rows that share an id are dealt by the hash.
 
 Null texts hold only the end id; a null id comes first and is read back as null; rows that
 repeat an id each have a record; an empty table gives no record; a very long text is one record,
-of at most 2**32 - 1 bytes. Columns other than id and text are not written, whatever their names.
+of at most 2**32 - 1 bytes. Ids are integers of 64 bits, as the format has them; others are an error. Columns other than id and text are not written, whatever their names.
 """
 
 from __future__ import annotations
