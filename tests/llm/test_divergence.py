@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,19 @@ def test_rows_equal_brute_force(spark, block, tile):
     assert got(spark, rows, min_docs=10, top=7, block=block, tile=tile) == brute(rows, 10, 7)
 
 
+def test_a_pair_is_one_in_all_blocks_whatever_the_order_of_their_rows():
+    groups = [{"lang": "en", "source": s, "tile": 0, "total": n, "terms": 4, "block": 0, "width": 2, "at": [0], "n": [n], "one": 0, "other": 0} for s, n in (("b", 1), ("a", 2), ("c", 3))]
+    want = D._block_costs(pa.Table.from_pylist(groups)).to_pylist()
+    assert D._block_costs(pa.Table.from_pylist(groups[::-1])).to_pylist() == want
+    assert {(r["a"], r["b"]) for r in want} == {("b", "a"), ("c", "a"), ("c", "b")}
+
+
+def test_languages_of_many_terms_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.sample(range(600), 60)), "en", f"s{rng.randrange(40)}") for _ in range(800)]
+    assert got(spark, rows, min_docs=30, block=16, tile=32) == brute(rows, 30)
+
+
 def test_an_empty_table_and_a_table_without_kept_terms(spark):
     assert got(spark, []) == []
     assert got(spark, [("a b", "en", "x"), (None, "en", "y")]) == [("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]

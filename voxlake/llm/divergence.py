@@ -137,7 +137,7 @@ def compare(roots: np.ndarray, levels: list[np.ndarray], leaves: np.ndarray, pri
 
 def _block_costs(table: pa.Table) -> pa.Table:
     """(lang, a, b, cost) of the pairs of groups of two tiles in one block of terms: a row of ``table`` is a group with its counts there."""
-    groups = table.to_pylist()
+    groups = sorted(table.to_pylist(), key=lambda g: g["source"])  # rows come in any order: a pair has one form in all blocks
     one, other, width = (groups[0][k] for k in ("one", "other", "width"))
     size = 1 << max(0, width - 1).bit_length()
     rows = np.zeros((len(groups), size), np.int64)
