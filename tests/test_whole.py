@@ -43,3 +43,9 @@ def test_every_id_and_channel_is_merged(spark, mode):
 
 def test_every_configuration_is_in_the_union(spark):
     assert run(spark, "src_04_split_union_configs_whole").count() == view(spark, SF, "boxes").count()
+
+
+def test_the_grid_is_made_in_stripes_by_many_tasks(spark):
+    grid, top = view(spark, SF, "grid"), view(spark, SF, "vox").agg(F.max("y")).first()[0]
+    assert grid.rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, grid.collect())) == [(z, y, x) for z in range(7) for y in range(top + 1) for x in range(100)]
