@@ -2,10 +2,12 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from voxlake.operators import loss, neighbourhood
 from voxlake.plans.views import view
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,35 @@ def test_the_grid_is_made_in_stripes_by_many_tasks(spark):
     grid, top = view(spark, SF, "grid"), view(spark, SF, "vox").agg(F.max("y")).first()[0]
     assert grid.rdd.getNumPartitions() > 1
     assert sorted(map(tuple, grid.collect())) == [(z, y, x) for z in range(7) for y in range(top + 1) for x in range(100)]
+
+
+def test_copies_of_all_rows_do_not_change_the_dice_loss(spark):
+    def dice(n):
+        rows = spark.range(n).select((F.col("id") % 7 / 7).alias("s0"), (F.col("id") % 5 / 5).alias("s1"), (F.col("id") % 35 > 20).cast("int").alias("t"))
+        return loss.generalized_dice(rows, ["s0", "s1"], "t").first()[0]
+
+    assert dice(35) == pytest.approx(dice(35 * 400_000), abs=1e-9)
+
+
+def test_augmentation_of_blocks_beyond_the_draws_equals_its_sql(spark, tmp_path):
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_orderkey < 300").withColumn("l_orderkey", F.col("l_orderkey") + 7_001_000)
+    lineitem.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = __spark_entry__.queries()["res_07_simple_augment"](lineitem.sparkSession, with_part(spark, tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'; CREATE VIEW part AS FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["res_07_simple_augment"])
+    names = [d[0] for d in want.description]
+    assert got.agg(F.min("b")).first()[0] > 1_000_003
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
+def with_part(spark, folder):
+    spark.read.parquet(f"{SF}/part.parquet").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_what_neighbours_send_is_summed_before_it_shuffles(spark):
+    cube = spark.range(20**3).repartition(16).selectExpr("id DIV 400 AS z", "id DIV 20 % 20 AS y", "id % 20 AS x")
+    sent = neighbourhood.spread(cube, neighbourhood.cross_ball(2)).select("z", "y", "x", F.spark_partition_id().alias("p"))
+    assert sent.count() == 25 * 20**3
+    assert sent.distinct().count() == sent.select("z", "y", "x").distinct().count()

@@ -51,7 +51,9 @@ def descriptor_loss(
 
 
 def generalized_dice(df: DataFrame, scores: Sequence[str], target: str, epsilon: float = 1e-6, sigmoid: bool = True) -> DataFrame:
-    """1 - 2 sum(w inter) / sum(w denom) with w = 1 / (voxels of the class) squared over one-hot targets."""
+    """1 - 2 sum(w inter) / sum(w denom) with w = 1 / (voxels of the class) squared over one-hot targets.
+
+    Weights fall with the square of the voxels, so ``epsilon`` stands in for a denominator of 0 only: copies of all rows don't change the loss."""
     aggs = []
     for k, s in enumerate(scores):
         p = 1 / (1 + F.exp(-F.col(s))) if sigmoid else F.col(s)
@@ -60,7 +62,7 @@ def generalized_dice(df: DataFrame, scores: Sequence[str], target: str, epsilon:
     w = [1 / F.greatest(F.col(f"t{k}") * F.col(f"t{k}"), F.lit(epsilon)) for k in range(len(scores))]
     inter = reduce(lambda a, b: a + b, [w[k] * F.col(f"i{k}") for k in range(len(scores))])
     denom = reduce(lambda a, b: a + b, [w[k] * F.col(f"d{k}") for k in range(len(scores))])
-    return df.agg(*aggs).select((1 - 2 * inter / F.greatest(denom, F.lit(epsilon))).alias("loss"))
+    return df.agg(*aggs).select((1 - 2 * inter / F.when(denom > 0, denom).otherwise(epsilon)).alias("loss"))
 
 
 def ce_plus_dice(df: DataFrame, scores: Sequence[str], target: str, weight: Sequence[float] | None = None) -> DataFrame:
