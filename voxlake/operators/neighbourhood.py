@@ -1,7 +1,7 @@
 """Morphology, stencils and components of sparse voxel tables (z, y, x[, value]).
 
-An operator of radius r joins nothing: every foreground voxel sends itself to its neighbours by
-a literal array of offsets and one aggregate with partial sums collects them. Chained operators
+An operator of radius r joins nothing: voxels are dealt to tasks by tiles, every foreground voxel sends itself to its
+neighbours by a literal array of offsets, and one aggregate with partial sums collects them. Chained operators
 on dense volumes belong to the block form (``blocks``).
 """
 
@@ -17,6 +17,7 @@ from .components import components
 from .roi import AXES, Vec, extent
 
 KEY = list(AXES)
+TILE = (32, 32, 32)
 
 
 def cross_ball(n: int) -> list[tuple[int, int, int]]:
@@ -34,9 +35,15 @@ def _offsets(ball: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES, strict=True)]) for o in ball])
 
 
+def by_tile(df: DataFrame) -> DataFrame:
+    """The voxels dealt to tasks by tiles of TILE, so that what neighbours send to one position is summed in a task before it shuffles."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.expr(f"CAST(floor({a} / {s}) AS BIGINT)") for a, s in zip(AXES, TILE, strict=True)])
+
+
 def spread(df: DataFrame, ball: list[tuple[int, int, int]], box: tuple[Vec, Vec] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each voxel once for each offset, at the shifted position, inside ``box`` if given. A row makes as many rows as the ball has offsets."""
-    out = df.select(*KEY, *keep, F.inline(_offsets(ball))).select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY], *keep)
+    out = by_tile(df.select(*KEY, *keep)).select(*KEY, *keep, F.inline(_offsets(ball))).select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY], *keep)
     if box is not None:
         from .roi import crop
 
@@ -75,7 +82,7 @@ def metric_mask(grid: DataFrame, foreground: DataFrame, outwards: int, inwards:
     ball = sorted({*cross_ball(outwards), *cross_ball(inwards)})
     wide, narrow = set(cross_ball(outwards)), set(cross_ball(inwards))
     steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES, strict=True)], F.lit(int(o in wide)).alias("w"), F.lit(int(o in narrow)).alias("n")) for o in ball])
-    sent = foreground.select(*KEY, F.inline(steps)).select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY], "w", "n")
+    sent = by_tile(foreground.select(*KEY)).select(*KEY, F.inline(steps)).select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY], "w", "n")
     band = sent.groupBy(*KEY).agg(F.sum("w").alias("w"), F.sum("n").alias("n")).filter((F.col("w") > 0) & (F.col("n") < len(narrow)))
     band = band.select(*KEY, F.lit(1).alias("__b"))
     return grid.join(band, KEY, "left").select(*KEY, F.when(F.col("__b") == 1, 0).otherwise(on).alias("mask"))
@@ -111,9 +118,6 @@ def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     return got.filter(F.col("__n") == need).select(*KEY)
 
 
-TILE = (32, 32, 32)
-
-
 def _number(at: np.ndarray, box: tuple[Vec, Vec]) -> np.ndarray:
     """One number for each voxel of the box, in order of z, y, x."""
     z, y, x = (at - np.array(box[0], np.int64)).T
@@ -232,7 +236,7 @@ def convolve(df: DataFrame, weights: list[dict[tuple[int, int, int], float]], bi
     table = F.array(
         *[F.struct(*[F.lit(-d).alias(f"d{a}") for d, a in zip(o, AXES, strict=True)], *[F.lit(float(w.get(o, 0.0))).alias(f"w{c}") for c, w in enumerate(weights)]) for o in taps]
     )
-    sent = df.select(*KEY, value, F.inline(table))
+    sent = by_tile(df.select(*KEY, value)).select(*KEY, value, F.inline(table))
     sums = sent.groupBy(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in KEY]).agg(*[F.sum(F.col(value) * F.col(f"w{c}")).alias(f"s{c}") for c in range(len(weights))])
     rows = df.select(*KEY).join(sums, KEY, "left")
     out = F.array(*[F.struct(F.lit(c).alias("c"), (F.coalesce(F.col(f"s{c}"), F.lit(0.0)) + b).alias("v")) for c, b in enumerate(bias)])
