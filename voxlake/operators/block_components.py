@@ -63,18 +63,14 @@ def label_blocks(blocks: DataFrame, box: tuple[Vec, Vec], chunk: Vec, invert: bo
     """Written table of the blocks' labels: chunk number, box, base (first node), labels (int32, zlib) and sizes. ``invert`` labels zeros."""
     counts = _chunk_counts(box, chunk)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a = B.array_of(r)
-                labels, sizes = label_block((a == 0) if invert else (a != 0))
-                base = ((r.cz * counts[1] + r.cy) * counts[2] + r.cx) << LABEL_BITS
-                rows.append((r.cz, r.cy, r.cx, r.oz, r.oy, r.ox, *a.shape, base, zlib.compress(labels.astype("<i4").tobytes(), 1), sizes.tolist()))
-            yield pd.DataFrame(rows, columns=[*B.CHUNK, *B.BOX, "base", "labels", "sizes"])
+    def one(r) -> Iterator[tuple]:
+        a = B.array_of(r)
+        labels, sizes = label_block((a == 0) if invert else (a != 0))
+        base = ((r.cz * counts[1] + r.cy) * counts[2] + r.cx) << LABEL_BITS
+        yield r.cz, r.cy, r.cx, r.oz, r.oy, r.ox, *a.shape, base, zlib.compress(labels.astype("<i4").tobytes(), 1), sizes.tolist()
 
     schema = ", ".join(f"{c} long" for c in (*B.CHUNK, *B.BOX, "base")) + ", labels binary, sizes array<long>"
-    return materialize(blocks.select(B.COLUMNS).mapInPandas(run, schema), "block-labels")
+    return materialize(blocks.select(B.COLUMNS).mapInPandas(B.rows_of(one, [*B.CHUNK, *B.BOX, "base", "labels", "sizes"]), schema), "block-labels")
 
 
 def labels_of(row) -> np.ndarray:
@@ -84,18 +80,14 @@ def labels_of(row) -> np.ndarray:
 def face_edges(labelled: DataFrame) -> DataFrame:
     """(u, v): nodes of neighbouring chunks that touch. Two planes meet for each pair of neighbours."""
 
-    def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a, c = labels_of(r), (r.cz, r.cy, r.cx)
-                for axis in range(3):
-                    for upper, at in ((False, -1), (True, 0)):  # the chunk below gives its last plane, the one above its first
-                        plane = np.take(a, at, axis)
-                        if plane.any():
-                            meet = [k + (j == axis and not upper) for j, k in enumerate(c)]
-                            rows.append((*meet, axis, upper, r.base, zlib.compress(plane.tobytes(), 1)))
-            yield pd.DataFrame(rows, columns=["cz", "cy", "cx", "axis", "upper", "base", "plane"])
+    def planes(r) -> Iterator[tuple]:
+        a, c = labels_of(r), (r.cz, r.cy, r.cx)
+        for axis in range(3):
+            for upper, at in ((False, -1), (True, 0)):  # the chunk below gives its last plane, the one above its first
+                plane = np.take(a, at, axis)
+                if plane.any():
+                    meet = [k + (j == axis and not upper) for j, k in enumerate(c)]
+                    yield *meet, axis, upper, r.base, zlib.compress(plane.tobytes(), 1)
 
     def touch(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
@@ -105,7 +97,7 @@ def face_edges(labelled: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([a[both] + below, b[both] + above], 1), axis=0)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    rows = labelled.select(*B.CHUNK, "sz", "sy", "sx", "base", "labels").mapInPandas(planes, _FACES)
+    rows = labelled.select(*B.CHUNK, "sz", "sy", "sx", "base", "labels").mapInPandas(B.rows_of(planes, [*B.CHUNK, "axis", "upper", "base", "plane"]), _FACES)
     return rows.groupBy(*B.CHUNK, "axis").applyInPandas(touch, "u long, v long")
 
 
@@ -131,19 +123,15 @@ def remove_small_blocks(blocks: DataFrame, min_size: int, box: tuple[Vec, Vec],
     labelled = label_blocks(blocks, box, chunk, invert=holes)
     gone = _small(labelled, min_size, across)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a = labels_of(r)
-                keep = np.ones(len(r.sizes) + 1, np.uint8)
-                keep[0] = 0
-                if r.gone is not None:
-                    keep[np.asarray(r.gone, np.int64)] = 0
-                out = keep[a]
-                rows.append(B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), 1 - out if holes else out, "uint8"))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
-
-    out = materialize(labelled.join(gone, B.CHUNK, "left").mapInPandas(run, B.SCHEMA), "sized-blocks")
+    def one(r) -> Iterator[tuple]:
+        a = labels_of(r)
+        keep = np.ones(len(r.sizes) + 1, np.uint8)
+        keep[0] = 0
+        if r.gone is not None:
+            keep[np.asarray(r.gone, np.int64)] = 0
+        out = keep[a]
+        yield B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), 1 - out if holes else out, "uint8")
+
+    out = materialize(labelled.join(gone, B.CHUNK, "left").mapInPandas(B.rows_of(one, B.COLUMNS), B.SCHEMA), "sized-blocks")
     discard(labelled, *([gone] if across else []))
     return out

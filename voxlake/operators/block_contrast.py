@@ -170,28 +170,24 @@ def clahe_blocks(
     sent = tables.mapInPandas(around, "cz long, cy long, cx long, tz long, ty long, tx long, table binary")
     near = sent.groupBy(*B.CHUNK).agg(F.collect_list(F.struct(*TILES, "table")).alias("tables"))  # a chunk's own and those round it
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a = B.array_of(r)
-                s = [max(b - o, 0) for o, b in zip((r.oz, r.oy, r.ox), offset, strict=True)]
-                e = [min(b + n - o, m) for o, b, n, m in zip((r.oz, r.oy, r.ox), offset, shape, a.shape, strict=True)]
-                if any(p >= q for p, q in zip(s, e, strict=True)):
-                    continue
-                a = a[tuple(slice(p, q) for p, q in zip(s, e, strict=True))]
-                lo = [o + p - b for o, p, b in zip((r.oz, r.oy, r.ox), s, offset, strict=True)]
-                spans = [_needed(p, n, m, top) for p, n, m, top in zip(lo, a.shape, k, tops, strict=True)]
-                held = np.zeros([q - p + 1 for p, q in spans] + [nbins], np.int16)
-                for t in r.tables:
-                    if all(p <= t[x] <= q for x, (p, q) in zip(TILES, spans, strict=True)):
-                        held[tuple(t[x] - p for x, (p, _) in zip(TILES, spans, strict=True))] = np.frombuffer(t["table"], "<i2")
-                gone = absent(a)
-                bins = _bins(a, grey, nbins, gone, 0)
-                out = np.floor(np.floor(blend(bins, lo, held, [p for p, _ in spans], k, tops)) / (GREY - 1) * 255).astype(np.int16)
-                if gone is not None:
-                    out[gone] = ABSENT
-                rows.append(B._row((r.cz, r.cy, r.cx), [o + p for o, p in zip((r.oz, r.oy, r.ox), s, strict=True)], out, "int16"))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
-
-    return blocks.select(B.COLUMNS).join(near, B.CHUNK).mapInPandas(run, B.SCHEMA)
+    def one(r) -> Iterator[tuple]:
+        a = B.array_of(r)
+        s = [max(b - o, 0) for o, b in zip((r.oz, r.oy, r.ox), offset, strict=True)]
+        e = [min(b + n - o, m) for o, b, n, m in zip((r.oz, r.oy, r.ox), offset, shape, a.shape, strict=True)]
+        if any(p >= q for p, q in zip(s, e, strict=True)):
+            return
+        a = a[tuple(slice(p, q) for p, q in zip(s, e, strict=True))]
+        lo = [o + p - b for o, p, b in zip((r.oz, r.oy, r.ox), s, offset, strict=True)]
+        spans = [_needed(p, n, m, top) for p, n, m, top in zip(lo, a.shape, k, tops, strict=True)]
+        held = np.zeros([q - p + 1 for p, q in spans] + [nbins], np.int16)
+        for t in r.tables:
+            if all(p <= t[x] <= q for x, (p, q) in zip(TILES, spans, strict=True)):
+                held[tuple(t[x] - p for x, (p, _) in zip(TILES, spans, strict=True))] = np.frombuffer(t["table"], "<i2")
+        gone = absent(a)
+        bins = _bins(a, grey, nbins, gone, 0)
+        out = np.floor(np.floor(blend(bins, lo, held, [p for p, _ in spans], k, tops)) / (GREY - 1) * 255).astype(np.int16)
+        if gone is not None:
+            out[gone] = ABSENT
+        yield B._row((r.cz, r.cy, r.cx), [o + p for o, p in zip((r.oz, r.oy, r.ox), s, strict=True)], out, "int16")
+
+    return blocks.select(B.COLUMNS).join(near, B.CHUNK).mapInPandas(B.rows_of(one, B.COLUMNS), B.SCHEMA)

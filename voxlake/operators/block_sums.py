@@ -30,17 +30,13 @@ BEFORE = ["".join(c) for n in (1, 2, 3) for c in combinations(AXES, n)]
 def _rims(blocks: DataFrame) -> DataFrame:
     """(chunk, along, data): for each set of axes the chunk's sums at its end on them, as int64."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                sums = local_sums(B.array_of(r))
-                for along in BEFORE:
-                    part = sums[tuple(-1 if a in along else slice(None) for a in AXES)]
-                    rows.append((r.cz, r.cy, r.cx, along, np.asarray(part, "<i8").tobytes()))
-            yield pd.DataFrame(rows, columns=[*B.CHUNK, "along", "data"])
+    def ends(r) -> Iterator[tuple]:
+        sums = local_sums(B.array_of(r))
+        for along in BEFORE:
+            part = sums[tuple(-1 if a in along else slice(None) for a in AXES)]
+            yield r.cz, r.cy, r.cx, along, np.asarray(part, "<i8").tobytes()
 
-    return blocks.select(B.COLUMNS).mapInPandas(run, _CARRY)
+    return blocks.select(B.COLUMNS).mapInPandas(B.rows_of(ends, [*B.CHUNK, "along", "data"]), _CARRY)
 
 
 def local_sums(a: np.ndarray) -> np.ndarray:
@@ -86,17 +82,13 @@ def integral_blocks(blocks: DataFrame) -> DataFrame:
     carries = materialize(carries.groupBy(*B.CHUNK).agg(F.collect_list(F.struct("along", "data")).alias("carries")), "sum-carries")  # seven a chunk
     discard(rims)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                sums = local_sums(B.array_of(r))
-                for c in r.carries:
-                    sums += np.frombuffer(c["data"], "<i8").reshape([1 if a in c["along"] else n for a, n in zip(AXES, sums.shape, strict=True)])
-                rows.append(B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), sums, "int64"))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
+    def one(r) -> Iterator[tuple]:
+        sums = local_sums(B.array_of(r))
+        for c in r.carries:
+            sums += np.frombuffer(c["data"], "<i8").reshape([1 if a in c["along"] else n for a, n in zip(AXES, sums.shape, strict=True)])
+        yield B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), sums, "int64")
 
-    return blocks.select(B.COLUMNS).join(carries, B.CHUNK).mapInPandas(run, B.SCHEMA)
+    return blocks.select(B.COLUMNS).join(carries, B.CHUNK).mapInPandas(B.rows_of(one, B.COLUMNS), B.SCHEMA)
 
 
 def box_sums(boxes: DataFrame, table: DataFrame, box: tuple[Vec, Vec], chunk: Vec) -> DataFrame:
@@ -173,14 +165,10 @@ def pyramid_blocks(blocks: DataFrame, box: tuple[Vec, Vec], chunk: Vec, scales:
 
 
 def _level(blocks: DataFrame, f: Vec, kind: str, box: tuple[Vec, Vec], chunk: Vec) -> DataFrame:
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                small = reduce_block(B.array_of(r), f, kind)
-                if small.size:
-                    rows.append(B._row([c // g for c, g in zip((r.cz, r.cy, r.cx), f, strict=True)], [o // g for o, g in zip((r.oz, r.oy, r.ox), f, strict=True)], small, r.dtype))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
+    def reduce(r) -> Iterator[tuple]:
+        small = reduce_block(B.array_of(r), f, kind)
+        if small.size:
+            yield B._row([c // g for c, g in zip((r.cz, r.cy, r.cx), f, strict=True)], [o // g for o, g in zip((r.oz, r.oy, r.ox), f, strict=True)], small, r.dtype)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         c = [int(pdf[k].iloc[0]) for k in B.CHUNK]
@@ -191,4 +179,4 @@ def _level(blocks: DataFrame, f: Vec, kind: str, box: tuple[Vec, Vec], chunk: Ve
             a[tuple(slice(o - b, o - b + s) for o, b, s in zip((r.oz, r.oy, r.ox), lo, (r.sz, r.sy, r.sx), strict=True))] = B.array_of(r)
         return pd.DataFrame([B._row(c, lo, a, r.dtype)], columns=B.COLUMNS)
 
-    return blocks.select(B.COLUMNS).mapInPandas(reduce, B.SCHEMA).groupBy(*B.CHUNK).applyInPandas(join, B.SCHEMA)
+    return blocks.select(B.COLUMNS).mapInPandas(B.rows_of(reduce, B.COLUMNS), B.SCHEMA).groupBy(*B.CHUNK).applyInPandas(join, B.SCHEMA)

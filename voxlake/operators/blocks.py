@@ -6,7 +6,7 @@ Kernels are numpy functions that run in ``mapInPandas`` / ``applyInPandas`` task
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -34,6 +34,30 @@ def _row(chunk, offset, a: np.ndarray, dtype: str) -> tuple:
     return (*map(int, chunk), *map(int, offset), *a.shape, dtype, bytes_of(a))
 
 
+#: Bytes after which rows that a task makes are given on.
+FRAME = 4 << 20
+
+
+def rows_of(make: Callable[..., Iterable[tuple]], columns: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for ``mapInPandas`` from one that makes rows of a row. They are given on in frames of about FRAME bytes: Spark hands a
+    task up to 64 MB of blocks at once, and what is made of them may be many times as much."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in batch.itertuples():
+                for made in make(row):
+                    rows.append(made)
+                    size += sum(len(v) for v in made if isinstance(v, bytes))
+                    if size >= FRAME:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
 def blocks_to_voxels(blocks: DataFrame, kind: str = "double", skip: float | None = None, also: str | None = None) -> DataFrame:
     """(z, y, x, v); voxels equal to ``skip`` are left out. ``also`` is the name and type of a column that is carried on."""
     more = also.split()[:1] if also else []
@@ -69,16 +93,12 @@ def voxels_to_blocks(df: DataFrame, offset: Vec, shape: Vec, chunk: Vec, dtype:
 def map_blocks(blocks: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], dtype: str | None = None) -> DataFrame:
     """A function of each block alone, of the same shape."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                a = kernel(array_of(row))
-                kind = dtype or row.dtype
-                rows.append(_row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), a.astype(kind), kind))
-            yield pd.DataFrame(rows, columns=COLUMNS)
+    def one(row) -> Iterator[tuple]:
+        a = kernel(array_of(row))
+        kind = dtype or row.dtype
+        yield _row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), a.astype(kind), kind)
 
-    return blocks.select(COLUMNS).mapInPandas(run, SCHEMA)
+    return blocks.select(COLUMNS).mapInPandas(rows_of(one, COLUMNS), SCHEMA)
 
 
 def with_halo(
@@ -206,16 +226,12 @@ def elastic_augment(blocks: DataFrame, spacing: int, sigma: float, rotation: tup
     ``order`` 0 takes the nearest voxel (labels), 1 interpolates (raw). Positions outside take the nearest border.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                a = array_of(row)
-                at = displaced(a.shape, spacing, sigma, rotation, np.random.default_rng([seed, row.cz & 0xFFFFFFFF, row.cy & 0xFFFFFFFF, row.cx & 0xFFFFFFFF]))
-                rows.append(_row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), gather(a, at, order).astype(row.dtype), row.dtype))
-            yield pd.DataFrame(rows, columns=COLUMNS)
+    def one(row) -> Iterator[tuple]:
+        a = array_of(row)
+        at = displaced(a.shape, spacing, sigma, rotation, np.random.default_rng([seed, row.cz & 0xFFFFFFFF, row.cy & 0xFFFFFFFF, row.cx & 0xFFFFFFFF]))
+        yield _row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), gather(a, at, order).astype(row.dtype), row.dtype)
 
-    return blocks.select(COLUMNS).mapInPandas(run, SCHEMA)
+    return blocks.select(COLUMNS).mapInPandas(rows_of(one, COLUMNS), SCHEMA)
 
 
 def displaced(shape: tuple[int, ...], spacing: int, sigma: float, rotation: tuple[float, float], rng: np.random.Generator) -> np.ndarray:

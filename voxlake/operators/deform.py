@@ -127,17 +127,13 @@ def deform_blocks(blocks: DataFrame, box: tuple[Vec, Vec], chunk: Vec, how: Defo
                 rows += [(*c, r.cz, r.cy, r.cx, *lo, *(hi - lo)) for c in product(*spans)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _ROUTE.split(", ")])
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a, own = B.array_of(r), (r.oz, r.oy, r.ox)
-                need = (r.nz, r.ny, r.nx), (r.mz, r.my, r.mx)
-                s = [max(n, o) for n, o in zip(need[0], own, strict=True)]
-                e = [min(n + m, o + k) for n, m, o, k in zip(*need, own, a.shape, strict=True)]
-                part = a[tuple(slice(p - o, max(p, q) - o) for p, q, o in zip(s, e, own, strict=True))]
-                rows.append((*B._row((r.dz, r.dy, r.dx), s, part, r.dtype), *need[0], *need[1]))
-            yield pd.DataFrame(rows, columns=[*B.COLUMNS, "nz", "ny", "nx", "mz", "my", "mx"])
+    def send(r) -> Iterator[tuple]:
+        a, own = B.array_of(r), (r.oz, r.oy, r.ox)
+        need = (r.nz, r.ny, r.nx), (r.mz, r.my, r.mx)
+        s = [max(n, o) for n, o in zip(need[0], own, strict=True)]
+        e = [min(n + m, o + k) for n, m, o, k in zip(*need, own, a.shape, strict=True)]
+        part = a[tuple(slice(p - o, max(p, q) - o) for p, q, o in zip(s, e, own, strict=True))]
+        yield *B._row((r.dz, r.dy, r.dx), s, part, r.dtype), *need[0], *need[1]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         c = [int(pdf[k].iloc[0]) for k in B.CHUNK]
@@ -151,5 +147,5 @@ def deform_blocks(blocks: DataFrame, box: tuple[Vec, Vec], chunk: Vec, how: Defo
         return pd.DataFrame([B._row(c, lo, B.gather(a, at, order).astype(kind), kind)], columns=B.COLUMNS)
 
     wanted = tile(blocks.sparkSession, *box, chunk).select(*B.CHUNK).mapInPandas(routes, _ROUTE)
-    sent = blocks.select(B.COLUMNS).join(wanted, B.CHUNK).mapInPandas(send, f"{B.SCHEMA}, nz long, ny long, nx long, mz long, my long, mx long")
+    sent = blocks.select(B.COLUMNS).join(wanted, B.CHUNK).mapInPandas(B.rows_of(send, [*B.COLUMNS, "nz", "ny", "nx", "mz", "my", "mx"]), f"{B.SCHEMA}, nz long, ny long, nx long, mz long, my long, mx long")
     return sent.groupBy(*B.CHUNK).applyInPandas(build, B.SCHEMA)

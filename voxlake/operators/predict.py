@@ -6,7 +6,6 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +66,13 @@ def predict_blocks(
     if not split:
         return stacked
 
-    def by_class(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                a = B.array_of(row)
-                depth = a.shape[0] // n_classes
-                rows += [(c, *B._row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), a[c * depth : (c + 1) * depth], row.dtype)) for c in range(n_classes)]
-            yield pd.DataFrame(rows, columns=["c", *B.COLUMNS])
+    def by_class(row) -> Iterator[tuple]:
+        a = B.array_of(row)
+        depth = a.shape[0] // n_classes
+        for c in range(n_classes):
+            yield c, *B._row((row.cz, row.cy, row.cx), (row.oz, row.oy, row.ox), a[c * depth : (c + 1) * depth], row.dtype)
 
-    return stacked.mapInPandas(by_class, "c int, " + B.SCHEMA)
+    return stacked.mapInPandas(B.rows_of(by_class, ["c", *B.COLUMNS]), "c int, " + B.SCHEMA)
 
 
 def _arrays_of(row, scores: np.ndarray, masked: bool) -> list[tuple]:
@@ -106,15 +102,11 @@ def prediction(
     else:
         scores = scores.withColumns({"mask_dtype": F.lit(None).cast("string"), "mask": F.lit(None).cast("binary")})
 
-    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                v = B.array_of(row)
-                rows += _arrays_of(row, v.reshape(n_classes, v.shape[0] // n_classes, *v.shape[1:]), masked)
-            yield pd.DataFrame(rows, columns=["array", *B.COLUMNS])
+    def arrays(row) -> list[tuple]:
+        v = B.array_of(row)
+        return _arrays_of(row, v.reshape(n_classes, v.shape[0] // n_classes, *v.shape[1:]), masked)
 
-    return scores.mapInPandas(arrays, "array string, " + B.SCHEMA)
+    return scores.mapInPandas(B.rows_of(arrays, ["array", *B.COLUMNS]), "array string, " + B.SCHEMA)
 
 
 def prediction_sweep(
@@ -139,15 +131,11 @@ def prediction_sweep(
         grown = grown.withColumns({"mask_dtype": F.lit(None).cast("string"), "mask": F.lit(None).cast("binary")})
     each = grown.withColumn("iteration", F.explode(F.array(*[F.lit(int(k)) for k in sorted(models)]))).sortWithinPartitions("iteration")
 
-    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                model = held_model(keys[row.iteration], models[row.iteration])
-                rows += [(row.iteration, *r) for r in _arrays_of(row, np.asarray(model(B.array_of(row))), masked)]
-            yield pd.DataFrame(rows, columns=["iteration", "array", *B.COLUMNS])
+    def arrays(row) -> list[tuple]:
+        model = held_model(keys[row.iteration], models[row.iteration])
+        return [(row.iteration, *r) for r in _arrays_of(row, np.asarray(model(B.array_of(row))), masked)]
 
-    return each.mapInPandas(arrays, "iteration int, array string, " + B.SCHEMA)
+    return each.mapInPandas(B.rows_of(arrays, ["iteration", "array", *B.COLUMNS]), "iteration int, array string, " + B.SCHEMA)
 
 
 def iterations(start: int, stop: int, step: int) -> list[int]:

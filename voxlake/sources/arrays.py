@@ -124,24 +124,20 @@ def read_array(spark: SparkSession, path: str, dataset: str, array: str, box: tu
 def _cut(blocks: DataFrame, layout: Layout, target: tuple[Vec, Vec]) -> DataFrame:
     """The parts of blocks (on any grid of chunks) inside the target box, cut at the array's chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a, lo = B.array_of(r), (r.oz, r.oy, r.ox)
-                s = [max(o, b) for o, b in zip(target[0], lo, strict=True)]
-                e = [min(o + m, b + n) for o, m, b, n in zip(*target, lo, a.shape, strict=True)]
-                if any(x >= y for x, y in zip(s, e, strict=True)):
-                    continue
-                first, last = _chunks(layout, (s, [y - x for x, y in zip(s, e, strict=True)]))
-                for c in product(*[range(p, q) for p, q in zip(first, last, strict=True)]):
-                    begin = [max(x, o + k * i) for x, o, k, i in zip(s, layout.offset, layout.chunk, c, strict=True)]
-                    end = [min(y, o + k * (i + 1)) for y, o, k, i in zip(e, layout.offset, layout.chunk, c, strict=True)]
-                    part = a[tuple(slice(x - b, y - b) for x, y, b in zip(begin, end, lo, strict=True))]
-                    rows.append(B._row(c, begin, part.astype(layout.dtype), layout.dtype))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
-
-    return blocks.select(B.COLUMNS).mapInPandas(run, B.SCHEMA)
+    def parts(r) -> Iterator[tuple]:
+        a, lo = B.array_of(r), (r.oz, r.oy, r.ox)
+        s = [max(o, b) for o, b in zip(target[0], lo, strict=True)]
+        e = [min(o + m, b + n) for o, m, b, n in zip(*target, lo, a.shape, strict=True)]
+        if any(x >= y for x, y in zip(s, e, strict=True)):
+            return
+        first, last = _chunks(layout, (s, [y - x for x, y in zip(s, e, strict=True)]))
+        for c in product(*[range(p, q) for p, q in zip(first, last, strict=True)]):
+            begin = [max(x, o + k * i) for x, o, k, i in zip(s, layout.offset, layout.chunk, c, strict=True)]
+            end = [min(y, o + k * (i + 1)) for y, o, k, i in zip(e, layout.offset, layout.chunk, c, strict=True)]
+            part = a[tuple(slice(x - b, y - b) for x, y, b in zip(begin, end, lo, strict=True))]
+            yield B._row(c, begin, part.astype(layout.dtype), layout.dtype)
+
+    return blocks.select(B.COLUMNS).mapInPandas(B.rows_of(parts, B.COLUMNS), B.SCHEMA)
 
 
 def _merge(layout: Layout):

@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,16 +80,12 @@ def read_blocks(spark: SparkSession, root: str, array: str, spec: dict, box: tup
     if packed not in (None, "zlib"):
         raise ValueError(f"compressor {packed}")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                c = [int(row.cz), int(row.cy), int(row.cx)]
-                data = zlib.decompress(row.content) if packed else row.content
-                a = np.frombuffer(data, np.dtype(dtype).newbyteorder("<")).reshape(chunk)
-                size = [min(k, n - i * k) for k, n, i in zip(chunk, shape, c, strict=True)]
-                rows.append(B._row(c, [i * k for i, k in zip(c, chunk, strict=True)], a[tuple(slice(s) for s in size)], dtype))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
+    def decode(row) -> Iterator[tuple]:
+        c = [int(row.cz), int(row.cy), int(row.cx)]
+        data = zlib.decompress(row.content) if packed else row.content
+        a = np.frombuffer(data, np.dtype(dtype).newbyteorder("<")).reshape(chunk)
+        size = [min(k, n - i * k) for k, n, i in zip(chunk, shape, c, strict=True)]
+        yield B._row(c, [i * k for i, k in zip(c, chunk, strict=True)], a[tuple(slice(s) for s in size)], dtype)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     folder = f"{root}/{array}"
@@ -110,7 +105,7 @@ def read_blocks(spark: SparkSession, root: str, array: str, spec: dict, box: tup
     number = [F.regexp_extract("path", r"/(\d+)[./](\d+)[./](\d+)$", k) for k in (1, 2, 3)]
     files = files.select("content", *[n.alias(a) for n, a in zip(number, B.CHUNK, strict=True)]).filter("cz != ''")
     files = files.select("content", *[F.col(a).cast("long").alias(a) for a in B.CHUNK])
-    return files.mapInPandas(decode, B.SCHEMA)
+    return files.mapInPandas(B.rows_of(decode, B.COLUMNS), B.SCHEMA)
 
 
 def fill_missing(blocks: DataFrame, shape: Vec, chunk: Vec, dtype: str, fill: float = 0) -> DataFrame:
@@ -120,12 +115,10 @@ def fill_missing(blocks: DataFrame, shape: Vec, chunk: Vec, dtype: str, fill: fl
     there = blocks.select(*B.CHUNK)
     lack = tile(blocks.sparkSession, (0, 0, 0), shape, chunk).join(there, B.CHUNK, "left_anti").select(*B.CHUNK, *B.BOX)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), np.full((r.sz, r.sy, r.sx), fill, dtype), dtype) for r in batch.itertuples()]
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
+    def make(r) -> Iterator[tuple]:
+        yield B._row((r.cz, r.cy, r.cx), (r.oz, r.oy, r.ox), np.full((r.sz, r.sy, r.sx), fill, dtype), dtype)
 
-    return blocks.select(B.COLUMNS).unionByName(lack.mapInPandas(make, B.SCHEMA))
+    return blocks.select(B.COLUMNS).unionByName(lack.mapInPandas(B.rows_of(make, B.COLUMNS), B.SCHEMA))
 
 
 def _store(root: str):

@@ -59,28 +59,24 @@ def sections_to_blocks(sections: DataFrame, offset: Vec, shape: Vec, chunk: Vec,
         raise ValueError("inversion needs 8 bits")
     first = size.first
 
-    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                z = int(r.number) - first - offset[0]
-                if not 0 <= z < shape[0]:
-                    continue
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)[..., 0]
-                a = a[offset[1] : offset[1] + shape[1], offset[2] : offset[2] + shape[2]].astype(dtype)
-                a = 255 - a if invert else a
-                for cy in range(-(-shape[1] // chunk[1])):
-                    for cx in range(-(-shape[2] // chunk[2])):
-                        part = a[cy * chunk[1] : (cy + 1) * chunk[1], cx * chunk[2] : (cx + 1) * chunk[2]]
-                        rows.append(B._row((z // chunk[0], cy, cx), (z, cy * chunk[1], cx * chunk[2]), part[None], dtype))
-            yield pd.DataFrame(rows, columns=B.COLUMNS)
+    def tiles(r) -> Iterator[tuple]:
+        z = int(r.number) - first - offset[0]
+        if not 0 <= z < shape[0]:
+            return
+        a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, -1)[..., 0]
+        a = a[offset[1] : offset[1] + shape[1], offset[2] : offset[2] + shape[2]].astype(dtype)
+        a = 255 - a if invert else a
+        for cy in range(-(-shape[1] // chunk[1])):
+            for cx in range(-(-shape[2] // chunk[2])):
+                part = a[cy * chunk[1] : (cy + 1) * chunk[1], cx * chunk[2] : (cx + 1) * chunk[2]]
+                yield B._row((z // chunk[0], cy, cx), (z, cy * chunk[1], cx * chunk[2]), part[None], dtype)
 
     def stack(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(pdf.itertuples(), key=lambda r: r.oz)
         c = (rows[0].cz, rows[0].cy, rows[0].cx)
         return pd.DataFrame([B._row(c, (c[0] * chunk[0], rows[0].oy, rows[0].ox), np.concatenate([B.array_of(r) for r in rows]), dtype)], columns=B.COLUMNS)
 
-    cut = sections.select("number", "height", "width", "data").mapInPandas(tiles, B.SCHEMA)
+    cut = sections.select("number", "height", "width", "data").mapInPandas(B.rows_of(tiles, B.COLUMNS), B.SCHEMA)
     return cut.groupBy(*B.CHUNK).applyInPandas(stack, B.SCHEMA)
 
 
@@ -98,13 +94,10 @@ def blocks_to_strips(blocks: DataFrame) -> tuple[DataFrame, Vec]:
         return blocks.sparkSession.createDataFrame([], STRIP), (0, 0, 0)
     size = tuple(ends[f"e{a}"] - o for a, o in zip("zyx", lo, strict=True))
 
-    def planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                a = B.array_of(r)
-                rows += [(r.oz + k - lo[0], r.oy - lo[1], r.ox - lo[2], *a.shape[1:], B.bytes_of(a[k].astype(np.uint8))) for k in range(a.shape[0])]
-            yield pd.DataFrame(rows, columns=["z", "y", "x", "h", "w", "data"])
+    def planes(r) -> Iterator[tuple]:
+        a = B.array_of(r)
+        for k in range(a.shape[0]):
+            yield r.oz + k - lo[0], r.oy - lo[1], r.ox - lo[2], *a.shape[1:], B.bytes_of(a[k].astype(np.uint8))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((int(pdf["h"].max()), size[2]), np.uint8)
@@ -112,7 +105,7 @@ def blocks_to_strips(blocks: DataFrame) -> tuple[DataFrame, Vec]:
             a[: r.h, r.x : r.x + r.w] = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)
         return pd.DataFrame([(int(pdf["z"].iloc[0]), int(pdf["y"].iloc[0]), *a.shape, B.bytes_of(a))], columns=["z", "y", "height", "width", "data"])
 
-    cut = blocks.select(B.COLUMNS).mapInPandas(planes, "z long, y long, x long, h long, w long, data binary")
+    cut = blocks.select(B.COLUMNS).mapInPandas(B.rows_of(planes, ["z", "y", "x", "h", "w", "data"]), "z long, y long, x long, h long, w long, data binary")
     return cut.groupBy("z", "y").applyInPandas(join, STRIP), size
 
 
