@@ -198,7 +198,9 @@ def foreground_mask(
 ) -> DataFrame:
     """mask = 255 for the foreground: lo < v < hi, opened, closed, small holes filled, then small objects removed.
 
-    In that order: an object counts with its holes filled."""
+    In that order: an object counts with its holes filled. ``raw`` is written first: it is read four times, and Spark then knows its size, while
+    it takes a grid made by explode for as small as what it was made of, and would send it whole to every executor for a join."""
+    raw = materialize(raw, "raw")
     fg = raw.filter((F.col("v") > lo) & (F.col("v") < hi)).select(*KEY)
     swept = materialize(close_ball(open_ball(fg, opening, box), closing, box), "mask")
     filled = materialize(fill_small(raw, swept, min_size, block), "mask")
