@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of the grid are made in stripes of so many y. What Spark makes of one row by explode it holds at once, so a stripe bounds what a task holds.
-STRIPE = 16
-#: {d} is integer division, {s} STRIPE, {n} the number of shuffle partitions; views may use those before them.
+#: {d} is integer division, {n} the number of shuffle partitions, {h} the height of the volume (largest y of vox and 1); views may use those before them.
 VIEWS = {
     "vox": """
         SELECT l_linenumber - 1 AS z, l_orderkey {d} 100 AS y, l_orderkey % 100 AS x,
@@ -20,10 +19,9 @@ VIEWS = {
         FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
         GROUP BY l_linenumber - 1, l_orderkey {d} 100, l_orderkey % 100""",
     "grid": {
+        # made of a range, whose size Spark knows: what explode makes of a few rows it takes for as small as those, and broadcasts what is joined with it
         "spark": """
-        SELECT explode(sequence(0, 6)) AS z, y, x FROM (SELECT y, explode(sequence(0, 99)) AS x FROM (
-            SELECT explode(sequence(s * {s}, least(s * {s} + {s} - 1, top))) AS y FROM (
-                SELECT /*+ REPARTITION({n}) */ top, explode(sequence(0, top DIV {s})) AS s FROM (SELECT max(y) AS top FROM vox))))""",
+        SELECT CAST(id % 7 AS INT) AS z, id DIV 700 AS y, CAST(id DIV 7 % 100 AS INT) AS x FROM range(0, 700 * {h}, 1, {n})""",
         "duckdb": "SELECT a.z, b.y, c.x FROM (SELECT unnest(range(7)) AS z) a, (SELECT unnest(range((SELECT max(y) + 1 FROM vox))) AS y) b, (SELECT unnest(range(100)) AS x) c",
     },
     "blob": """
@@ -83,7 +81,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if n not in have:
             tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in _text(n, "spark")}
             views = {m: text_of(m) for m in NEEDS.get(n, ())}
-            text = _text(n, "spark").replace("{s}", str(STRIPE)).replace("{n}", spark.conf.get("spark.sql.shuffle.partitions"))
+            text = _text(n, "spark").replace("{n}", spark.conf.get("spark.sql.shuffle.partitions"))
+            if "{h}" in text:
+                text = text.replace("{h}", str(views["vox"].agg(F.coalesce(F.max("y") + 1, F.lit(0))).first()[0]))
             for t in (*tables, *views):
                 text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
             have[n] = spark.sql(text, **tables, **views)
