@@ -114,3 +114,23 @@ def test_ranks_equal_row_numbers(spark):
     df = spark.range(5000).select((F.col("id") * F.col("id") % 7919 - 100).alias("k")).distinct()
     got = {r.k: r.rank for r in with_rank(df, "k").collect()}
     assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got) and sorted(got.values()) == list(range(1, len(got) + 1))
+
+
+def test_histograms_are_clipped_side_by_side(spark):
+    import numpy as np
+
+    from voxlake.operators import histogram
+
+    rng = np.random.default_rng(5)
+    many = np.where(rng.random((1300, 256)) < 0.05, rng.integers(0, 900, (1300, 256)), rng.integers(0, 9, (1300, 256)))
+    many[7], many[8, 1:], many[9] = 0, 0, 10_000
+    alone = np.array([histogram.clip_counts(h, 10) for h in many])
+    assert (histogram.clip_counts(many, 10) == alone).all()
+    rows = spark.createDataFrame([(0, k // 100, k % 100, b, int(h[b])) for k, h in enumerate(many) for b in np.flatnonzero(h).tolist()], "tz long, ty long, tx long, bin int, n long")
+    out = histogram.clip_histogram(rows, 10)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a call into Python for each tile
+    got = np.zeros((1300, 256), np.int64) - 1
+    for r in out.collect():
+        got[r.ty * 100 + r.tx, r.bin] = r.n
+    there = many.any(1)
+    assert (got[there] == alone[there]).all() and (got[~there] == -1).all()

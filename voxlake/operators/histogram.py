@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,36 +47,49 @@ def tile_histogram(df: DataFrame, kernel: int | Vec, nbins: int = 256, value: st
 
 
 def clip_counts(hist: np.ndarray, limit: int) -> np.ndarray:
-    """Counts cut at ``limit``; what is cut off goes to bins with room: as much to each as all could take alike, the rest one by one in strides."""
-    hist = hist.astype(np.int64)
-    room = np.maximum(limit - hist, 0)
-    spare = int(np.maximum(hist - limit, 0).sum())
-    even = np.minimum(room, spare // len(hist))
-    room, spare = room - even, spare - int(even.sum())
-    first = 0
-    while spare > 0 and room.any():
-        open_ = np.flatnonzero(room)
-        stride = max(1, len(open_) // spare)
-        spots = np.arange(first, len(hist), stride)
-        spots = spots[room[spots] > 0]
-        room[spots] -= 1
-        spare -= len(spots)
-        first = (first + 1) % len(hist)
-    return limit - room
+    """Counts cut at ``limit``; what is cut off goes to bins with room: as much to each as all could take alike, the rest one by one in strides.
+
+    ``hist`` is one histogram or has a row for each of several, which are gone through side by side."""
+    many = np.atleast_2d(hist).astype(np.int64)
+    bins = np.arange(many.shape[1])
+    room = np.maximum(limit - many, 0)
+    spare = np.maximum(many - limit, 0).sum(1)
+    even = np.minimum(room, (spare // len(bins))[:, None])
+    room, spare = room - even, spare - even.sum(1)
+    first, at = 0, np.flatnonzero((spare > 0) & room.any(1))
+    while len(at):
+        rest = room[at]
+        stride = np.maximum(1, (rest > 0).sum(1) // spare[at])
+        spots = (rest > 0) & (bins >= first) & ((bins - first) % stride[:, None] == 0)
+        room[at] = rest = rest - spots
+        spare[at] -= spots.sum(1)
+        at = at[(spare[at] > 0) & rest.any(1)]
+        first = (first + 1) % len(bins)
+    return (limit - room).reshape(np.shape(hist))
+
+
+#: Tiles whose counts are clipped side by side.
+AT_ONCE = 512
 
 
 def clip_histogram(hist: DataFrame, limit: int, nbins: int = 256) -> DataFrame:
-    """Each tile's counts clipped; all bins come back, also empty ones. A tile has at most ``nbins`` rows."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(nbins, np.int64)
-        counts[pdf["bin"].to_numpy()] = pdf["n"].to_numpy()
-        out = pd.DataFrame({"bin": np.arange(nbins, dtype=np.int32), "n": clip_counts(counts, limit) if limit else counts})
-        for t in TILES:
-            out[t] = pdf[t].iloc[0]
-        return out[[*TILES, "bin", "n"]]
-
-    return hist.groupBy(*TILES).applyInPandas(one, "tz long, ty long, tx long, bin int, n long")
+    """Each tile's counts clipped; all bins come back, also empty ones. A tile is one row with a list of at most ``nbins`` counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(k, AT_ONCE)
+                found = part.column("found")
+                own = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy())
+                bins, n = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
+                counts = np.zeros((part.num_rows, nbins), np.int64)
+                counts[own, bins] = n
+                out = clip_counts(counts, limit) if limit else counts
+                tile = [pa.array(np.repeat(part.column(t).to_numpy(), nbins)) for t in TILES]
+                yield pa.RecordBatch.from_arrays([*tile, pa.array(np.tile(np.arange(nbins, dtype=np.int32), part.num_rows)), pa.array(out.ravel())], [*TILES, "bin", "n"])
+
+    tiles = hist.groupBy(*TILES).agg(F.collect_list(F.struct("bin", "n")).alias("found"))
+    return tiles.mapInArrow(run, "tz long, ty long, tx long, bin int, n long")
 
 
 def map_histogram(hist: DataFrame, n_pixels: int, top: int = GREY - 1) -> DataFrame:
