@@ -115,3 +115,15 @@ def test_prices_are_exact_for_large_counts(spark):
     from pyspark.sql import functions as F
 
     assert df.select(D.price(F.col("n"), F.col("total"), F.col("terms"))).first()[0] == 1 + 10**9 * (n + 5) // (7 * 10**15 + 1 + 5 * 12345)
+
+
+def test_a_task_gives_a_term_once_for_each_group():
+    terms = [f"{c}{'x' * k}" for c in map(chr, range(0x4E00, 0x4E00 + 20_000)) for k in range(20)]
+    texts = [" ".join(terms), " ".join([*terms[:7], terms[0], "Ab aB"]), "", "1 2"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(["a", "a", "b", "c"]), pa.array(texts)], ["lang", "source", "t"])
+    (out,) = D.summed_terms(iter([batch.slice(0, 1), batch.slice(1)]))
+    assert out.num_rows == len(terms) + 1
+    got = {r["term"]: (r["n"], r["docs"]) for r in out.to_pylist() if r["source"] == "a"}
+    assert got[terms[0]] == (3, 2) and got[terms[6]] == (2, 2) and got[terms[7]] == (1, 1) and got["ab"] == (2, 1)
+    (empty,) = D.summed_terms(iter([]))
+    assert empty.num_rows == 0 and empty.schema.field("n").type == pa.int64()

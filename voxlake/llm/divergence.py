@@ -25,6 +25,7 @@ the item's UTF-8 bytes; an empty table gives no row. Other columns are ignored,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,46 +44,46 @@ BLOCK = 4096
 TILE = 32
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A task passes its sums on when it holds so many terms.
-_HELD = 300_000
+_HELD = 600_000
 #: Pairs of nodes of one level are worked off for so many pairs of groups at once.
 _PAIRS = 64
 
 
+def summed_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of rows (lang, source, text), a row for each term of a group until _HELD terms are held. Terms are counted a document at once."""
+    held: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+    size = 0
+
+    def drain() -> pa.RecordBatch:
+        columns: list[list[pa.Array]] = [[pa.array([], k)] for k in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())]
+        for (a, b), (n, docs) in held.items():
+            counts = [pa.array(np.fromiter(c, np.int64, len(n))) for c in (n.values(), map(docs.__getitem__, n))]
+            for column, part in zip(columns, (pa.repeat(a, len(n)), pa.repeat(b, len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), *counts), strict=True):
+                column.append(part)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["lang", "source", "term", "n", "docs"])
+
+    for batch in batches:
+        for a, b, t in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            words = _TERM.findall(t.encode().lower())
+            if (a, b) not in held:
+                held[a, b] = Counter(), Counter()
+            n, docs = held[a, b]
+            before = len(n)
+            n.update(words)
+            docs.update(set(words))
+            size += len(n) - before
+            if size > _HELD:
+                yield drain()
+                held.clear()
+                size = 0
+    yield drain()
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n, docs) summed over all documents, and (lang, source) of every group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
-
-        def drain() -> pa.RecordBatch:
-            rows = [(a, b, t.decode(), n, d) for (a, b), terms in held.items() for t, (n, d) in terms.items()]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "source", "term", "n", "docs"])
-
-        for batch in batches:
-            for a, b, t in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                terms = held.setdefault((a, b), {})
-                before, seen = len(terms), set()
-                for w in _TERM.findall(t.encode().lower()):
-                    got = terms.get(w)
-                    if got is None:
-                        terms[w] = [1, 1]
-                        seen.add(w)
-                        continue
-                    got[0] += 1
-                    if w not in seen:
-                        seen.add(w)
-                        got[1] += 1
-                size += len(terms) - before
-                if size > _HELD:
-                    yield drain()
-                    held.clear()
-                    size = 0
-        yield drain()
-
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang, "lang"), (source, "source"), (text, "t"))]
-    rows = docs.select(*plain).mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    rows = docs.select(*plain).mapInArrow(summed_terms, "lang string, source string, term string, n bigint, docs bigint")
     sums = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return materialize(sums, "terms"), materialize(docs.select(*plain[:2]).distinct(), "term-groups")
 
