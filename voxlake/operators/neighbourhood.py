@@ -1,12 +1,15 @@
 """Morphology, stencils and components of sparse voxel tables (z, y, x[, value]).
 
 An operator of radius r joins nothing: voxels are dealt to tasks by tiles, every foreground voxel sends itself to its
-neighbours by a literal array of offsets, and one aggregate with partial sums collects them. Chained operators
-on dense volumes belong to the block form (``blocks``).
+neighbours by a literal array of offsets, and one aggregate with partial sums collects them. Closings send words
+instead, the bits of 64 voxels along x. Chained operators on dense volumes belong to the block form (``blocks``).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,7 @@ from .components import components
 from .roi import AXES, Vec, extent
 
 KEY = list(AXES)
+WORD = ["z", "y", "w"]
 TILE = (32, 32, 32)
 
 
@@ -35,10 +39,10 @@ def _offsets(ball: list[tuple[int, int, int]]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES, strict=True)]) for o in ball])
 
 
-def by_tile(df: DataFrame) -> DataFrame:
+def by_tile(df: DataFrame, axes: list[str] = KEY) -> DataFrame:
     """The voxels dealt to tasks by tiles of TILE, so that what neighbours send to one position is summed in a task before it shuffles."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *[F.expr(f"CAST(floor({a} / {s}) AS BIGINT)") for a, s in zip(AXES, TILE, strict=True)])
+    return df.repartition(n, *[F.expr(f"CAST(floor({a} / {s}) AS BIGINT)") for a, s in zip(axes, TILE, strict=True)])
 
 
 def spread(df: DataFrame, ball: list[tuple[int, int, int]], box: tuple[Vec, Vec] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,7 +104,7 @@ def open_ball(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
 
 def close_ball(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     """Dilation by the ball, then erosion where outside the box counts as foreground."""
-    return _erode_open(dilate_ball(df, radius, box), radius, box)
+    return _swept(df, radius, box, (True, False))
 
 
 def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
@@ -118,6 +122,62 @@ def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     return got.filter(F.col("__n") == need).select(*KEY)
 
 
+def _swept(df: DataFrame, radius: int, box: tuple[Vec, Vec], passes: tuple[bool, ...]) -> DataFrame:
+    """Dilations (True) and erosions of the voxels, on words (z, y, w, bits): bit i of word w is the voxel 64 w + i after the box's first x."""
+    first = box[0][2]
+    place = F.col("x").cast("long") - first
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = df.groupBy("z", "y", F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    for grow in passes:
+        words = _sweep_words(words, radius, box, grow)
+    voxels = words.select(*WORD, "bits", F.explode(F.array(*map(F.lit, range(64)))).alias("i")).filter(F.getbit("bits", F.col("i")) == 1)
+    kind = df.select(F.col("x") + F.lit(0)).dtypes[0][1]
+    return voxels.select("z", "y", (F.col("w") * 64 + F.col("i") + first).cast(kind).alias("x"))
+
+
+def _along_x(bits: Column, by: int, reach: int) -> list[Column]:
+    """What a word's bits, moved by up to ``by`` voxels either way, set in the words from ``reach`` before it to ``reach`` after it."""
+    parts: list[list[Column]] = [[] for _ in range(2 * reach + 2)]
+    for d in range(-by, by + 1):
+        on, left = divmod(d, 64)
+        parts[reach + on].append(F.shiftleft(bits, left))
+        if left:
+            parts[reach + on + 1].append(F.shiftrightunsigned(bits, 64 - left))
+    return [reduce(Column.bitwiseOR, p, F.lit(0).cast("long")) for p in parts[:-1]]
+
+
+def _sweep_words(words: DataFrame, radius: int, box: tuple[Vec, Vec], grow: bool) -> DataFrame:
+    """Words after a dilation by the ball, or an erosion to which outside the box is foreground; what lies in the box.
+
+    A word widened along x goes to the rows of the ball round it. An erosion is a dilation of the background, which absent words are all of:
+    those beside a word are added, and a word to which not all rows have sent is background.
+    """
+    (oz, oy, _), (sz, sy, sx) = box
+    inside = F.col("z").between(oz, oz + sz - 1) & F.col("y").between(oy, oy + sy - 1) & F.col("w").between(0, (sx - 1) // 64)
+    in_box = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - F.least(F.lit(64), sx - F.col("w") * 64)).cast("int"))
+    reach = -(-radius // 64)
+    sides = range(-reach, reach + 1)
+    if not grow:
+        beside = F.array(*[F.struct(F.lit(d).alias("dw"), F.when(F.lit(d == 0), F.col("bits")).otherwise(0).alias("b")) for d in sides])
+        words = words.select(*WORD, F.inline(beside)).select("z", "y", (F.col("w") + F.col("dw")).alias("w"), "b").filter(inside)
+        words = words.groupBy(*WORD).agg(F.bit_or("b").alias("b")).select(*WORD, F.bitwise_not("b").bitwiseAND(in_box).alias("bits"))
+    across = {dz: isqrt(radius * radius - dz * dz) for dz in range(-radius, radius + 1)}
+    rows = [(dz, dy, isqrt(radius * radius - dz * dz - dy * dy)) for dz, m in across.items() for dy in range(-m, m + 1)]
+    wide = [c.alias(f"b{by}_{k}") for by in range(radius + 1) for k, c in enumerate(_along_x(F.col("bits"), by, reach))]
+    sends = [(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(d).alias("dw"), F.col(f"b{by}_{k}").alias("b")) for dz, dy, by in rows for k, d in enumerate(sides)]
+    sent = by_tile(words, WORD).select(*WORD, *wide).select(*WORD, F.inline(F.array(*[F.struct(*s) for s in sends]))).filter("b != 0 OR dw = 0")
+    sent = sent.select(*[(F.col(a) + F.col(f"d{a}")).alias(a) for a in WORD], "b", (F.col("dw") == 0).cast("long").alias("row")).filter(inside)
+    got = sent.groupBy(*WORD).agg(F.bit_or("b").alias("b"), F.sum("row").alias("rows"))
+    bits = F.col("b")
+    if not grow:
+        need = F.lit(0)
+        for dz, m in across.items():
+            seen = F.least(F.lit(m), F.col("y") - oy) + F.least(F.lit(m), oy + sy - 1 - F.col("y")) + 1
+            need = need + F.when(F.col("z").between(oz - dz, oz + sz - 1 - dz), seen).otherwise(0)
+        got, bits = got.filter(F.col("rows") == need), F.bitwise_not("b")
+    return got.select(*WORD, bits.bitwiseAND(in_box).alias("bits")).filter("bits != 0")
+
+
 def _number(at: np.ndarray, box: tuple[Vec, Vec]) -> np.ndarray:
     """One number for each voxel of the box, in order of z, y, x."""
     z, y, x = (at - np.array(box[0], np.int64)).T
