@@ -1,4 +1,4 @@
-"""Closings by round balls on words of 64 voxels along x."""
+"""Openings and closings by round balls on words of 64 voxels along x."""
 
 from itertools import product
 
@@ -37,19 +37,22 @@ def found(df):
 
 @pytest.mark.parametrize("radius,box", [(0, BOXES[0]), *[(1, b) for b in BOXES], *[(2, b) for b in BOXES], (3, BOXES[1]), (6, BOXES[0])])
 def test_equal_a_plain_version(spark, radius, box):
-    thin = voxels(box, 0.1 if radius < 3 else 0.01, radius)
-    closed = N.close_ball(table(spark, thin), radius, box)
+    dense, thin = voxels(box, 0.97 if radius < 3 else 0.997, radius), voxels(box, 0.1 if radius < 3 else 0.01, radius)
+    opened, closed = N.open_ball(table(spark, dense), radius, box), N.close_ball(table(spark, thin), radius, box)
+    assert found(opened) == plain(dense, radius, box, (False, True))
     assert found(closed) == plain(thin, radius, box, (True, False))
-    assert closed.dtypes == [("z", "int"), ("y", "bigint"), ("x", "int")]
+    assert opened.dtypes == closed.dtypes == [("z", "int"), ("y", "bigint"), ("x", "int")]
 
 
 def test_rows_given_twice_and_voxels_outside_the_box(spark):
-    """What lies outside is dilated like any other."""
+    """What lies outside is foreground to an erosion, whether there is a row for it or not, and is dilated like any other."""
     box, out = BOXES[0], {(0, 0, -1), (0, 2, 150), (1, 2, 151), (4, 3, 70), (-1, 5, 64), (0, -2, 63), (9, 9, 999)}
-    thin = voxels(box, 0.05, 7)
+    dense, thin = voxels(box, 0.97, 7), voxels(box, 0.05, 7)
+    twice = table(spark, dense | out).unionByName(table(spark, dense))
+    assert found(N.open_ball(twice, 2, box)) == plain(dense, 2, box, (False, True))
     twice = table(spark, thin | out).unionByName(table(spark, thin))
     assert found(N.close_ball(twice, 2, box)) == plain(thin | out, 2, box, (True, False))
-    assert found(N.close_ball(twice.filter("false"), 2, box)) == set()
+    assert found(N.close_ball(twice.filter("false"), 2, box)) == found(N.open_ball(twice.filter("false"), 2, box)) == set()
 
 
 def test_moved_bits_reach_over_several_words(spark):
@@ -66,7 +69,7 @@ def _made(plan):
     return own + sum(_made(below.apply(i)) for i in range(below.size()))
 
 
-@pytest.mark.parametrize("operator", [N.close_ball])
+@pytest.mark.parametrize("operator", [N.open_ball, N.close_ball])
 def test_a_sweep_does_not_send_every_voxel_to_its_ball(spark, operator):
     """It made 33 rows of a voxel for each of its two passes."""
     n = 3 * 40 * 128

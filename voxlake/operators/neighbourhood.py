@@ -1,7 +1,7 @@
 """Morphology, stencils and components of sparse voxel tables (z, y, x[, value]).
 
 An operator of radius r joins nothing: voxels are dealt to tasks by tiles, every foreground voxel sends itself to its
-neighbours by a literal array of offsets, and one aggregate with partial sums collects them. Closings send words
+neighbours by a literal array of offsets, and one aggregate with partial sums collects them. Openings and closings send words
 instead, the bits of 64 voxels along x. Chained operators on dense volumes belong to the block form (``blocks``).
 """
 
@@ -99,7 +99,7 @@ def dilate_instances(df: DataFrame, n: int, box: tuple[Vec, Vec] | None = None,
 
 def open_ball(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     """Erosion by the ball, where outside the box counts as foreground, then dilation."""
-    return dilate_ball(_erode_open(df, radius, box), radius, box)
+    return _swept(df, radius, box, (False, True))
 
 
 def close_ball(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
@@ -107,21 +107,6 @@ def close_ball(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
     return _swept(df, radius, box, (True, False))
 
 
-def _erode_open(df: DataFrame, radius: int, box: tuple[Vec, Vec]) -> DataFrame:
-    """A voxel needs all those of its ball that lie in the box."""
-    ball = round_ball(radius)
-    inside = [F.lit(1)]
-    need = F.lit(0)
-    for z, y, x in ball:
-        ok = inside[0] == 1
-        for a, d, o, s in zip(AXES, (z, y, x), *box, strict=True):
-            if d:
-                ok = ok & (F.col(a) + d >= o) & (F.col(a) + d < o + s)
-        need = need + ok.cast("int")
-    got = spread(df, ball, box).groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
-    return got.filter(F.col("__n") == need).select(*KEY)
-
-
 def _swept(df: DataFrame, radius: int, box: tuple[Vec, Vec], passes: tuple[bool, ...]) -> DataFrame:
     """Dilations (True) and erosions of the voxels, on words (z, y, w, bits): bit i of word w is the voxel 64 w + i after the box's first x."""
     first = box[0][2]
