@@ -87,6 +87,22 @@ def test_files_are_bounded_and_ties_are_dealt(spark, tmp_path, monkeypatch):
     assert len(token_records.read_shuffled(spark, f"file://{tmp_path}/r", f"file://{tmp_path}/i", 1).collect()) == 900
 
 
+@pytest.mark.parametrize("job", ["45c26c49-cf1c-4783-a5f9-c41e7a09b2d1", "0c1-c2-c003", "00000000-c000-c9c9-c999-000000000000"])
+def test_pieces_are_in_order_whatever_the_id_of_the_write(spark, tmp_path, monkeypatch, job):
+    """Files are named part-<task>-<id of the write>-c<piece>, and that id is drawn anew for each write."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(token_records, "FILE_ROWS", 8)
+    token_records.write_records(docs, f"file://{tmp_path}/r", JSON, end_id=2, file_bytes=1600)
+    (tmp_path / "named").mkdir()
+    for p in (tmp_path / "r").glob("part-*"):
+        task, piece = p.name.split("-")[1], p.name.split("-")[-1]
+        (tmp_path / "named" / f"part-{task}-{job}-{piece}").write_bytes(p.read_bytes())
+    token_records.write_index(spark, f"file://{tmp_path}/named", f"file://{tmp_path}/i")
+    got = spark.read.parquet(f"file://{tmp_path}/i").orderBy("start").collect()
+    assert len({r.file for r in got}) >= 5 and [r.doc_id for r in got] == list(range(200))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(200)]
+
+
 def test_an_empty_table_gives_no_records(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     token_records.write_records(docs, f"file://{tmp_path}/r", JSON, end_id=2)

@@ -136,7 +136,8 @@ def write_index(spark: SparkSession, path: str, index: str) -> None:
     scan(spark, path).write.parquet(tmp)
     rows = spark.read.parquet(tmp)
     number = F.regexp_extract("file", r"/part-(\d+)-[^/]*$", 1).cast("long")
-    piece = F.regexp_extract("file", r"-c(\d+)[^/]*$", 1).cast("long")
+    # up to the dot of the ending: the id of the job, before it, may hold -c and digits too
+    piece = F.regexp_extract("file", r"-c(\d+)(?:\.[^/]*)?$", 1).cast("long")
     # one row for each file, of which there are no more than Spark had write tasks
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("t")).select("file", "t", number.alias("p"), piece.alias("c"))
     order = W.Window.orderBy("p", "c").rowsBetween(W.Window.unboundedPreceding, -1)
